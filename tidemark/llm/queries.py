@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import default_tokenizer_path, encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
 
 
@@ -14,8 +16,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), default_tokenizer_path())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer_path(), capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op8_bpe": op8_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
