@@ -5,17 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import default_tokenizer_path, encode_documents
 from tidemark.llm.common import table
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import pseudonymise
+from tidemark.llm.quality_rules import judge
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.url_filters import judge_urls
+
+#: Not secret: a deployment passes its own.
+DEMO_KEY = "demonstration key"
+
+
+def bad_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, bad) from the labels."""
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), bad_quality(spark, sf_dir))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of its id."""
+    return judge_urls(table(spark, sf_dir, "pages"), bad_quality(spark, sf_dir).withColumnRenamed("doc_id", "page_id"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), default_tokenizer_path())
 
@@ -25,7 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op5_simhash": op5_simhash,
+    "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
     "op10_packing": op10_packing,
 }
