@@ -24,6 +24,7 @@ FEATURES = {
     "repeat_share": "n_repeat_words / n_words",
     "upper_share": "n_upper / word_chars",
     "marks_per_word": "n_marks / n_words",
+    "stutter_share": "n_stutters / n_words",
 }
 
 
@@ -54,7 +55,7 @@ class Rule:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks.
+    """Per row: the id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks, n_stutters (words equal to the one before).
 
     Words are runs without ASCII white space. n_dup_lines counts lines with a word that equal an earlier one,
     n_repeat_words the words in windows of 8 words that occur twice or more in the text, the first occurrence included.
@@ -80,6 +81,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         count(SYMBOLS).alias("n_symbols"),
         count("[A-Z]").alias("n_upper"),
         count("[!?]").alias("n_marks"),
+        F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))).cast("long").alias("n_stutters"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("hashes"),

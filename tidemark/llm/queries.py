@@ -13,6 +13,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality_rules import judge
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.url_filters import judge_urls
 
 #: Not secret: a deployment passes its own.
@@ -36,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of its id."""
     return judge_urls(table(spark, sf_dir, "pages"), bad_quality(spark, sf_dir).withColumnRenamed("doc_id", "page_id"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
     "op10_packing": op10_packing,
