@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,55 +32,65 @@ def _round(key: Column, kind: str, i: Column, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(said, 256), 1, 14), 16, 10).cast("long")
 
 
-def feistel(key: Column, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> tuple[Column, Column]:
-    """A keyed permutation of the pairs (left, right) with left < left_size and right < right_size.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: Spark computes an expression anew at each place it stands in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def feistel(key: Column, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+    """A keyed permutation of the pairs (left, right) with left < left_size and right < right_size, as a struct (a, b).
 
     Rounds add a keyed function of one half to the other, modulo its own size, so any sizes do."""
 
     def step(acc: Column, i: Column) -> Column:
         a, b = acc["a"], acc["b"]
-        new_a = F.when(i % 2 == 1, F.pmod(a + F.pmod(_round(key, kind, i, b), left_size), left_size)).otherwise(a)
-        new_b = F.when(i % 2 == 0, F.pmod(b + F.pmod(_round(key, kind, i, a), right_size), right_size)).otherwise(b)
-        return F.struct(new_a.alias("a"), new_b.alias("b"))
+        new_a = F.when(i % 2 == 1, F.pmod(a + F.pmod(_round(key, kind, i, b), acc["m"]), acc["m"])).otherwise(a)
+        new_b = F.when(i % 2 == 0, F.pmod(b + F.pmod(_round(key, kind, i, a), acc["n"]), acc["n"])).otherwise(b)
+        return F.struct(new_a.alias("a"), new_b.alias("b"), acc["m"].alias("m"), acc["n"].alias("n"))
 
-    begin = F.struct(left.cast("long").alias("a"), right.cast("long").alias("b"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step)
-    return out["a"], out["b"]
+    halves = {"a": left, "b": right, "m": left_size, "n": right_size}
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(*[x.cast("long").alias(c) for c, x in halves.items()]), step)
 
 
 def permute_digits(key: Column, kind: str, digits: Column) -> Column:
     """A keyed permutation of the digit strings of each length from 2 to 36."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
-    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    a, b = feistel(
-        key, kind, F.substr(digits, F.lit(1), half).cast("long"), F.substr(digits, half + 1).cast("long"), size(half), size(n - half)
-    )
-    return F.concat(F.lpad(a.cast("string"), half, F.lit("0")), F.lpad(b.cast("string"), n - half, F.lit("0")))
+
+    def permute(d: Column) -> Column:
+        n = F.length(d)
+        half = F.floor(n / 2).cast("int")
+        size = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        mixed = feistel(key, kind, F.substr(d, F.lit(1), half).cast("long"), F.substr(d, half + 1).cast("long"), size(half), size(n - half))
+        padded = lambda x, k: F.lpad(x.cast("string"), k, F.lit("0"))
+        return let(mixed, lambda x: F.concat(padded(x["a"], half), padded(x["b"], n - half)))
+
+    return let(digits, permute)
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a digit string; a multiple of ten is valid."""
 
-    def step(acc: Column, i: Column) -> Column:
-        d = F.substr(digits, F.length(digits) - i, F.lit(1)).cast("int")
-        twice = d * 2
-        return acc + F.when(i % 2 == 0, d).when(twice > 9, twice - 9).otherwise(twice)
+    def total(d: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            one = F.substr(d, F.length(d) - i, F.lit(1)).cast("int")
+            return acc + F.when(i % 2 == 0, one).when(one > 4, one * 2 - 9).otherwise(one * 2)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), step)
+
+    return let(digits, total)
 
 
 def _fill(shape: Column, digits: Column) -> Column:
     """shape with its digits, in order, replaced by those given."""
 
-    def step(acc: Column, c: Column) -> Column:
-        digit = c.between("0", "9")
-        return F.struct(
-            F.concat(acc["s"], F.when(digit, F.substr(digits, acc["k"], F.lit(1))).otherwise(c)).alias("s"),
-            (acc["k"] + digit.cast("int")).alias("k"),
-        )
+    def fill(d: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            digit = c.between("0", "9")
+            new = F.concat(acc["s"], F.when(digit, F.substr(d, acc["k"], F.lit(1))).otherwise(c))
+            return F.struct(new.alias("s"), (acc["k"] + digit.cast("int")).alias("k"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), step)["s"]
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), step)["s"]
+    return let(digits, fill)
 
 
 def _digits(value: Column) -> Column:
@@ -87,43 +99,58 @@ def _digits(value: Column) -> Column:
 
 def _card(key: Column, value: Column) -> Column:
     """Luhn-valid numbers of 13 to 19 digits: all but the check digit are permuted, and a fitting one is put behind."""
-    d = _digits(value)
-    body = permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1))
-    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(luhn_sum(d) % 10 == 0, _fill(value, F.concat(body, check.cast("string"))))
+
+    def card(d: Column) -> Column:
+        check = lambda body: F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        new = let(permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)), lambda body: F.concat(body, check(body).cast("string")))
+        return F.when(luhn_sum(d) % 10 == 0, _fill(value, new))
+
+    return let(_digits(value), card)
 
 
 def _phone(key: Column, value: Column) -> Column:
     """The last ten digits are permuted; the country's code stays."""
-    d = _digits(value)
-    return _fill(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permute_digits(key, "phone", F.substr(d, F.length(d) - 9))))
+    return let(_digits(value), lambda d: _fill(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permute_digits(key, "phone", F.substr(d, F.length(d) - 9)))))
 
 
 def _ssn(key: Column, value: Column) -> Column:
     """Area (001-899 without 666), group (01-99) and serial (0001-9999) are permuted among the valid ones."""
     part = lambda a, n: F.substring(value, a, n).cast("long")
     area = part(1, 3) - 1 - (part(1, 3) > 666).cast("long")
-    a, b = feistel(key, "ssn", area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, F.lit(898), F.lit(99 * 9999))
-    back = a + 1 + (a >= 665).cast("long")
-    return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in ((back, 3), (F.floor(b / 9999) + 1, 2), (b % 9999 + 1, 4))])
+    mixed = feistel(key, "ssn", area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, F.lit(898), F.lit(99 * 9999))
+
+    def write(x: Column) -> Column:
+        parts = ((x["a"] + 1 + (x["a"] >= 665).cast("long"), 3), (F.floor(x["b"] / 9999) + 1, 2), (x["b"] % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in parts])
+
+    return let(mixed, write)
 
 
 def _ip(key: Column, value: Column) -> Column:
     """IPv4 addresses are permuted as 32-bit numbers."""
     o = [F.split(value, r"\.")[k].cast("long") for k in range(4)]
-    a, b = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
-    return F.concat_ws(".", *[x.cast("string") for x in (F.floor(a / 256), a % 256, F.floor(b / 256), b % 256)])
+    mixed = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
+    return let(
+        mixed, lambda x: F.concat_ws(".", *[v.cast("string") for v in (F.floor(x["a"] / 256), x["a"] % 256, F.floor(x["b"] / 256), x["b"] % 256)])
+    )
 
 
 def _date(key: Column, value: Column) -> Column:
     """Dates that exist, from 1900 to August 2099, are permuted among these and written in the same format."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def writer(form: str) -> Callable[[Column], Column]:
+        def write(day: Column) -> Column:
+            mixed = feistel(key, "date", F.floor(day / DAY_SIDE), day % DAY_SIDE, F.lit(DAY_SIDE), F.lit(DAY_SIDE))
+            new = let(mixed, lambda x: F.date_format(F.date_add(first, (x["a"] * DAY_SIDE + x["b"]).cast("int")), form))
+            return F.when(day.between(0, DAY_SIDE * DAY_SIDE - 1), new)
+
+        return write
+
     out = F.lit(None).cast("string")
     for form in DATE_FORMATS:
-        day = F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date"))
-        a, b = feistel(key, "date", F.floor(day / DAY_SIDE), day % DAY_SIDE, F.lit(DAY_SIDE), F.lit(DAY_SIDE))
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAY_SIDE + b).cast("int")), form)
-        shape = F.translate(F.lit(form), "yMd", "000")
-        out = F.when((F.translate(value, "123456789", "000000000") == shape) & day.between(0, DAY_SIDE * DAY_SIDE - 1), new).otherwise(out)
+        fits = F.translate(value, "123456789", "000000000") == form.translate(str.maketrans("yMd", "000"))
+        out = F.when(fits, let(F.datediff(F.try_to_date(value, form), first), writer(form))).otherwise(out)
     return out
 
 

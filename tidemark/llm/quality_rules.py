@@ -54,17 +54,19 @@ class Rule:
         return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
     """Per row: the id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks, n_stutters (words equal to the one before).
 
     Words are runs without ASCII white space. n_dup_lines counts lines with a word that equal an earlier one,
     n_repeat_words the words in windows of 8 words that occur twice or more in the text, the first occurrence included.
-    A null text counts as empty. All of it is computed inside the row."""
+    A null text counts as empty. All of it is computed inside the row. keep_rows adds the row itself as struct `row`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
     trimmed = F.btrim("t", F.lit(SPACE_CHARS))
-    spaced = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
-        "id",
+    carried = ["id", "row"] if keep_rows else ["id"]
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_rows else []
+    spaced = docs.select(F.col(id_col).alias("id"), text.alias("t"), *row).select(
+        *carried,
         "t",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+")).alias("words"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
@@ -75,7 +77,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.array().cast("array<long>")
     )
     hashed = spaced.select(
-        "id",
+        *carried,
         n.cast("long").alias("n_words"),
         (F.length("t") - count(SPACE)).alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
@@ -222,12 +224,13 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, **learning) -> DataFrame:
     """Per row of docs: the id, the statistics, base_failed, rule (number of the rejecting rule, else 0) and kept.
 
     labels: (id, bad boolean), possibly empty: then only the base filter decides. A null text counts as empty and so
-    fails it. Repeated rows stay; other columns are ignored; an empty table gives no rows."""
-    stats = materialise(statistics(docs, id_col, text_col), "statistics")
+    fails it. Repeated rows stay; other columns are ignored; an empty table gives no rows. keep_rows adds each row as
+    struct `row`."""
+    stats = materialise(statistics(docs, id_col, text_col, keep_rows), "statistics")
     features = with_features(stats)
     rules = learn_rules(features, labels, id_col, **learning)
     judged = features.withColumn("base_failed", base_failed()).withColumn("rule", F.when(F.col("base_failed"), 0).otherwise(verdict(rules)))

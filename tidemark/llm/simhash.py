@@ -143,3 +143,16 @@ def near_duplicates(
     else:
         out = out.withColumn("component_id", F.col("c_fp"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, extra_seeds: int = 3) -> DataFrame:
+    """docs without all but the row of the smallest id in each group of near duplicates; rows that repeat that id become
+    one. Columns stay as they are; a null id keeps its row."""
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, extra_seeds)
+    found = materialise(found.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("__first")), "groups")
+    # only the ids that go are shuffled against the texts, but for ids that more than one row has
+    gone = materialise(found.where("not __first").select("__id").distinct(), "gone")
+    kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    if found.groupBy("__id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
