@@ -11,6 +11,7 @@ from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.bpe import default_tokenizer_path, encode_documents
 from tidemark.llm.common import table
 from tidemark.llm.html_extract import extract_main_text
+from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality_rules import judge
@@ -35,6 +36,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), order=2, discount=0.4)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -67,6 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_html_extraction": op4_html_extraction,
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
