@@ -20,7 +20,7 @@ from tidemark.llm.suffix_array import suffix_array
 ANCHOR = 32
 #: Bytes of text that are hashed at once, and that a task gathers before it ships its anchors.
 PIECE, BLOCK = 1 << 19, 1 << 24
-#: Anchors with more different surroundings than this are dealt out by the place of the window.
+#: Anchors with more different surroundings than this are dealt out by the core of their windows.
 MANY = 512
 #: Windows that share one core when surroundings are compared, and characters for one suffix array.
 SPAN, CHUNK = 8, 1 << 18
@@ -138,7 +138,8 @@ def ship_runs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 def settle_runs(shipped: DataFrame, length: int) -> DataFrame:
     """Of all runs by anchor: (doc, a, b) removed for later copies of a span, with key null; and for anchors with several
-    spans the earliest of each, with the anchor as key: (key, doc, pos, a, b), windows from a to b."""
+    spans the earliest of each, with the anchor as key: (key, doc, pos, a, b, hot), windows from a to b. Spans of an anchor
+    that has MANY are hot: they are cut into parts of SPAN windows."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -158,20 +159,20 @@ def settle_runs(shipped: DataFrame, length: int) -> DataFrame:
             k, spans = k[spans > 1], spans[spans > 1]
             a, b, pos = runs["a"][k], b[k], runs["a"][k] + runs["back"][k]
             key, doc, hot = runs["h"][k].view(np.int64), runs["doc"][k], spans > MANY
-            out.append(pd.DataFrame({"doc": doc[~hot], "a": a[~hot], "b": b[~hot], "key": key[~hot], "pos": pos[~hot]}))
+            out.append(pd.DataFrame({"doc": doc[~hot], "a": a[~hot], "b": b[~hot], "key": key[~hot], "pos": pos[~hot], "hot": False}))
             if hot.any():  # equal windows lie equally far before the anchor
                 a, b, pos, key, doc = a[hot], b[hot], pos[hot], key[hot], doc[hot]
                 for j in range((length - ANCHOR) // SPAN + 1):
                     low, high = np.maximum(a, pos - SPAN * j - SPAN + 1), np.minimum(b, pos - SPAN * j)
                     k = low <= high
-                    salted = (key[k].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j + 1)).view(np.int64)
-                    out.append(pd.DataFrame({"doc": doc[k], "a": low[k], "b": high[k], "key": salted, "pos": pos[k]}))
+                    out.append(pd.DataFrame({"doc": doc[k], "a": low[k], "b": high[k], "key": key[k], "pos": pos[k], "hot": True}))
         out = [x for x in out if len(x)]
         if not out:
-            return pd.DataFrame(columns=["doc", "a", "b", "key", "pos"])
-        return pd.concat(out).reindex(columns=["doc", "a", "b", "key", "pos"]).astype({"key": "Int64", "pos": "Int64"})
+            return pd.DataFrame(columns=["doc", "a", "b", "key", "pos", "hot"])
+        out = pd.concat(out).reindex(columns=["doc", "a", "b", "key", "pos", "hot"])
+        return out.astype({"key": "Int64", "pos": "Int64", "hot": "boolean"})
 
-    return shipped.groupBy("bucket").applyInPandas(settle, "doc long, a long, b long, key long, pos long")
+    return shipped.groupBy("bucket").applyInPandas(settle, "doc long, a long, b long, key long, pos long, hot boolean")
 
 
 def compare_windows(texts: list[bytes], docs: list[int], starts: list[int], length: int) -> Iterator[tuple[int, int, int]]:
@@ -254,14 +255,23 @@ def compare_spans(spans: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _cut_spans(joined: DataFrame, length: int) -> DataFrame:
-    """(key, doc, pos, a, b, bytes) from texts with their lists of spans."""
+    """(key, doc, pos, a, b, bytes) from texts with their lists of spans. The key of a hot part takes in the core of bytes
+    that all its windows hold: equal windows still meet, and an anchor that very many texts share is spread."""
+    import xxhash
+
+    def keyed(s, data: bytes) -> int:
+        if not s["hot"]:
+            return s["key"]
+        j = (s["pos"] - s["b"]) // SPAN
+        core = data[s["pos"] - SPAN * j : s["pos"] - SPAN * j - SPAN + 1 + length]
+        return xxhash.xxh3_64_intdigest(core, (s["key"] + j) % (1 << 64)) - (1 << 63)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text, spans in zip(pdf["doc"].tolist(), pdf["text"], pdf["spans"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                rows += [(s["key"], doc, s["pos"], s["a"], s["b"], data[s["a"] : s["b"] + length]) for s in spans]
+                rows += [(keyed(s, data), doc, s["pos"], s["a"], s["b"], data[s["a"] : s["b"] + length]) for s in spans]
             yield pd.DataFrame(rows, columns=["key", "doc", "pos", "a", "b", "bytes"])
 
     return joined.mapInPandas(cut, "key long, doc long, pos long, a long, b long, bytes binary")
@@ -277,7 +287,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     settled = materialise(settle_runs(ship_runs(known, length, buckets), length), "runs")
-    by_doc = settled.where("key is not null").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "a", "b")).alias("spans"))
+    by_doc = settled.where("key is not null").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "a", "b", "hot")).alias("spans"))
     by_doc = materialise(by_doc, "spans")
     fetched = _cut_spans(known.withColumnRenamed("id", "doc").join(by_doc, "doc"), length)
     compared = materialise(compare_spans(fetched, length, buckets), "windows")
