@@ -50,6 +50,14 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
         out.append(({capacity: 1}, n))
     if not left:
         return out
+    uses = _fractional(left, capacity, rounds, step)
+    # the program's amounts, or half or none of them, and the best fit for the rest: whatever needs the fewest
+    return out + min((_rounded(left, capacity, uses, share) for share in (1.0, 0.5, 0.0)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _fractional(left: dict[int, int], capacity: int, rounds: int, step: float) -> dict[tuple, float]:
+    """Patterns and how often the configuration program uses them, scaled to cover no length more often than it occurs, so
+    that the rest keeps short pieces for the gaps."""
     lengths, demand = np.array(list(left)), np.array(list(left.values()), dtype=float)
     prices, covered = lengths / capacity, np.zeros(len(lengths))
     uses: dict[tuple, float] = {}
@@ -68,6 +76,15 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
         pattern = tuple((int(lengths[i]), int(counts[i])) for i in used)
         uses[pattern] = uses.get(pattern, 0) + amount
 
+    over = max(1.0, float((covered / demand).max()))
+    return {pattern: amount / over for pattern, amount in uses.items()}
+
+
+def _rounded(left: dict[int, int], capacity: int, uses: dict[tuple, float], share: float) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of a share of the program's amounts; the rest by the best fit, largest first, each pattern so found as
+    often as what is left allows."""
+    left, out = dict(left), []
+
     def take(pattern: dict[int, int], wanted: int) -> None:
         times = min([wanted, *(left[length] // n for length, n in pattern.items())])
         if times > 0:
@@ -75,10 +92,8 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
                 left[length] -= times * n
             out.append((pattern, times))
 
-    # scaled to cover no length more often than it occurs, so that what is left keeps short pieces for the gaps
-    over = max(1.0, float((covered / demand).max()))
     for pattern, amount in sorted(uses.items(), key=lambda x: -x[1]):
-        take(dict(pattern), int(amount / over))
+        take(dict(pattern), int(amount * share))
     rest = [x for x in sorted(left, reverse=True) if left[x]]
     while rest:
         pattern, room = {}, capacity
@@ -86,7 +101,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
             if n := min(room // length, left[length]):
                 pattern[length] = n
                 room -= n * length
-        take(pattern, capacity * max(histogram.values()))
+        take(pattern, sum(left.values()))
         rest = [x for x in rest if left[x]]
     return out
 
