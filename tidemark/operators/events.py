@@ -56,8 +56,8 @@ def impulses(series: DataFrame, rise: float, span_ms: int, gap_ms: int) -> DataF
         low = 0
         while i < n:
             if px[i] < px[low] or ts[i] - ts[low] > span_ms:
-                # the lowest of the last span, the latest among equals
-                low = min((k for k in range(low, i + 1) if ts[i] - ts[k] <= span_ms), key=lambda k: (px[k], -k))
+                # the lowest of the last span, the earliest among equals
+                low = min((k for k in range(low, i + 1) if ts[i] - ts[k] <= span_ms), key=lambda k: px[k])
             if low < i and px[i] >= px[low] * (1 + rise):
                 peak = i
                 while peak + 1 < n and px[peak + 1] >= px[peak]:
