@@ -54,7 +54,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of its id."""
-    return judge_urls(table(spark, sf_dir, "pages"), bad_quality(spark, sf_dir).withColumnRenamed("doc_id", "page_id"))
+    judged = judge_urls(table(spark, sf_dir, "pages"), bad_quality(spark, sf_dir).withColumnRenamed("doc_id", "page_id"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+def _level(name: str, table: str, key: str, parent: str, means: str) -> str:
+    """CTEs that shrink a level's rates towards the means of its parent, with the prior's strength by moments."""
+    return f"""{name}_prior AS (SELECT {parent}, sum(bad) / sum(seen) AS rate, sum(seen) AS seen, count(*) AS k, sum(bad * bad / seen) AS squares FROM {table} GROUP BY {parent}),
+ {name}_excess AS (SELECT *, rate * (1 - rate) AS noise, squares - seen * rate * rate - (k - 1) * rate * (1 - rate) AS excess FROM {name}_prior),
+ {name}_strength AS (SELECT {parent}, least(greatest(CASE WHEN excess > 0 AND noise > 0 THEN noise / (excess / greatest(seen - seen / k, 1e-9)) - 1 ELSE 200 END, 5), 200) AS strength FROM {name}_excess),
+ {name} AS (SELECT t.{key}, t.bad + s.strength * m.mean AS alpha, t.seen - t.bad + s.strength * (1 - m.mean) AS beta, (t.bad + s.strength * m.mean) / (t.seen + s.strength) AS mean
+ FROM {table} t JOIN {name}_strength s USING ({parent}) JOIN {means} m USING ({parent}))"""
+
+
+URL_SQL = f"""WITH marked AS (SELECT doc_id AS page_id, avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+ rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ parted AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+ hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, 0 AS root, sum(bad) AS bad, CAST(count(*) AS DOUBLE) AS seen FROM parted JOIN marked USING (page_id) WHERE host <> '' GROUP BY host),
+ domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(seen) AS seen FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, 0 AS root, sum(bad) AS bad, sum(seen) AS seen FROM domains GROUP BY suffix),
+ everything AS (SELECT 0 AS root, (sum(bad) + 0.5) / (sum(seen) + 1) AS mean FROM suffixes),
+ {_level("of_suffix", "suffixes", "suffix", "root", "everything")}, {_level("of_domain", "domains", "domain", "suffix", "of_suffix")}, {_level("of_host", "hosts", "host", "domain", "of_domain")},
+ low AS (SELECT host, mean - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bad_low FROM of_host),
+ ruled AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+ WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parted)
+ SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR low.bad_low > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM ruled r LEFT JOIN low USING (host)"""
+
+#: Only URL filters can be said in SQL whole: the others learn, hash, link, tokenize or search.
+ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL}
