@@ -27,37 +27,47 @@ class BlockIndex:
         self.ids, self.vectors = ids, vectors
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
         projected = vectors @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=0)
+        order = np.argsort(projected, axis=0, kind="stable")
+        # the lines' sorted arrays lie end to end, each moved beyond the last, so that one search finds all windows' ends
+        self.shift = np.arange(lines) * (4 * float(np.abs(projected).max(initial=0)) + 4)
+        self.sorted = (np.take_along_axis(projected, order, axis=0) + self.shift).T.ravel()
+        self.order = order.T.ravel()
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(distances, ids) of the k nearest that are found, by distance, then id; the query's own id is left out."""
-        n, lines = self.sorted.shape
-        at = query @ self.lines
-        # the first radius lets the windows hold about k vectors each
-        mid = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(lines)])
-        low, high = np.clip(mid - k, 0, n - 1), np.clip(mid + k, 0, n - 1)
-        spread = np.minimum(np.abs(self.sorted[high, np.arange(lines)] - at), np.abs(self.sorted[low, np.arange(lines)] - at))
+        n, lines = len(self.ids), len(self.shift)
+        at, bound = query @ self.lines, (self.shift[1] if lines > 1 else np.inf) / 4
+        first, last = np.arange(lines) * n, np.arange(1, lines + 1) * n
+
+        def ends(reach: float) -> tuple[np.ndarray, np.ndarray]:
+            low = np.searchsorted(self.sorted, np.clip(at - reach, -bound, bound) + self.shift, "left")
+            high = np.searchsorted(self.sorted, np.clip(at + reach, -bound, bound) + self.shift, "right")
+            return np.clip(low, first, last), np.clip(high, first, last)
+
+        # the first radius lets the windows hold a small share of the block
+        mid, want = ends(0.0)[0], max(k, n // 16)
+        low, high = np.maximum(mid - want, first), np.minimum(mid + want, last - 1)
+        spread = np.minimum(np.abs(self.sorted[high] - self.shift - at), np.abs(self.sorted[low] - self.shift - at))
         radius = float(np.median(spread))
         floor = 1e-9 * (1 + float(np.abs(at).max()))  # projections of equal vectors may differ by rounding
-        counts, verified = np.zeros(n, dtype=np.int32), np.full(n, np.nan)
+        counts, verified = np.zeros(n, dtype=np.int64), np.full(n, np.nan)
         begin, end = mid.copy(), mid.copy()
         while True:
             reach = radius + floor
-            for j in range(lines):
-                column, order = self.sorted[:, j], self.order[:, j]
-                a, b = np.searchsorted(column, at[j] - reach, "left"), np.searchsorted(column, at[j] + reach, "right")
-                a, b = min(a, begin[j]), max(b, end[j])
-                counts[order[a : begin[j]]] += 1
-                counts[order[end[j] : b]] += 1
-                begin[j], end[j] = a, b
+            a, b = ends(reach)
+            a, b = np.minimum(a, begin), np.maximum(b, end)
+            # what the windows have gained on both sides
+            starts, sizes = np.concatenate((a, end)), np.concatenate((begin - a, b - end))
+            places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            counts += np.bincount(self.order[places], minlength=n)
+            begin, end = a, b
             new = np.flatnonzero((counts >= SHARE * lines) & np.isnan(verified))
             if len(new):
                 gap = self.vectors[new] - query
                 verified[new] = np.sqrt((gap * gap).sum(axis=1))
             found = np.flatnonzero(~np.isnan(verified) & (self.ids != query_id))
             complete = len(found) >= k and np.partition(verified[found], k - 1)[k - 1] * MARGIN <= reach
-            if complete or (begin == 0).all() and (end == n).all():
+            if complete or ((begin == first).all() and (end == last).all()):
                 best = found[np.lexsort((self.ids[found], verified[found]))[:k]]
                 return verified[best], self.ids[best]
             radius = max(radius, floor) * GROWTH
