@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Characters of a run without a break beyond which it is cut in halves that are encoded apart.
 LEAF_CHARS = 512
 #: Words whose ids a task remembers; beyond it the later half is forgotten.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 500_000
 
 # The letters and digits of Latin-1, as the tokenizer's pattern takes them (fixed values of Unicode).
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -133,12 +133,16 @@ class Encoder:
         if words is None:
             return self._general(text, decode)
         known = self.shown if decode else self.ids
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            self._learn(missing, decode)
-            if gone := [w for w in dict.fromkeys(words) if w not in known]:  # forgotten to make room
-                self._learn(gone, decode, make_room=False)
-        ids, shown = self.ids, self.shown
-        return b"".join([ids[w] for w in words]), " ".join([shown[w] for w in words]) if decode else None
+        try:
+            return self._look_up(words, decode)
+        except KeyError:
+            self._learn([w for w in set(words) if w not in known], decode)
+        if gone := [w for w in set(words) if w not in known]:  # forgotten to make room
+            self._learn(gone, decode, make_room=False)
+        return self._look_up(words, decode)
+
+    def _look_up(self, words: list[str], decode: bool) -> tuple[bytes, str | None]:
+        return b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words)) if decode else None
 
     def _general(self, text: str, decode: bool) -> tuple[bytes, str | None]:
         """Any text: the library normalises it and cuts it into runs; long runs go through the tree."""
