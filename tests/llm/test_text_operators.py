@@ -108,8 +108,8 @@ def test_links_find_dense_and_chained_fingerprints(spark):
     centre = rng.getrandbits(64)
     ball = [centre ^ (1 << a) for a in range(64)]
     values = list(dict.fromkeys([*chain, *ball, *(rng.getrandbits(64) for _ in range(50))]))
-    fps = spark.createDataFrame([(simhash._signed(x),) for x in values], "fp long")
-    parts = {r.node: r.component for r in connected_components(simhash.link(fps)).collect()}
+    fps = spark.createDataFrame([(0, simhash._signed(x)) for x in values], "seed int, fp long")
+    parts = {r.node: r.component for r in connected_components(simhash.link(fps).select("u", "v")).collect()}
     assert len({parts[simhash._signed(x)] for x in chain}) == 1
     assert len({parts[simhash._signed(x)] for x in ball}) == 1
     assert len(parts) == len(set(chain)) + len(set(ball))
@@ -131,6 +131,23 @@ def test_one_of_each_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (True, 0)]
 
 
+def test_verified_groups_hold_close_copies_and_no_others(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rng.sample(words, 300)
+        near, far = list(base), list(base)
+        near[rng.randrange(300)] = "changed"
+        for at in rng.sample(range(300), 60):
+            far[at] = "other" + str(at)
+        texts += [" ".join(base), " ".join(near), " ".join(far)]
+    frame = spark.createDataFrame([*enumerate(texts), (98, None), (99, " ")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.verified_groups(frame).collect()}
+    assert got == {i: i - 1 if i % 3 == 1 else i for i in range(len(texts))} | {98: 98, 99: 98}
+    assert simhash.verified_groups(frame.limit(0)).count() == 0
+
+
 def test_suffix_array_matches_sorting():
     rng = random.Random(7)
     for _ in range(500):

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[0]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
-    This cuts the lineage, survives lost executors, and keeps what several later steps read from being computed twice."""
+    This cuts the lineage, survives lost executors, and keeps what several later steps read from being computed twice.
+    The files stay until the session's owner removes them or, unless they are lasting, calls forget."""
     path = f"{scratch_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not lasting:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove what materialise has written so far in this process. Results that haven't been written or collected yet can
+    no longer be computed afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,27 +15,36 @@ from tidemark.llm.graph import connected_components
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int, extra_seeds: int = 0) -> list[int]:
-    """SimHash of the XXH64 (seed 42) values of a text's word shingles, as unsigned integers, one for each seed.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included, as unsigned 64-bit integers.
 
     A-Z are lower-cased; words are runs without ASCII white space; fewer words than a shingle has make one shingle;
-    no words: zero. Further fingerprints take the same values through a multiplicative mix."""
+    no words: none."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return [0] * (1 + extra_seeds)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        n = len(words) - shingle + 1
-        hashes = np.fromiter(
-            (digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n
-        )
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    n = len(words) - shingle + 1
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int, extra_seeds: int = 0, distinct: bool = False) -> list[int]:
+    """SimHash of a text's shingle_hashes, as unsigned integers, one for each seed; zero for a text without words.
+
+    Further fingerprints take the same values through a multiplicative mix. distinct: each different shingle counts
+    once."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * (1 + extra_seeds)
+    if distinct:
+        hashes = np.unique(hashes)
     out = []
     for seed in range(1 + extra_seeds):
         if seed:
@@ -49,13 +58,13 @@ def fingerprint(text: str | None, shingle: int, extra_seeds: int = 0) -> list[in
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, extra_seeds: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, extra_seeds: int = 0, distinct: bool = False) -> DataFrame:
     """(id_col, fp long), or with extra seeds (id_col, fp, fp1, ...): the signed form of each text's fingerprints."""
     names = ["fp", *(f"fp{k}" for k in range(1, 1 + extra_seeds))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = np.array([fingerprint(t, shingle, extra_seeds) for t in pdf["text"]], dtype=np.uint64).reshape(-1, len(names))
+            found = np.array([fingerprint(t, shingle, extra_seeds, distinct) for t in pdf["text"]], dtype=np.uint64).reshape(-1, len(names))
             yield pd.DataFrame({"id": pdf["id"]} | {c: found[:, k].view(np.int64) for k, c in enumerate(names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -88,67 +97,100 @@ def _neighbours(fp: Column, varying: Column) -> Column:
 
 
 def link(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints (fp long) with the same connected components as all pairs that differ in
-    at most 2 bits.
+    """Edges (seed, u, v) over distinct fingerprints (seed int, fp long) with the same connected components, within each
+    seed, as all pairs that differ in at most 2 bits.
 
     Covering hashing finds the candidates: every such pair shares a bucket of some mask. Inside a bucket no pairs are
     listed, however full it is: two fingerprints are within 2 bits exactly if they share a point within 1 bit of both,
     and only bits that vary in the bucket can differ, so each member names its points, and each point links its members
     (65 at most) in a star. Rows grow with the members, not with their pairs."""
     masks = covering_masks(2)
-    slots = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key"))
-    slots = materialise(slots, "slots")
-    full = slots.groupBy("mask", "key").agg(F.count("*").alias("n"), F.expr("bit_or(fp) & ~bit_and(fp)").alias("varying"))
+    slots = fps.select("seed", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key"))
+    full = slots.groupBy("seed", "mask", "key").agg(F.count("*").alias("n"), F.expr("bit_or(fp) & ~bit_and(fp)").alias("varying"))
     # two members that vary in more than two bits are no link
-    full = materialise(full.where("n > 2 or (n = 2 and bit_count(varying) <= 2)").select("mask", "key", "varying"), "buckets")
+    full = materialise(full.where("n > 2 or (n = 2 and bit_count(varying) <= 2)").select("seed", "mask", "key", "varying"), "buckets")
     points = (
-        slots.join(full, ["mask", "key"])
-        .groupBy("fp")
+        slots.join(full, ["seed", "mask", "key"])
+        .groupBy("seed", "fp")
         .agg(F.expr("bit_or(varying)").alias("varying"))
-        .select("fp", F.explode(_neighbours(F.col("fp"), F.col("varying"))).alias("point"))
+        .select("seed", "fp", F.explode(_neighbours(F.col("fp"), F.col("varying"))).alias("point"))
     )
     points = materialise(points, "points")
-    heads = materialise(points.groupBy("point").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").select("point", "head"), "heads")
-    return points.join(heads, "point").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    heads = points.groupBy("seed", "point").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = materialise(heads.select("seed", "point", "head"), "heads")
+    return points.join(heads, ["seed", "point"]).where("fp <> head").select("seed", F.col("fp").alias("u"), F.col("head").alias("v"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, extra_seeds: int = 0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component_id): the smallest id that links reach from each row, where fingerprints link at 2 or
     fewer differing bits.
 
     Null and blank texts have fingerprint zero and link like any other. Equal fingerprints are one node, so exact
-    copies cost nothing. With extra seeds, equal components under any seed are joined as well. Other columns of docs are
-    ignored; repeated ids are kept as rows; an empty table gives no rows."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, extra_seeds).withColumnRenamed(id_col, "id"), "fingerprints")
-    names = ["fp", *(f"fp{k}" for k in range(1, 1 + extra_seeds))]
-    labels = []
-    for name in names:
-        nodes = materialise(prints.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("least")), "nodes")
-        parts = connected_components(link(nodes.select("fp"))).withColumnsRenamed({"node": "fp", "component": "part"})
-        parts = materialise(parts, "parts")
-        nodes = nodes.join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-        nodes = materialise(nodes, "nodes")
-        roots = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-        labels.append(materialise(nodes.join(materialise(roots, "roots"), "part").select(F.col("fp").alias(name), F.col("component_id").alias(f"c_{name}")), "labels"))
-    out = prints
-    for name, found in zip(names, labels, strict=True):
-        out = out.join(found, name)
-    if extra_seeds:
-        out = materialise(out, "seeds")
-        edges = out.select(F.explode(F.array(*[F.struct(F.col("id").alias("u"), F.col(f"c_{n}").alias("v")) for n in names])).alias("e")).select("e.*")
-        parts = materialise(connected_components(edges).withColumnsRenamed({"node": "id", "component": "part"}), "parts")
-        out = out.join(parts, "id", "left").withColumn("component_id", F.coalesce("part", "id"))
-    else:
-        out = out.withColumn("component_id", F.col("c_fp"))
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, extra_seeds: int = 3) -> DataFrame:
-    """docs without all but the row of the smallest id in each group of near duplicates; rows that repeat that id become
-    one. Columns stay as they are; a null id keeps its row."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, extra_seeds)
+    copies cost nothing. Other columns of docs are ignored; repeated ids are kept as rows; an empty table gives no
+    rows."""
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "fingerprints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    parts = connected_components(link(nodes.select(F.lit(0).alias("seed"), "fp")).select("u", "v")).withColumnsRenamed({"node": "fp", "component": "part"})
+    nodes = nodes.join(materialise(parts, "parts"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    nodes = materialise(nodes, "nodes")
+    roots = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
+    labels = materialise(nodes.join(materialise(roots, "roots"), "part").select("fp", "component_id"), "labels")
+    return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def verified_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, extra_seeds: int = 7
+) -> DataFrame:
+    """(id, component_id): groups of rows that links join, where the distinct `shingle`-word shingles of both texts have a
+    Jaccard similarity of `similarity` or more.
+
+    Fingerprints over a text's distinct words, of several seeds, propose the links: a few changed words move them by a
+    bit or two, where they change five times as many shingles. Texts with equal shingles are one node. Of each point
+    within 1 bit, the members are compared with the smallest, so comparisons grow with the rows, not with their pairs;
+    a pair that shares no point in any seed isn't compared. Blank texts are equal to each other."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            prints = np.array([fingerprint(t, 1, extra_seeds, True) for t in pdf["text"]], dtype=np.uint64).reshape(-1, 1 + extra_seeds)
+            same = [xxhash.xxh3_128_hexdigest(np.unique(shingle_hashes(t, shingle)).tobytes()) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "same": same, "prints": list(prints.view(np.int64))})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    measured = materialise(known.mapInPandas(measure, f"id {kind}, same string, prints array<long>"), "measured")
+    nodes = materialise(measured.groupBy("same").agg(F.min("id").alias("node"), F.min_by("prints", "id").alias("prints")), "nodes")
+    mine = materialise(nodes.select("node", F.posexplode("prints").alias("seed", "fp")), "prints")
+    # of equal fingerprints the smallest node stands for the print; the others are compared with it
+    heads = materialise(mine.groupBy("seed", "fp").agg(F.min("node").alias("head")), "heads")
+    equal = mine.join(heads, ["seed", "fp"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    links = materialise(link(heads.select("seed", "fp")).distinct(), "links")
+    name = lambda c, h: heads.select("seed", F.col("fp").alias(c), F.col("head").alias(h))
+    near = links.join(name("u", "a"), ["seed", "u"]).join(name("v", "b"), ["seed", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    proposed = equal.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    proposed = materialise(proposed, "proposed")
+    asked = materialise(proposed.select(F.col("u").alias("id")).union(proposed.select("v")).distinct(), "asked")
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pdf["text"]]})
+
+    sets = materialise(known.join(asked, "id", "left_semi").mapInPandas(gather, f"id {kind}, shingles array<long>"), "shingles")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
+    both = proposed.join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("s_u", "s_v"))
+    near = both.where(common >= similarity * (F.size("s_u") + F.size("s_v") - common)).select("u", "v")
+    parts = materialise(connected_components(near).withColumnRenamed("component", "part"), "parts")
+    labels = materialise(nodes.join(parts, "node", "left").select("same", F.coalesce("part", "node").alias("component_id")), "labels")
+    return measured.join(labels, "same").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but the row of the smallest id in each of the verified_groups; rows that repeat that id become one.
+
+    Columns stay as they are; a null id keeps its row."""
+    found = verified_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity)
     found = materialise(found.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("__first")), "groups")
     # only the ids that go are shuffled against the texts, but for ids that more than one row has
     gone = materialise(found.where("not __first").select("__id").distinct(), "gone")
