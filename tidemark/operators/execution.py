@@ -37,9 +37,10 @@ def walk_book(levels: Column, notional_usd: float, max_levels: int = 10) -> Colu
     target = round(notional_usd * MICRO)
 
     def step(acc: Column, x: Column) -> Column:
-        worth = F.floor(x["price_u"].cast("decimal(19,0)") * x["qty_u"].cast("decimal(19,0)") / F.lit(MICRO).cast("decimal(7,0)")).cast("long")
+        wide = lambda v: v.cast("decimal(19,0)")
+        worth = F.call_function("div", wide(x["price_u"]) * wide(x["qty_u"]), wide(F.lit(MICRO)))
         take = F.least(worth, F.lit(target) - acc["spent_u"])
-        shares = F.floor(take.cast("decimal(19,0)") * F.lit(MICRO).cast("decimal(7,0)") / x["price_u"].cast("decimal(19,0)")).cast("long")
+        shares = F.call_function("div", wide(take) * wide(F.lit(MICRO)), wide(x["price_u"]))
         return F.when(take <= 0, acc).otherwise(
             F.struct((acc["spent_u"] + take).alias("spent_u"), (acc["shares_qu"] + shares).alias("shares_qu"), (acc["levels_used"] + 1).alias("levels_used"))
         )
