@@ -48,6 +48,30 @@ def _unique(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.n
     return distinct, counts, places
 
 
+def _shrink(codes: np.ndarray, width: int) -> bytes:
+    """Codes as compressed planes of bytes; frequent words have small codes, so high planes are almost empty."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def _grow(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    top = int(values.max(initial=0))
+    return values.astype(next(kind for kind in ("u1", "<u2", "<u4", "<u8") if top <= np.iinfo(kind).max)).tobytes()
+
+
+def _widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, sizes, codes, vocabulary): words of some documents as places in the block's own vocabulary of hashes."""
 
@@ -59,9 +83,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def row() -> pd.DataFrame:
             vocabulary = np.fromiter((digest(w) | 1 for w in known), np.uint64, len(known))
-            kind = "<u2" if len(known) <= 1 << 16 else "<u4"
-            all_codes = np.concatenate(codes) if codes else np.zeros(0)
-            return pd.DataFrame([{"block": uuid.uuid4().hex, "ids": np.array(ids, dtype="<i8").tobytes(), "sizes": np.array(sizes, dtype="<i8").tobytes(), "codes": all_codes.astype(kind).tobytes(), "wide": kind == "<u4", "vocabulary": vocabulary.astype("<u8").tobytes()}])
+            flat = np.concatenate(codes)
+            by_count = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
+            rank = np.empty(len(known), dtype=np.int64)
+            rank[by_count] = np.arange(len(known))
+            width = 2 if len(known) <= 1 << 16 else 4
+            return pd.DataFrame([{"block": uuid.uuid4().hex, "ids": np.array(ids, dtype="<i8").tobytes(), "sizes": np.array(sizes, dtype="<i8").tobytes(), "codes": _shrink(rank[flat], width), "width": width, "vocabulary": vocabulary[by_count].astype("<u8").tobytes()}])
 
         for pdf in batches:
             for i, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
@@ -77,22 +104,23 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInPandas(run, "block string, ids binary, sizes binary, codes binary, wide boolean, vocabulary binary")
+    return docs.mapInPandas(run, "block string, ids binary, sizes binary, codes binary, width int, vocabulary binary")
 
 
 def _read(r, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """(ids, document of each word, its place there, _unique of the n-grams) of a block's row."""
     ids, sizes = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.sizes, "<i8")
-    codes = np.frombuffer(r.codes, "<u4" if r.wide else "<u2")
-    words = np.frombuffer(r.vocabulary, "<u8")[codes]
+    words = np.frombuffer(r.vocabulary, "<u8")[_grow(r.codes, r.width)]
     owner = np.repeat(np.arange(len(ids)), sizes)
     first = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return ids, owner, first, _unique(ngram_hashes(words, first, order))
 
 
 def _deal(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the hashes by bucket, bounds of the buckets in it); hash 0 stands for no n-gram and goes along."""
-    bucket = (distinct >> np.uint64(20)) % np.uint64(buckets)
+    """(order of the hashes by bucket, bounds of the buckets in it); hash 0 stands for no n-gram and goes along.
+
+    The bucket comes from the upper bits; within it the lower 48 name the n-gram."""
+    bucket = (distinct >> np.uint64(44)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -145,18 +173,20 @@ def score_documents(
             for r in pdf.itertuples():
                 distinct, counts, _ = _read(r, order)[3]
                 at, bounds = _deal(distinct, buckets)
-                hashes, counts = distinct[at].astype("<u8"), counts[at].astype("<u4")
+                hashes, counts = np.ascontiguousarray(distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]), counts[at]
                 yield pd.DataFrame(
-                    [(b, r.block, hashes[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x],
+                    [(b, r.block, hashes[x:y].tobytes(), _narrow(counts[x:y])) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x],
                     columns=["bucket", "block", "hashes", "counts"],
                 )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [np.frombuffer(h, "<u8") for h in pdf["hashes"]]
-        _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]])).astype("<i8")
-        cuts = np.cumsum([len(a) for a in asked])[:-1]
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [total[x].tobytes() for x in np.split(inverse, cuts)]})
+        low = np.zeros((sum(map(len, pdf["hashes"])) // 6, 8), dtype=np.uint8)
+        low[:, :6] = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, 6)
+        sizes = [len(h) // 6 for h in pdf["hashes"]]
+        _, inverse = np.unique(low.view("<u8").ravel(), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([_widen(c, n) for c, n in zip(pdf["counts"], sizes, strict=True)])).astype("<i8")
+        cuts = np.cumsum(sizes)[:-1]
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [_narrow(total[x]) for x in np.split(inverse, cuts)]})
 
     asked = blocks.mapInPandas(ask, "bucket int, block string, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "block string, bucket int, counts binary")
@@ -169,7 +199,7 @@ def score_documents(
             counts = np.zeros(len(distinct), dtype=np.int64)
             at, bounds = _deal(distinct, buckets)
             for b, data in zip(told["bucket"], told["counts"], strict=True):
-                counts[at[bounds[b] : bounds[b + 1]]] = np.frombuffer(data, "<i8")
+                counts[at[bounds[b] : bounds[b + 1]]] = _widen(data, bounds[b + 1] - bounds[b])
             logs = backoff_logs(owner, places, counts, sizes, discount)
             n = np.bincount(owner, minlength=len(ids))
             out.append(pd.DataFrame({"id": ids, "n_words": n, "log10_score": np.bincount(owner, weights=logs, minlength=len(ids))}))
