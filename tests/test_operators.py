@@ -127,3 +127,34 @@ def test_quadratic_fit_recovers_its_derivatives(spark):
     df = spark.createDataFrame([(1, t, 5 + 3 * t + 2 * t * t) for t in range(8)], "symbol int, day int, close_u long")
     last = quadratic_derivatives(df, 4).where("day = 7").first()
     assert abs(last.velocity - (3 + 4 * 7)) < 1e-6 and abs(last.acceleration - 4) < 1e-6
+
+
+def test_signal_exits_match_a_plain_scan(spark):
+    import random
+
+    from tidemark.operators import exits
+
+    rng = random.Random(5)
+    prices = [(s, t * 10 + 5, k, 100 + rng.randint(-9, 9)) for s in (1, 2) for k, t in enumerate(range(0, 60, 2))]
+    signal = [(s, t * 10, rng.randint(1, 9)) for s in (1, 2) for t in range(60)]
+    entries = [(i, 1 + i % 2, rng.randint(0, 620)) for i in range(40)]
+    rules = {"stall": ("stall", 40), "worsen": ("worsen", 5), "drop": ("drop", 0.3), "rise": ("rise", 2.0)}
+    table = spark.createDataFrame([(r, *x) for r in rules for x in signal], "rule string, symbol int, ts_ms long, value int")
+    got = exits.signal_exits(spark.createDataFrame(prices, "symbol int, ts_ms long, event_id int, price_u long"), table, spark.createDataFrame(entries, "entry_id int, symbol int, entry_ms long"), rules, horizon_ms=100)
+    for r in got.collect():
+        _, symbol, start = entries[r.entry_id]
+        seen = [(t, v) for s, t, v in signal if s == symbol and start <= t <= start + 100]
+        at = lambda t: max(((u, p) for s, u, _, p in prices if s == symbol and u <= t), default=(None, None))  # noqa: B023, E731
+        kind, bound = rules[r.rule]
+        hit = None
+        for i, (t, v) in enumerate(seen):
+            before = seen[:i]
+            if hit or not before or at(t)[1] is None:
+                continue
+            low, since = min((w, u) for u, w in before)
+            fired = {"stall": v >= low and t - since >= bound, "worsen": v >= low + bound, "drop": v <= bound * max(w for _, w in before), "rise": v >= bound * seen[0][1]}[kind]
+            hit = (t, at(t)[1]) if fired else None
+        last = at(start + 100)
+        end = hit or (last if last[0] is not None and last[0] >= start else None)
+        want = (end[1], end[0], hit is not None, True) if len(seen) >= 3 and end else (None, None, False, False)
+        assert (r.exit_u, r.exit_ms, r.filled, r.available) == want, r

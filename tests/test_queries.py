@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import research  # noqa: F401
+from tidemark.plans import exits, research  # noqa: F401
 from tidemark.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
