@@ -249,3 +249,45 @@ def test_repeated_rows_and_null_ids_have_results(spark):
     assert suffix_dedup.remove_repeats(frame).count() == 4
     assert encode_documents(frame, default_tokenizer_path()).count() == 4
     assert score_documents(frame).count() == 4
+
+
+def shingle_set(text: str) -> frozenset:
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def brute_groups(texts: list[str]) -> dict[int, int]:
+    """The smallest number each text reaches over pairs of Jaccard similarity 0.8 or more."""
+    sets, group = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if 5 * common >= 4 * (len(a) + len(sets[j]) - common):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return dict(enumerate(group))
+
+
+def edited_texts(seed: int) -> list[str]:
+    """Texts and copies of them around a similarity of 0.8: with a passage appended, cut off, put before, and with single
+    words changed; all have a passage in common."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(30):
+        size = rng.randrange(100, 500)
+        base, more = [*words[:20], *rng.choices(words, k=size)], rng.choices(words, k=size)
+        share = rng.uniform(0.12, 0.27)
+        scattered = list(base)
+        for at in rng.sample(range(20, 20 + size), int(size * share / 9)):
+            scattered[at] = "other" + str(at)
+        texts += [base, base + more[: int(size * share)], base[: int(size * (1 - share))], more[: int(size * share)] + base, scattered]
+    return [" ".join(t) for t in texts]
+
+
+def test_verified_groups_lose_no_pair_at_the_threshold(spark):
+    texts = edited_texts(5)
+    want = brute_groups(texts)
+    assert 20 < sum(i != g for i, g in want.items()) < 110
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.verified_groups(frame).collect()} == want

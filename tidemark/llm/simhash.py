@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,52 +139,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: A round of verified_groups lists all pairs of its points once there are at most this many for each member.
+LISTED = 10
+
+
 def verified_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, extra_seeds: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(id, component_id): groups of rows that links join, where the distinct `shingle`-word shingles of both texts have a
-    Jaccard similarity of `similarity` or more.
+    """(id, component_id): groups of rows that links join; every two rows whose texts' distinct `shingle`-word shingles have
+    a Jaccard similarity of `similarity` or more are linked, and no others.
 
-    Fingerprints over a text's distinct words, of several seeds, propose the links: a few changed words move them by a
-    bit or two, where they change five times as many shingles. Texts with equal shingles are one node. Of each point
-    within 1 bit, the members are compared with the smallest, so comparisons grow with the rows, not with their pairs;
-    a pair that shares no point in any seed isn't compared. Blank texts are equal to each other."""
+    Texts with equal shingles are one node. Prefix filtering proposes the pairs and loses none: whatever order all
+    shingles are given, two similar sets share one among the first n - ceil(similarity * n) + 1 of each, and k among
+    k - 1 more. By hash first, which leaves the nodes that share enough with any other; among those by frequency, so that
+    common passages come last. Pairs are not listed where links already join them; see _all_links. Blank texts are
+    equal to each other."""
+    def least_common(n: int) -> int:
+        return math.ceil(similarity * n - 1e-9)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in batches:
-            prints = np.array([fingerprint(t, 1, extra_seeds, True) for t in pdf["text"]], dtype=np.uint64).reshape(-1, 1 + extra_seeds)
-            same = [xxhash.xxh3_128_hexdigest(np.unique(shingle_hashes(t, shingle)).tobytes()) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "same": same, "prints": list(prints.view(np.int64))})
+            same, first, need = [], [], []
+            for t in pdf["text"]:
+                found = np.unique(shingle_hashes(t, shingle))
+                n = len(found)
+                k = max(1, n // 10)
+                same.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+                first.append(found[: n - least_common(n) + k].view(np.int64))
+                need.append(k)
+            yield pd.DataFrame({"id": pdf["id"], "same": same, "need": need, "first": first})
 
     kind = docs.schema[id_col].dataType.simpleString()
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    measured = materialise(known.mapInPandas(measure, f"id {kind}, same string, prints array<long>"), "measured")
-    nodes = materialise(measured.groupBy("same").agg(F.min("id").alias("node"), F.min_by("prints", "id").alias("prints")), "nodes")
-    mine = materialise(nodes.select("node", F.posexplode("prints").alias("seed", "fp")), "prints")
-    # of equal fingerprints the smallest node stands for the print; the others are compared with it
-    heads = materialise(mine.groupBy("seed", "fp").agg(F.min("node").alias("head")), "heads")
-    equal = mine.join(heads, ["seed", "fp"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    links = materialise(link(heads.select("seed", "fp")).distinct(), "links")
-    name = lambda c, h: heads.select("seed", F.col("fp").alias(c), F.col("head").alias(h))
-    near = links.join(name("u", "a"), ["seed", "u"]).join(name("v", "b"), ["seed", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    proposed = equal.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    proposed = materialise(proposed, "proposed")
-    asked = materialise(proposed.select(F.col("u").alias("id")).union(proposed.select("v")).distinct(), "asked")
+    measured = materialise(known.mapInPandas(measure, f"id {kind}, same string, need int, first array<long>"), "measured")
+    nodes = measured.groupBy("same").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.first("first").alias("first"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = nodes.select("node", "need", F.explode("first").alias("h"))
+    shared = materialise(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    asked = rows.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
+    asked = materialise(nodes.join(asked.select("node"), "node", "left_semi").select(F.col("least").alias("id"), "same", "node"), "asked")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pdf["text"]]})
-
-    sets = materialise(known.join(asked, "id", "left_semi").mapInPandas(gather, f"id {kind}, shingles array<long>"), "shingles")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = proposed.join(side("u"), "u").join(side("v"), "v")
-    common = F.size(F.array_intersect("s_u", "s_v"))
-    near = both.where(common >= similarity * (F.size("s_u") + F.size("s_v") - common)).select("u", "v")
-    parts = materialise(connected_components(near).withColumnRenamed("component", "part"), "parts")
-    labels = materialise(nodes.join(parts, "node", "left").select("same", F.coalesce("part", "node").alias("component_id")), "labels")
-    return measured.join(labels, "same").select(F.col("id").alias(id_col), "component_id")
+            out = []
+            for node, same, t in zip(pdf["node"], pdf["same"], pdf["text"], strict=True):
+                found = np.unique(shingle_hashes(t, shingle))
+                # an id may stand on several texts
+                if xxhash.xxh3_128_hexdigest(found.tobytes()) == same:
+                    out.append((node, len(found), len(found) - least_common(len(found)) + 1, found.view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", "prefix", "shingles"])
+
+    sets = materialise(known.join(asked, "id").mapInPandas(gather, "node long, n int, prefix int, shingles array<long>"), "shingles")
+    rows = sets.select("node", "n", "prefix", F.explode("shingles").alias("h"))
+    counts = materialise(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    ranked = rows.join(counts, "h").groupBy("node", "n", "prefix").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
+    # shingles of one node alone come first and can meet nobody
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("s")).where("prefix > alone")
+    points = ranked.select("node", "n", "alone", F.posexplode(F.expr("slice(s, 1, prefix - alone)")).alias("at", "s"))
+    points = materialise(points.select("node", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("s.h").alias("h")), "points")
+    links = _all_links(points, sets.select("node", "shingles"), similarity)
+    parts = materialise(connected_components(links).withColumnRenamed("component", "part"), "parts")
+    joined = nodes.select("same", "least", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    joined = materialise(joined.select("same", "least", "part"), "joined")
+    roots = materialise(joined.groupBy("part").agg(F.min("least").alias("component_id")), "roots")
+    labels = materialise(joined.join(roots, "part").select("same", "component_id"), "labels")
+    return measured.select("id", "same").join(labels, "same").select(F.col("id").alias(id_col), "component_id")
+
+
+def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: int = LISTED) -> DataFrame:
+    """Edges (u, v) with the same connected components as all pairs of nodes that share a point and whose sets have a
+    Jaccard similarity of `similarity` or more.
+
+    points: (node, n, at, h): node's set of n has h at place `at` of its order; sets: (node, shingles). While the pairs
+    not joined yet are more than `listed` a member, the members of each point are compared with one of them, another in
+    every round, and those that links join are one part. When a round helps little or pairs are few, every pair of two
+    parts that is left is compared; a point with many members is dealt in pairs of blocks. So no member's rejection
+    stands for another's."""
+    block = 500
+    links = None
+    members, before = points.withColumn("part", F.col("node")), None
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs of (u_*, v_*) that could be and are similar."""
+        could = (
+            (F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-6)
+            # no more than this point and all behind it can be common to both, if it is the first that is
+            & (F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n")) - 1e-6)
+        )
+        asked = pairs.where("u_part <> v_part").where(could).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
+        both = materialise(asked, "proposed").join(side("u"), "u").join(side("v"), "v")
+        common = F.size(F.array_intersect("s_u", "s_v"))
+        return materialise(both.where(common / (F.size("s_u") + F.size("s_v") - common) >= similarity).select("u", "v"), "links")
+
+    def sided(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumnsRenamed({x: f"{c}_{x}" for x in ("node", "n", "at", "part")})
+
+    turn = 0
+    while True:
+        sizes = members.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("k")).where("k > 1")
+        sizes = materialise(sizes, "sizes")
+        pairs, rows = sizes.agg(F.coalesce(F.sum((F.col("all").cast("double") * F.col("all") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        members = materialise(members.join(sizes.select("h", "all"), "h"), "members")
+        if pairs <= listed * rows or before is not None and pairs > 0.8 * before:
+            break
+        before = pairs
+        first = F.min_by(F.struct("node", "n", "at", "part"), F.xxhash64("node", F.lit(turn)))
+        heads = materialise(members.groupBy("h").agg(first.alias("x")).select("h", "x.*"), "heads")
+        found = similar(sided(members, "u").join(sided(heads, "v"), "h"))
+        links = found if links is None else links.union(found)
+        parts = materialise(connected_components(links).withColumnRenamed("component", "new"), "parts")
+        members = members.drop("part", "all").join(parts, "node", "left").withColumn("part", F.coalesce("new", "node")).drop("new")
+        members, turn = materialise(members, "members"), turn + 1
+    blocks = F.ceil(F.col("all") / block).cast("int")
+    mine = members.withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = materialise(mine.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("all"), "dealt")
+    u = sided(dealt.where("x <= y"), "u").withColumnsRenamed({"x": "a", "y": "b"})
+    v = sided(dealt.where("x >= y"), "v").withColumnsRenamed({"x": "b", "y": "a"})
+    found = similar(u.join(v, ["h", "a", "b"]))
+    return found if links is None else links.union(found)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
