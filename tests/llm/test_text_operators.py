@@ -178,7 +178,7 @@ def test_removed_bytes_match_brute_force(spark, docs, empty, monkeypatch, many):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_texts_longer_than_a_piece(spark, monkeypatch):
+def test_texts_longer_than_a_piece(spark):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     rng = random.Random(9)
     long = "".join(rng.choices("abcdef \n", k=5000))
@@ -291,3 +291,22 @@ def test_verified_groups_lose_no_pair_at_the_threshold(spark):
     assert 20 < sum(i != g for i, g in want.items()) < 110
     frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.verified_groups(frame).collect()} == want
+
+
+def test_verified_groups_keep_links_among_what_the_smallest_rejects(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    one = list(words)
+    near = [*one[1:], one[0]]  # the same words, nearly in the same order
+    other = sorted(words)
+    texts = [" ".join(t) for t in (other, one, near)]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = {0: 0, 1: 1, 2: 1}
+    assert brute_groups(texts) == want
+    assert {r.doc_id: r.component_id for r in simhash.verified_groups(frame).collect()} == want
+    # rounds of heads, then the pairs left
+    members = [(1, [1, 2, 3, 4, 5]), (2, [6, 7, 8, 9, 1]), (3, [6, 7, 8, 9, 1]), (4, [1, 2, 3, 4, 5]), (5, [1, 6, 20, 21, 22])]
+    sets = spark.createDataFrame(members, "node long, shingles array<long>")
+    points = spark.createDataFrame([(node, 5, 0, 1) for node, _ in members], "node long, n int, at int, h long")
+    found = simhash._all_links(points, sets, 0.8, listed=0)
+    assert {(r.u, r.v) for r in found.collect()} == {(1, 4), (2, 3)}
