@@ -157,3 +157,16 @@ def test_patterns_hold_the_histogram(scale):
     assert held == histogram
     bound = max(-(-sum(n * k for n, k in histogram.items()) // 100), sum(k for n, k in histogram.items() if n > 50))
     assert sum(t for _, t in plan) <= 1.02 * bound + 1
+
+
+def test_hosts_without_labels_have_their_domains_prior(spark):
+    rows = [(h * 1000 + i, f"http://h{h}.bad.test/{i}") for h in range(20) for i in range(50)]
+    rows += [(50_000 + i, f"http://fine{i % 20}.good.test/{i}") for i in range(1000)]
+    labels = [(i, i < 50_000) for i, _ in rows]
+    fresh = ["http://new.bad.test/x", "http://new.good.test/x", "http://new.other.test/x", "http://new.other.else/x"]
+    pages = spark.createDataFrame(rows + [(90_000 + i, u) for i, u in enumerate(fresh)], "page_id long, url string")
+    judged = judge_urls(pages, spark.createDataFrame(labels, "page_id long, bad boolean"))
+    got = {r.page_id - 90_000: r for r in judged.where("page_id >= 90000").collect()}
+    assert [got[i].verdict for i in range(4)] == ["block", "allow", "allow", "allow"]
+    assert got[0].bad_low > 0.4 > got[1].bad_low and all(r.bad_low is not None for r in got.values())
+    assert judged.count() == len(rows) + 4
