@@ -170,3 +170,20 @@ def test_hosts_without_labels_have_their_domains_prior(spark):
     assert [got[i].verdict for i in range(4)] == ["block", "allow", "allow", "allow"]
     assert got[0].bad_low > 0.4 > got[1].bad_low and all(r.bad_low is not None for r in got.values())
     assert judged.count() == len(rows) + 4
+
+
+def test_container_keeps_all_of_the_article():
+    made = [
+        f"<body><div class='top'>x{i}</div><article><h1>Headline {i}</h1><div class='lead'>lead {i}</div><div class='entry-content'><p>{('word%d ' % i) * 200}</p></div></article></body>"
+        for i in range(4)
+    ]
+    container, _ = infer_wrapper(made)
+    assert container == "body/article"
+    assert main_text(made[1], container).startswith("Headline 1\n\nlead 1\n\nword1")
+    split = [f"<body><div><div class='one'>{('a%d ' % i) * 100}</div><div class='two'>b{i}</div></div></body>" for i in range(3)]
+    assert main_text(split[0], infer_wrapper(split)[0]).endswith("\n\nb0")
+    long = "x" * 150
+    deep = [f"<body><div class='{long}'><p>text {i}</p></div><p>same</p></body>" for i in range(3)]
+    assert infer_wrapper(deep)[0] == f"body/div.{long}"
+    pages = ["<p></p><b></b>" * 3000 + f"<i>{i}</i>" for i in range(2)]
+    assert stream(pages[0])[-3:] == [("tag", "i"), ("text", "0"), ("tag", "/i")]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html import unescape
@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, shuffle_partitions
 from tidemark.llm.url_filters import url_parts
 
-#: Pages of a host that its wrapper is inferred from, tokens of each that are aligned, and the longest repeated group.
-SAMPLE, ALIGNED, GROUP = 12, 4000, 12
-#: The share of a host's article-like text that the wrapper's container holds.
-HELD = 0.8
-#: Wrappers up to this number are broadcast (each has one path of at most PATH_CHARS); more are joined by a shuffle.
-BROADCAST_WRAPPERS, PATH_CHARS = 2_000, 100
+#: Pages of a host that its wrapper is inferred from, and the longest repeated group.
+SAMPLE, GROUP = 12, 12
+#: Wrappers up to this number, with paths of this many characters in all, are broadcast; more are joined by a shuffle.
+BROADCAST_WRAPPERS, BROADCAST_CHARS = 2_000, 200_000
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|title"
 _TOKEN = re.compile(
@@ -34,6 +32,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an open paragraph doesn't outlive.
 _ENDS_P = _BLOCK - frozenset("html body td th".split())
 _APART = frozenset("nav footer aside form button select head dialog menu".split())
@@ -104,8 +103,6 @@ def stream(html: str) -> list[tuple]:
                 out.append(("text", " ".join(data.split())))
         else:
             out.append(("tag", ("/" if kind == "end" else "") + tag + ("." + data if data else "")))
-        if len(out) >= ALIGNED:
-            break
     return fold(out)
 
 
@@ -186,23 +183,26 @@ def infer_wrapper(htmls: list[str]) -> tuple[str, str]:
     """(path of the article's container, the wrapper as text) from pages of one host.
 
     Pages are aligned one after another. Of the texts that fill the wrapper's slots outside of menus, adverts and the
-    like, the container is the innermost element whose path holds HELD of the characters; empty if there are none."""
+    like, and outside of links that are in no heading, the container is the innermost element that holds all; if any are in
+    an article or main element, those of them. An article or main element is never cut. Empty if there are no texts."""
     wrapper = stream(htmls[0])
     for html in htmls[1:]:
         wrapper = align(wrapper, stream(html))
     fixed = constant_texts(wrapper) if len(htmls) > 1 else set()
-    weight: Counter = Counter()
-    total = 0
+    found: set[tuple[str, ...]] = set()
     for html in htmls:
         for kind, path, apart, data in walk(html):
             text = " ".join(data.split())
-            if kind == "text" and text and not apart and text not in fixed and not any(p == "a" or p.startswith("a.") for p in path):
-                total += len(text)
-                for k in range(1, len(path) + 1):
-                    if path[k - 1].partition(".")[0] in ("body", "main", "article", "section", "div", "td", "center"):
-                        weight["/".join(path[:k])] += len(text)
-    held = [p for p, n in weight.items() if n >= HELD * total and len(p) <= PATH_CHARS]
-    return max(held, key=lambda p: (p.count("/"), p), default=""), render(wrapper)
+            names = [p.partition(".")[0] for p in path]
+            if kind == "text" and text and not apart and text not in fixed and ("a" not in names or not _HEADINGS.isdisjoint(names)):
+                # no deeper than an article or main element
+                depth = next((k for k, x in enumerate(names, 1) if x in ("article", "main")), 0)
+                found.add(path[:depth] if depth else path)
+    within = {p for p in found if p and p[-1].partition(".")[0] in ("article", "main")}
+    shared = os.path.commonprefix(sorted(within or found))
+    while shared and shared[-1].partition(".")[0] not in ("body", "main", "article", "section", "div", "td", "center"):
+        shared = shared[:-1]
+    return "/".join(shared), render(wrapper)
 
 
 def main_text(html: str | None, container: str | None) -> str:
@@ -262,7 +262,8 @@ def extract_main_text(
     host, _ = url_parts(F.col(url_col))
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     wrappers = materialise(infer_wrappers(named, sample), "wrappers").select("host", "container")
-    if wrappers.count() <= BROADCAST_WRAPPERS:
+    number, chars = wrappers.agg(F.count("*"), F.coalesce(F.sum(F.length("container")), F.lit(0))).first()
+    if number <= BROADCAST_WRAPPERS and chars <= BROADCAST_CHARS:
         wrappers = F.broadcast(wrappers)
     joined = named.join(wrappers, "host", "left").select("page_id", "url", "html", "container")
 
