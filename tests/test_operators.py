@@ -158,3 +158,23 @@ def test_signal_exits_match_a_plain_scan(spark):
         end = hit or (last if last[0] is not None and last[0] >= start else None)
         want = (end[1], end[0], hit is not None, True) if len(seen) >= 3 and end else (None, None, False, False)
         assert (r.exit_u, r.exit_ms, r.filled, r.available) == want, r
+
+
+def test_zero_prices_give_null_returns(spark):
+    """Prices that round to zero divide nothing: returns are null, and no query fails."""
+    from tidemark.operators.bars import flow_windows, log_return, ratio, tick_rule
+    from tidemark.operators.baselines import realized_vol, split_dates
+    from tidemark.operators.events import daily_events
+    from tidemark.operators.execution import align_trades
+
+    day = 86_400_000
+    ticks = spark.createDataFrame([("a", k, k * day // 2, p, 1) for k, p in enumerate((0, 5, 7, 0, 8, 9))], "symbol string, event_id long, ts_ms long, price_u long, qty_u long")
+    got = {r["start_ms"]: r["ret_bp"] for r in flow_windows(tick_rule(ticks, ["event_id"]), day, ["event_id"]).collect()}
+    assert got[0] is None and got[day] is None and abs(got[2 * day] - 1e4 * 0.11778303565638346) < 1e-6
+    assert spark.range(1).select(ratio(F.lit(1), F.lit(0)).alias("a"), log_return(F.lit(3), F.lit(0)).alias("b")).first() == (None, None)
+    bars = spark.createDataFrame([("a", d, p, p, p, p, 1) for d, p in enumerate((0, 5, 0, 9))], "symbol string, day int, open_u long, high_u long, low_u long, close_u long, vol long")
+    assert realized_vol(bars, 3).where("realized_vol is not null").count() == 0
+    assert [r["day"] for r in split_dates(bars, 3.0).collect()] == [2]
+    assert daily_events(bars, 0.5, 2).count() == 0
+    quotes = ticks.select("symbol", "event_id", "ts_ms", F.lit(0).cast("long").alias("mid_u"))
+    assert align_trades(ticks, quotes, day, 1).where("markout_bp is not null").count() == 0

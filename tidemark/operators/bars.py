@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; null unless the divisor is positive, as prices and amounts must be."""
+    return F.when(b > 0, a / b)
+
+
+def log_return(last_u: Column, first_u: Column) -> Column:
+    """ln(last / first); null unless both prices are positive."""
+    return F.when((last_u > 0) & (first_u > 0), F.log(last_u / first_u))
+
+
 def time_bars(ticks: DataFrame, width_ms: int, order: list[str]) -> DataFrame:
     """Bars labelled by their end: (symbol, ts_ms, open_u, high_u, low_u, close_u, vol_qu, n, notional_u, vwap_u).
 
@@ -36,8 +46,8 @@ def tick_rule(ticks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def flow_windows(ticks: DataFrame, width_ms: int, order: list[str]) -> DataFrame:
-    """Tumbling windows of classified prints (side): counts, imbalance, log return in bp, and the next window's return if
-    it follows without a gap."""
+    """Tumbling windows of classified prints (side): counts, imbalance, log return in bp (null
+    unless both prices are positive), and the next window's return if it follows without a gap."""
     at = F.struct("ts_ms", *order)
     start = (F.floor(F.col("ts_ms") / width_ms) * width_ms).cast("long")
     out = ticks.groupBy("symbol", start.alias("start_ms")).agg(
@@ -47,7 +57,8 @@ def flow_windows(ticks: DataFrame, width_ms: int, order: list[str]) -> DataFrame
         F.min_by("price_u", at).alias("first_u"),
         F.max_by("price_u", at).alias("last_u"),
     )
-    out = out.withColumn("imbalance", F.try_divide(F.col("buys") - F.col("sells"), F.col("buys") + F.col("sells"))).withColumn("ret_bp", F.log(F.col("last_u") / F.col("first_u")) * 1e4)
+    out = out.withColumn("imbalance", F.try_divide(F.col("buys") - F.col("sells"), F.col("buys") + F.col("sells")))
+    out = out.withColumn("ret_bp", log_return(F.col("last_u"), F.col("first_u")) * 1e4)
     w = Window.partitionBy("symbol").orderBy("start_ms")
     return out.withColumn("next_ret_bp", F.when(F.lead("start_ms").over(w) == F.col("start_ms") + width_ms, F.lead("ret_bp").over(w)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import log_return, ratio
+
 
 def true_range(bars: DataFrame, time: str = "day") -> DataFrame:
     """bars with true_range_u: the largest of high - low and the distances of both from the close before."""
@@ -75,7 +77,7 @@ def relative_volume(bars: DataFrame, curve: DataFrame, session: str, minute: str
 def realized_vol(bars: DataFrame, window: int, time: str = "day") -> DataFrame:
     """bars with vol: the sample deviation of the last `window` log returns, if max(3, window div 3) are known."""
     w = Window.partitionBy("symbol").orderBy(time)
-    r = F.log(F.col("close_u") / F.lag("close_u").over(w))
+    r = log_return(F.col("close_u"), F.lag("close_u").over(w))
     frame = w.rowsBetween(-(window - 1), 0)
     return bars.withColumn("__r", r).withColumn("realized_vol", F.when(F.count("__r").over(frame) >= max(3, window // 3), F.stddev_samp("__r").over(frame))).drop("__r")
 
@@ -105,5 +107,5 @@ def former_runners(bars: DataFrame, lookback_days: int, move: float, time: str =
 def split_dates(bars: DataFrame, threshold: float, time: str = "day") -> DataFrame:
     """Bars whose open over the close before is at least threshold, or at most 1 / threshold."""
     prev = F.lag("close_u").over(Window.partitionBy("symbol").orderBy(time))
-    out = bars.withColumn("ratio", F.col("open_u") / prev)
+    out = bars.withColumn("ratio", ratio(F.col("open_u"), prev))
     return out.where((F.col("ratio") >= threshold) | (F.col("ratio") <= 1 / threshold))

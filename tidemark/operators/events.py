@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import ratio
 from tidemark.operators.temporal import islands
 
 
@@ -19,8 +20,8 @@ def daily_events(bars: DataFrame, ret_min: float, horizon: int, time: str = "day
     ahead = w.rowsBetween(0, horizon)
     based = bars.withColumn("prev_close_u", F.lag("close_u").over(w))
     based = based.withColumns({"__peak": F.max("high_u").over(ahead), "__last": F.last("close_u").over(ahead), "__low": F.min("low_u").over(ahead)})
-    ret = lambda c: F.col(c) / F.col("prev_close_u") - 1
-    out = based.where(F.col("high_u") >= F.col("prev_close_u") * (1 + ret_min)).withColumns({"ret": ret("high_u"), "peak_ret": ret("__peak"), "ret_close": ret("__last"), "drawdown": F.col("__low") / F.col("__peak") - 1})
+    ret = lambda c: ratio(F.col(c), F.col("prev_close_u")) - 1
+    out = based.where((F.col("prev_close_u") > 0) & (F.col("high_u") >= F.col("prev_close_u") * (1 + ret_min))).withColumns({"ret": ret("high_u"), "peak_ret": ret("__peak"), "ret_close": ret("__last"), "drawdown": ratio(F.col("__low"), F.col("__peak")) - 1})
     outcome = F.when(F.col("drawdown") <= -0.2, "dump").when(F.col("ret_close") < 0.5 * F.col("peak_ret"), "fade").otherwise("hold")
     return out.withColumn("outcome", outcome).drop("__peak", "__last", "__low")
 

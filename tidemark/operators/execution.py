@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import ratio
 from tidemark.operators.temporal import asof_join
 
 MICRO = 1_000_000
@@ -58,7 +59,7 @@ def round_trip_cost(books: DataFrame, notional_usd: float, commission: float = 0
     """books (bids, asks) with entry, exit and total cost as shares of the mid, for buying into the asks and selling into
     the bids; null for crossed or empty books."""
     out = books.withColumn("__m", mid(F.col("bids"), F.col("asks"))).withColumn("__in", walk_book(F.col("asks"), notional_usd, max_levels)).withColumn("__out", walk_book(F.col("bids"), notional_usd, max_levels))
-    entry, leave = (F.col("__in.avg_px_u") - F.col("__m")) / F.col("__m"), (F.col("__m") - F.col("__out.avg_px_u")) / F.col("__m")
+    entry, leave = ratio(F.col("__in.avg_px_u") - F.col("__m"), F.col("__m")), ratio(F.col("__m") - F.col("__out.avg_px_u"), F.col("__m"))
     out = out.withColumns({"entry_cost": entry, "exit_cost": leave, "exhausted": F.col("__in.exhausted") | F.col("__out.exhausted")})
     return out.withColumn("total_cost", F.col("entry_cost") + F.col("exit_cost") + F.lit(commission)).drop("__m", "__in", "__out")
 
@@ -69,13 +70,13 @@ def effective_spread(price_u: Column, mid_u: Column) -> Column:
 
 def align_trades(trades: DataFrame, quotes: DataFrame, max_gap_ms: int, horizon_ms: int) -> DataFrame:
     """trades with the quote before them (within max_gap_ms), its mid, effective_spread, side, and the markout in bp at the
-    first quote horizon_ms later or after, signed by the side."""
+    first quote horizon_ms later or after, signed by the side (null unless the mid is positive)."""
     near = asof_join(trades, quotes, "symbol", "ts_ms", ["mid_u"], tolerance_ms=max_gap_ms, tie="event_id")
     near = near.withColumnRenamed("right_ts_ms", "quote_ms").withColumn("later_ms", F.col("ts_ms") + horizon_ms)
     ahead = quotes.select("symbol", "event_id", F.col("ts_ms").alias("later_ms"), F.col("mid_u").alias("later_mid_u"))
     out = asof_join(near, ahead, "symbol", "later_ms", ["later_mid_u"], forward=True, tie="event_id").drop("right_later_ms", "later_ms")
     side = F.signum((F.col("price_u") - F.col("mid_u")).cast("double")).cast("int")
-    return out.withColumn("side", side).withColumn("effective_spread", effective_spread(F.col("price_u"), F.col("mid_u"))).withColumn("markout_bp", side * (F.col("later_mid_u") - F.col("mid_u")) / F.col("mid_u") * 1e4)
+    return out.withColumn("side", side).withColumn("effective_spread", effective_spread(F.col("price_u"), F.col("mid_u"))).withColumn("markout_bp", side * ratio(F.col("later_mid_u") - F.col("mid_u"), F.col("mid_u")) * 1e4)
 
 
 def simulate_exits(path: DataFrame, entries: DataFrame, *, horizon_ms: int, target: float | None = None, stop: float | None = None, trail: float | None = None, time_ms: int | None = None) -> DataFrame:

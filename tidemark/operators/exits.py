@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import ratio
 from tidemark.operators.baselines import session_vwap
 from tidemark.operators.execution import simulate_exits
 from tidemark.operators.temporal import asof_join, range_pairs
@@ -94,8 +95,8 @@ def threshold_exits(path: DataFrame, signal: DataFrame, entries: DataFrame, *, t
     out = entries.join(told, "entry_id", "left").withColumn("__x", F.coalesce("hit", "end"))
     reason = F.when(F.col("hit").isNotNull(), "signal").when(F.col("end").isNotNull(), "horizon").otherwise("no_path")
     out = out.select(
-        *entries.columns, F.col("__x.px").alias("exit_u"), F.col("__x.t").alias("exit_ms"), reason.alias("reason"), (F.greatest("__x.high", "entry_u") / F.col("entry_u") - 1).alias("mfe"),
-        (F.least("__x.low", "entry_u") / F.col("entry_u") - 1).alias("mae"), (F.coalesce("n", F.lit(0)) > 0).alias("signal_defined"),
+        *entries.columns, F.col("__x.px").alias("exit_u"), F.col("__x.t").alias("exit_ms"), reason.alias("reason"), (ratio(F.greatest("__x.high", "entry_u"), F.col("entry_u")) - 1).alias("mfe"),
+        (ratio(F.least("__x.low", "entry_u"), F.col("entry_u")) - 1).alias("mae"), (F.coalesce("n", F.lit(0)) > 0).alias("signal_defined"),
     )
     if trail is None:
         return out
@@ -158,13 +159,13 @@ def precursor_features(events: DataFrame, bars: DataFrame, *, step_ms: int, day_
         variance = (F.col(f"bxx_{w}") - F.col(f"bx_{w}") * F.col(f"bx_{w}") / base) / (base - 1)
         return F.when(variance > 1e-9, F.sqrt(variance))
 
-    atr = lambda near, far: F.when(F.col(f"n_{near}_{far}") >= 2, F.col(f"tr_{near}_{far}") / F.col(f"n_{near}_{far}") / close)
-    wide = lambda w: (F.col(f"high_{w}") - F.col(f"low_{w}")) / close
+    atr = lambda near, far: F.when(F.col(f"n_{near}_{far}") >= 2, ratio(F.col(f"tr_{near}_{far}") / F.col(f"n_{near}_{far}"), close))
+    wide = lambda w: ratio(F.col(f"high_{w}") - F.col(f"low_{w}"), close)
     out = {"cutoff_ms": F.col("right_ts_ms"), "n_bars_pre": F.coalesce("n", F.lit(0)).cast("long")}
     for w in windows:
         out |= {
             f"vol_sum_{w}": F.col(f"vol_{w}"), f"vol_z_{w}": (F.col(f"x_{w}") / w - F.col(f"bx_{w}") / base) / spread(w), f"vol_ratio_{w}": F.when(F.col(f"bvol_{w}") > 0, F.col(f"vol_{w}") / w / (F.col(f"bvol_{w}") / base)),
-            f"ret_{w}": close / F.col(f"from_{w}.c") - 1, f"atr_pct_{w}": atr(0, w), f"range_pct_{w}": wide(w), f"no_print_ratio_{w}": 1 - F.col(f"printed_{w}") / w,
+            f"ret_{w}": ratio(close, F.col(f"from_{w}.c")) - 1, f"atr_pct_{w}": atr(0, w), f"range_pct_{w}": wide(w), f"no_print_ratio_{w}": 1 - F.col(f"printed_{w}") / w,
         }
     both = (atr(0, 15) > 0) & (atr(15, 60) > 0)
     start = F.col("day") * day_ms

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import ratio
 from tidemark.operators.temporal import range_pairs
 
 
@@ -84,7 +85,7 @@ def rotation_scores(prints: DataFrame, at_ms: int, width_ms: int, min_prints: in
         return (F.rank().over(everyone.orderBy(c)) + (F.count("*").over(Window.partitionBy(F.lit(0), c)) - 1) / 2) / F.count("*").over(everyone)
 
     out = cohort.withColumn("__n", F.count("*").over(everyone)).where(F.col("__n") >= min_cohort)
-    out = out.withColumn("share_delta", F.col("amount") / F.sum("amount").over(everyone) - F.col("amount_prev") / F.sum("amount_prev").over(everyone))
+    out = out.withColumn("share_delta", ratio(F.col("amount"), F.sum("amount").over(everyone)) - ratio(F.col("amount_prev"), F.sum("amount_prev").over(everyone)))
     out = out.withColumn("rank_delta", mean_rank("amount_prev") - mean_rank("amount"))
     return out.withColumn("share_delta_pct", percentile("share_delta")).withColumn("rank_delta_pct", percentile("rank_delta")).drop("__n")
 
@@ -93,4 +94,4 @@ def amount_shares(rankings: DataFrame, top: int) -> DataFrame:
     """Each ranked symbol's share of its snapshot's amount within the top."""
     inside = rankings.where(F.col("rank") <= top)
     w = Window.partitionBy("ranking_type", "snap_ms")
-    return inside.withColumn("share", F.col("amount") / F.sum("amount").over(w))
+    return inside.withColumn("share", ratio(F.col("amount"), F.sum("amount").over(w)))

@@ -14,7 +14,7 @@ def distribution(value: str) -> list[Column]:
 def two_scales(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: the mean over rows, and the mean of the groups' means."""
     per = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    return per.agg((F.sum("s") / F.sum("n")).alias("row_mean"), F.avg(F.try_divide("s", "n")).alias("group_mean"), F.count("*").alias("n_groups"))
+    return per.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("row_mean"), F.avg(F.try_divide("s", "n")).alias("group_mean"), F.count("*").alias("n_groups"))
 
 
 def concentration(df: DataFrame, group: str, tops: tuple[int, ...]) -> DataFrame:
@@ -70,13 +70,13 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed:
     # cumulative Poisson(1) probabilities, the last for five uses and fewer (fixed values)
     uses = sum((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
     drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", uses)
-    means = drawn.groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
+    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("n"))).alias("m"))
     ci = means.agg(F.percentile("m", alpha / 2).alias("ci_low"), F.percentile("m", 1 - alpha / 2).alias("ci_high"))
-    return per.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("n_clusters")).crossJoin(F.broadcast(ci))
+    return per.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.count("*").alias("n_clusters")).crossJoin(F.broadcast(ci))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson's interval of a share."""
-    p, zz = hits / n, z * z
+    p, zz = F.try_divide(hits, n), z * z
     centre, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.when(n > 0, centre - half), F.when(n > 0, centre + half)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import exits as X
 from tidemark.operators import features as C
+from tidemark.operators.bars import ratio
 from tidemark.plans.queries import DAY, HOUR, HOURS, RANKS, TICKS, hours, query
 from tidemark.sources import views as V
 
@@ -18,12 +19,12 @@ def entries(spark, sf_dir):
 
 
 def with_gross(out, of):
-    gross = F.round(F.col("exit_u") / F.col("entry_u") - 1, 6)
+    gross = F.round(ratio(F.col("exit_u"), F.col("entry_u")) - 1, 6)
     return out.join(of.select("entry_id", "entry_u"), "entry_id").select("entry_id", "rule", F.col("exit_ms").cast("double").alias("exit_ms"), gross.alias("gross"), "filled", "available")
 
 
 LAST = f"px AS (SELECT symbol, ts_ms, last(price_u ORDER BY event_id) AS price_u FROM ticks GROUP BY ALL), asked AS (SELECT event_id AS entry_id, symbol, ts_ms AS entry_ms, ts_ms + {5 * DAY} AS end_ms, price_u AS entry_u FROM trades), ended AS (SELECT a.*, CASE WHEN p.ts_ms >= entry_ms THEN p.ts_ms END AS last_ms, CASE WHEN p.ts_ms >= entry_ms THEN p.price_u END AS last_u FROM asked a ASOF LEFT JOIN px p ON a.symbol = p.symbol AND a.end_ms >= p.ts_ms)"
-DONE = "CAST(CASE WHEN ok THEN coalesce(hit, last_ms) END AS DOUBLE) AS exit_ms, round(CASE WHEN ok THEN coalesce(hit_u, last_u) END / CAST(entry_u AS DOUBLE) - 1, 6) AS gross, ok AND hit IS NOT NULL AS filled, ok AS available"
+DONE = "CAST(CASE WHEN ok THEN coalesce(hit, last_ms) END AS DOUBLE) AS exit_ms, round(CASE WHEN ok THEN coalesce(hit_u, last_u) END / nullif(CAST(entry_u AS DOUBLE), 0) - 1, 6) AS gross, ok AND hit IS NOT NULL AS filled, ok AS available"
 
 
 @query(
@@ -62,14 +63,14 @@ def tape_fade_exits(spark, sf_dir):
     f"""WITH {HOURS}, s AS (SELECT symbol, ts_ms, max(qty_u) AS value FROM ticks WHERE kind = 'view' GROUP BY ALL), b AS (SELECT h.symbol, h.ts_ms, h.high_u, h.low_u, h.close_u, s.value FROM hours h ASOF LEFT JOIN s ON h.symbol = s.symbol AND h.ts_ms >= s.ts_ms), e AS (SELECT event_id AS entry_id, symbol, ts_ms AS entry_ms, CAST(price_u AS DOUBLE) AS entry_u FROM trades),
  p AS (SELECT e.*, b.ts_ms, b.close_u, b.value, max(b.high_u) OVER w AS hi, min(b.low_u) OVER w AS lo FROM e JOIN b ON e.symbol = b.symbol AND b.ts_ms BETWEEN e.entry_ms AND e.entry_ms + {5 * DAY} WINDOW w AS (PARTITION BY entry_id ORDER BY b.ts_ms)),
  t AS (SELECT entry_id, min(ts_ms) FILTER (value >= 80000000) AS hit, max(ts_ms) AS last, count(value) AS n FROM p GROUP BY entry_id), x AS (SELECT p.*, t.hit, t.n FROM p JOIN t ON t.entry_id = p.entry_id AND p.ts_ms = coalesce(t.hit, t.last))
- SELECT e.entry_id, CAST(x.ts_ms AS DOUBLE) AS exit_ms, round(x.close_u / e.entry_u - 1, 6) AS gross, CASE WHEN x.hit IS NOT NULL THEN 'signal' WHEN x.ts_ms IS NOT NULL THEN 'horizon' ELSE 'no_path' END AS reason, round(greatest(x.hi, e.entry_u) / e.entry_u - 1, 6) AS mfe, round(least(x.lo, e.entry_u) / e.entry_u - 1, 6) AS mae, coalesce(x.n, 0) > 0 AS signal_defined FROM e LEFT JOIN x ON x.entry_id = e.entry_id"""
+ SELECT e.entry_id, CAST(x.ts_ms AS DOUBLE) AS exit_ms, round(x.close_u / nullif(e.entry_u, 0) - 1, 6) AS gross, CASE WHEN x.hit IS NOT NULL THEN 'signal' WHEN x.ts_ms IS NOT NULL THEN 'horizon' ELSE 'no_path' END AS reason, round(greatest(x.hi, e.entry_u) / nullif(e.entry_u, 0) - 1, 6) AS mfe, round(least(x.lo, e.entry_u) / nullif(e.entry_u, 0) - 1, 6) AS mae, coalesce(x.n, 0) > 0 AS signal_defined FROM e LEFT JOIN x ON x.entry_id = e.entry_id"""
 )
 def threshold_exits(spark, sf_dir):
     """SIM-02: exits when the signal in force reaches a threshold."""
     signal = V.ticks(spark, sf_dir).where("kind = 'view'").groupBy("symbol", "ts_ms").agg(F.max("qty_u").alias("value"))
     out = X.threshold_exits(hours(spark, sf_dir), signal, entries(spark, sf_dir), threshold=80_000_000, above=True, horizon_ms=5 * DAY)
     r = lambda c: F.round(c, 6)
-    return out.select("entry_id", F.col("exit_ms").cast("double").alias("exit_ms"), r(F.col("exit_u") / F.col("entry_u") - 1).alias("gross"), "reason", r("mfe").alias("mfe"), r("mae").alias("mae"), "signal_defined")
+    return out.select("entry_id", F.col("exit_ms").cast("double").alias("exit_ms"), r(ratio(F.col("exit_u"), F.col("entry_u")) - 1).alias("gross"), "reason", r("mfe").alias("mfe"), r("mae").alias("mae"), "signal_defined")
 
 
 @query(
@@ -88,7 +89,7 @@ WINDOWS, BASE = (5, 15, 30, 60), 240
 
 def _atr(near: int, far: int) -> str:
     inside = f"age >= {near} AND age < {far}"
-    return f"(CASE WHEN count(*) FILTER ({inside}) >= 2 THEN sum(CASE WHEN p_ms > cutoff_ms - {far * HOUR} THEN reach ELSE span END) FILTER ({inside}) / CAST(count(*) FILTER ({inside}) AS DOUBLE) / any_value(close_cut) END)"
+    return f"(CASE WHEN count(*) FILTER ({inside}) >= 2 THEN sum(CASE WHEN p_ms > cutoff_ms - {far * HOUR} THEN reach ELSE span END) FILTER ({inside}) / CAST(count(*) FILTER ({inside}) AS DOUBLE) / nullif(any_value(close_cut), 0) END)"
 
 
 def _sd(w: int) -> str:
@@ -98,7 +99,7 @@ def _sd(w: int) -> str:
 
 
 def _wide(w: int) -> str:
-    return f"((max(high_u) FILTER (age < {w}) - min(low_u) FILTER (age < {w})) / CAST(any_value(close_cut) AS DOUBLE))"
+    return f"((max(high_u) FILTER (age < {w}) - min(low_u) FILTER (age < {w})) / nullif(CAST(any_value(close_cut) AS DOUBLE), 0))"
 
 
 def _mean(w: int) -> str:
@@ -110,11 +111,11 @@ for _w in WINDOWS:
     PRECURSOR |= {
         f"vol_sum_{_w}": f"CAST(sum(vol_qu) FILTER (age < {_w}) AS DOUBLE)", f"vol_z_{_w}": f"(sum(x) FILTER (age < {_w}) / {_w} - {_mean(_w)}) / {_sd(_w)}",
         f"vol_ratio_{_w}": f"(sum(vol_qu) FILTER (age < {_w}) / {_w}.0) / (nullif(sum(vol_qu) FILTER (age >= {_w} AND age < {_w + BASE}), 0) / {BASE}.0)",
-        f"ret_{_w}": f"any_value(close_cut) / CAST(arg_min(close_u, ts_ms) FILTER (age < {_w}) AS DOUBLE) - 1", f"atr_pct_{_w}": _atr(0, _w), f"range_pct_{_w}": _wide(_w), f"no_print_ratio_{_w}": f"CASE WHEN any_value(n) > 0 THEN 1 - count(*) FILTER (age < {_w} AND vol_qu > 0) / {_w}.0 END",
+        f"ret_{_w}": f"any_value(close_cut) / nullif(CAST(arg_min(close_u, ts_ms) FILTER (age < {_w}) AS DOUBLE), 0) - 1", f"atr_pct_{_w}": _atr(0, _w), f"range_pct_{_w}": _wide(_w), f"no_print_ratio_{_w}": f"CASE WHEN any_value(n) > 0 THEN 1 - count(*) FILTER (age < {_w} AND vol_qu > 0) / {_w}.0 END",
     }
 PRECURSOR |= {
     "vol_slope_30": "sum((14.5 - age) * x) FILTER (age < 30) / 2247.5", "vol_bar_z_max_60": f"(max(x) FILTER (age < 60) - {_mean(60)}) / {_sd(60)}", "coil_score": f"CASE WHEN {_atr(0, 15)} > 0 AND {_atr(15, 60)} > 0 THEN ln({_atr(15, 60)} / {_atr(0, 15)}) END", "nr_ratio": f"{_wide(15)} / nullif({_wide(60)}, 0)",
-    "dist_from_vwap": "any_value(close_cut) / CAST(any_value(vwap_cut) AS DOUBLE) - 1", "dist_from_hod": "any_value(close_cut) / CAST(any_value(hod_u) AS DOUBLE) - 1", "up_bar_ratio_30": "avg(CAST(close_u > open_u AS INTEGER)) FILTER (age < 30 AND day = day_cut)", "new_high_count_30": "CAST(CASE WHEN any_value(n) > 0 THEN count(*) FILTER (age < 30 AND day = day_cut AND fresh) END AS DOUBLE)",
+    "dist_from_vwap": "any_value(close_cut) / nullif(CAST(any_value(vwap_cut) AS DOUBLE), 0) - 1", "dist_from_hod": "any_value(close_cut) / nullif(CAST(any_value(hod_u) AS DOUBLE), 0) - 1", "up_bar_ratio_30": "avg(CAST(close_u > open_u AS INTEGER)) FILTER (age < 30 AND day = day_cut)", "new_high_count_30": "CAST(CASE WHEN any_value(n) > 0 THEN count(*) FILTER (age < 30 AND day = day_cut AND fresh) END AS DOUBLE)",
     "steps_since_last_print": f"CASE WHEN any_value(n) > 0 THEN coalesce((any_value(cutoff_ms) - any_value(prev_cut)) / {HOUR}.0 - 1, 0) END", "session_print_age": f"(any_value(cutoff_ms) - any_value(first_cut)) / {HOUR}.0", "session_first_print_lead": f"(any_value(first_cut) - {HOUR} - any_value(day_cut) * {DAY}) / {HOUR}.0",
 }
 

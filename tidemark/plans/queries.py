@@ -149,7 +149,7 @@ def tick_rule(spark, sf_dir):
 FLOW = (
     SIDES
     + f""", w0 AS (SELECT symbol, ts_ms // {DAY} * {DAY} AS start_ms, count(*) AS n, count(*) FILTER (side > 0) AS buys, count(*) FILTER (side < 0) AS sells, first(price_u ORDER BY ts_ms, event_id) AS first_u,
- last(price_u ORDER BY ts_ms, event_id) AS last_u FROM sided GROUP BY symbol, sided.ts_ms // {DAY}), w1 AS (SELECT *, CASE WHEN buys + sells > 0 THEN (buys - sells) / CAST(buys + sells AS DOUBLE) END AS imbalance, ln(last_u / CAST(first_u AS DOUBLE)) * 10000 AS ret_bp FROM w0),
+ last(price_u ORDER BY ts_ms, event_id) AS last_u FROM sided GROUP BY symbol, sided.ts_ms // {DAY}), w1 AS (SELECT *, CASE WHEN buys + sells > 0 THEN (buys - sells) / CAST(buys + sells AS DOUBLE) END AS imbalance, CASE WHEN first_u > 0 AND last_u > 0 THEN ln(last_u / CAST(first_u AS DOUBLE)) * 10000 END AS ret_bp FROM w0),
  flow AS (SELECT *, CASE WHEN lead(start_ms) OVER w = start_ms + {DAY} THEN lead(ret_bp) OVER w END AS next_ret_bp FROM w1 WINDOW w AS (PARTITION BY symbol ORDER BY start_ms))"""
 )
 
@@ -518,7 +518,7 @@ def round_trip_cost(spark, sf_dir):
 @query(
     f"""WITH {TICKS}, q AS (SELECT symbol, ts_ms, last(mid_u ORDER BY event_id) AS mid_u FROM quotes GROUP BY ALL), f AS (SELECT symbol, ts_ms, first(mid_u ORDER BY event_id) AS later_mid_u FROM quotes GROUP BY ALL), n AS (SELECT t.symbol, t.event_id, t.ts_ms, t.price_u, CASE WHEN t.ts_ms - q.ts_ms <= {3 * DAY} THEN q.mid_u END AS mid_u
  FROM trades t ASOF LEFT JOIN q ON t.symbol = q.symbol AND t.ts_ms >= q.ts_ms), m AS (SELECT n.*, n.ts_ms + {HOUR} AS later FROM n), k AS (SELECT m.*, f.later_mid_u FROM m ASOF LEFT JOIN f ON m.symbol = f.symbol AND m.later <= f.ts_ms)
- SELECT symbol, event_id, CAST(mid_u AS DOUBLE) AS mid_u, CAST(later_mid_u AS DOUBLE) AS later_mid_u, CAST(sign(price_u - mid_u) AS DOUBLE) AS side, round(CASE WHEN mid_u > 0 THEN 2.0 * abs(price_u - mid_u) / mid_u END, 6) AS effective_spread, round(sign(price_u - mid_u) * (later_mid_u - mid_u) / CAST(mid_u AS DOUBLE) * 10000, 4) AS markout_bp FROM k"""
+ SELECT symbol, event_id, CAST(mid_u AS DOUBLE) AS mid_u, CAST(later_mid_u AS DOUBLE) AS later_mid_u, CAST(sign(price_u - mid_u) AS DOUBLE) AS side, round(CASE WHEN mid_u > 0 THEN 2.0 * abs(price_u - mid_u) / mid_u END, 6) AS effective_spread, round(sign(price_u - mid_u) * (later_mid_u - mid_u) / nullif(CAST(mid_u AS DOUBLE), 0) * 10000, 4) AS markout_bp FROM k"""
 )
 def markout(spark, sf_dir):
     """JOIN-05, SIM-18, 19: effective spread and markout of each trade."""
@@ -531,13 +531,13 @@ def markout(spark, sf_dir):
  FROM e JOIN hours h ON e.symbol = h.symbol AND h.ts_ms >= e.entry_ms AND h.ts_ms <= e.entry_ms + {5 * DAY}), r AS (SELECT *, CASE WHEN low_u <= entry_u * (1 - 0.5) THEN 'stop' WHEN low_u <= peak * (1 - 0.4) AND peak > entry_u THEN 'trail' WHEN high_u >= entry_u * (1 + 1.0) THEN 'target' WHEN ts_ms >= entry_ms + {3 * DAY} THEN 'time' END AS reason,
  CASE WHEN low_u <= entry_u * (1 - 0.5) THEN entry_u * (1 - 0.5) WHEN low_u <= peak * (1 - 0.4) AND peak > entry_u THEN peak * (1 - 0.4) WHEN high_u >= entry_u * (1 + 1.0) THEN entry_u * (1 + 1.0) WHEN ts_ms >= entry_ms + {3 * DAY} THEN close_u END AS px FROM p),
  f AS (SELECT entry_id, arg_min(reason, ts_ms) FILTER (reason IS NOT NULL) AS reason, arg_min(px, ts_ms) FILTER (reason IS NOT NULL) AS px, min(ts_ms) FILTER (reason IS NOT NULL) AS t, arg_max(close_u, ts_ms) AS c, max(ts_ms) AS l FROM r GROUP BY entry_id)
- SELECT e.entry_id, e.symbol, coalesce(f.reason, CASE WHEN f.entry_id IS NULL THEN 'no_path' ELSE 'horizon' END) AS reason, coalesce(f.t, f.l) AS exit_ms, round(coalesce(f.px, f.c) / e.entry_u - 1, 6) AS gross FROM e LEFT JOIN f USING (entry_id)"""
+ SELECT e.entry_id, e.symbol, coalesce(f.reason, CASE WHEN f.entry_id IS NULL THEN 'no_path' ELSE 'horizon' END) AS reason, coalesce(f.t, f.l) AS exit_ms, round(coalesce(f.px, f.c) / nullif(e.entry_u, 0) - 1, 6) AS gross FROM e LEFT JOIN f USING (entry_id)"""
 )
 def exit_rules(spark, sf_dir):
     """SIM-01, 05, 21: stop, trail, target and time over hourly bars."""
     entries = V.trades(spark, sf_dir).select(F.col("event_id").alias("entry_id"), "symbol", F.col("ts_ms").alias("entry_ms"), F.col("price_u").cast("double").alias("entry_u"))
     out = X.simulate_exits(hours(spark, sf_dir), entries, horizon_ms=5 * DAY, stop=0.5, trail=0.4, target=1.0, time_ms=3 * DAY)
-    return out.select("entry_id", "symbol", "reason", "exit_ms", F.round(F.col("exit_u") / F.col("entry_u") - 1, 6).alias("gross"))
+    return out.select("entry_id", "symbol", "reason", "exit_ms", F.round(B.ratio(F.col("exit_u"), F.col("entry_u")) - 1, 6).alias("gross"))
 
 
 # Statistics

@@ -11,6 +11,7 @@ from tidemark.operators import features as X
 from tidemark.operators import rankings as R
 from tidemark.operators import stats as A
 from tidemark.operators import temporal as T
+from tidemark.operators.bars import ratio
 from tidemark.plans.queries import BARS, BOOKS, DAY, EVENTS, FLOW, HOUR, HOURS, LEDGER, RANKS, TICKS, TR, doubles, flow, hours, query, rounded, text_day
 from tidemark.sources import views as V
 
@@ -79,13 +80,13 @@ def volume_z_cross(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TICKS}, d AS (SELECT symbol, ts_ms // {DAY} AS d, sum(price_u) AS v FROM ticks GROUP BY ALL), s AS (SELECT symbol, d, v / CAST(sum(v) OVER (PARTITION BY d) AS DOUBLE) AS share FROM d)
+    f"""WITH {TICKS}, d AS (SELECT symbol, ts_ms // {DAY} AS d, sum(price_u) AS v FROM ticks GROUP BY ALL), s AS (SELECT symbol, d, v / nullif(CAST(sum(v) OVER (PARTITION BY d) AS DOUBLE), 0) AS share FROM d)
  SELECT symbol, d, round(share, 6) AS share, round(CASE WHEN lag(d) OVER w = d - 1 THEN share - lag(share) OVER w END, 6) AS share_delta FROM s WINDOW w AS (PARTITION BY symbol ORDER BY d)"""
 )
 def market_shares(spark, sf_dir):
     """WIN-19: daily share of the market, and its change over adjacent days."""
     d = V.ticks(spark, sf_dir).groupBy("symbol", F.floor(F.col("ts_ms") / DAY).alias("d")).agg(F.sum("price_u").alias("v"))
-    s = d.withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("d")))
+    s = d.withColumn("share", ratio(F.col("v"), F.sum("v").over(Window.partitionBy("d"))))
     w = Window.partitionBy("symbol").orderBy("d")
     return rounded(s.withColumn("share_delta", F.when(F.lag("d").over(w) == F.col("d") - 1, F.col("share") - F.lag("share").over(w))).drop("v"), "share", "share_delta")
 
@@ -190,7 +191,7 @@ def economic_significance(spark, sf_dir):
 
 
 @query(
-    f"""WITH {HOURS} SELECT t.event_id, t.symbol, count(h.ts_ms) AS n_pool FROM trades t LEFT JOIN hours h ON h.symbol = t.symbol AND abs(ln(h.close_u / CAST(t.price_u AS DOUBLE))) <= ln(1.25) AND abs(h.ts_ms - t.ts_ms) > {DAY} GROUP BY ALL"""
+    f"""WITH {HOURS} SELECT t.event_id, t.symbol, count(h.ts_ms) AS n_pool FROM trades t LEFT JOIN hours h ON h.symbol = t.symbol AND abs(ln(nullif(h.close_u, 0) / nullif(CAST(t.price_u AS DOUBLE), 0))) <= ln(1.25) AND abs(h.ts_ms - t.ts_ms) > {DAY} GROUP BY ALL"""
 )
 def matched_pool_sizes(spark, sf_dir):
     """STAT-14..17, FLT-22, 24: how many control bars of the symbol match each event's price, away from it in time."""
