@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.ann import nearest_neighbours
+from tidemark.llm.ann import nearest_neighbours, search
 from tidemark.llm.bpe import Encoder, default_tokenizer_path
 from tidemark.llm.html_extract import align, extract_main_text, infer_wrapper, main_text, render, stream
 from tidemark.llm.packing import pack, solve
@@ -116,6 +116,29 @@ def test_neighbours_reach_the_recall(spark):
     assert nearest_neighbours(frame.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_collision_counting_prunes_and_keeps_recall(spark):
+    """Clustered vectors: few blocks are met and under 20 % verified; a third of all rows equal; ties go to the smaller id;
+    a repeated query id asks once; recall against brute force stays above 0.9."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 24)) * 4
+    vectors = np.vstack([centres[rng.integers(0, 30, 4000)] + rng.standard_normal((4000, 24)) * 0.4, np.tile(centres[0], (2000, 1))])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)] + [(200, [9.0] * 24), (None, vectors[0].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    effort = search(frame, F.col("id") % 200 == 0, block=256).agg(F.sum("verified").alias("v"), F.sum("rows").alias("r"), F.countDistinct("query_id").alias("q")).first()
+    assert effort.q == 30 and effort.r < 0.5 * 6001 * 30 and effort.v < 0.2 * 6001 * 30
+    got = nearest_neighbours(frame, F.col("id") % 200 == 0, block=256).toPandas()
+    every, ids, hits = np.vstack([vectors, np.full((1, 24), 9.0)]), np.append(np.arange(6000), 200), 0
+    for q, g in got.groupby("query_id"):
+        at = min((v for i, v in rows if i == q))
+        d = np.sqrt(((every - np.array(at)) ** 2).sum(axis=1))
+        want = [ids[i] for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        assert sorted(g["rank"]) == list(range(1, 11))
+        hits += len(set(g.vec_id) & set(want))
+    assert hits >= 0.9 * 10 * 30
+    same = got[got.query_id == 5000].sort_values("rank").vec_id.tolist()
+    assert same == list(range(4000, 4010))
+
+
 def best_fit(lengths: list[int], capacity: int) -> int:
     rooms: list[int] = []
     for n in sorted(lengths, reverse=True):
