@@ -210,3 +210,23 @@ def test_container_keeps_all_of_the_article():
     assert infer_wrapper(deep)[0] == f"body/div.{long}"
     pages = ["<p></p><b></b>" * 3000 + f"<i>{i}</i>" for i in range(2)]
     assert stream(pages[0])[-3:] == [("tag", "i"), ("text", "0"), ("tag", "/i")]
+
+
+def test_alignment_alone_finds_the_article(spark):
+    """Names say nothing, or the wrong thing: what is the same on all pages goes, what differs is the article."""
+    page = "<body><div class='x1'>The Daily Planet</div><div class='x2'><ul><li>Home</li><li>World</li></ul></div><div class='x3'><div class='x4'><h2>Story {i}</h2><p>lead {i}</p><p>more {i}</p>{extra}</div><div class='x5'>Printed in one town</div></div><div class='x6'>All rights kept</div></body>"
+    pages = [page.format(i=i, extra=f"<p>end {i}</p>" * (i % 3)) for i in range(6)]
+    frame = spark.createDataFrame([(i, f"http://planet.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(frame.withColumn("host", F.lit("clash"))).collect()}
+    assert got == {i: "\n\n".join([f"Story {i}", f"lead {i}", f"more {i}"] + [f"end {i}"] * (i % 3)) for i in range(6)}
+    flat = [f"<body><p>Masthead of the paper</p><p>story {i} is told at some length here</p><p>Footer</p></body>" for i in range(4)]
+    container, wrapper = infer_wrapper(flat)
+    assert main_text(flat[2], container, wrapper) == "story 2 is told at some length here"
+    hidden = [f"<body><div class='widget'><p>text {i}</p></div><div class='menu'>same</div></body>" for i in range(3)]
+    container, wrapper = infer_wrapper(hidden)
+    assert main_text(hidden[1], container, wrapper) == "text 1" and main_text(hidden[1], None) == ""
+    copies = [f"<body><div><p>{'the same long passage ' * 5}</p><p>{i % 2}</p></div></body>" for i in range(4)]
+    frame = spark.createDataFrame([(i, "http://copies.example/", p) for i, p in enumerate(copies)], "page_id long, url string, html string")
+    assert {r.text.count("passage") for r in extract_main_text(frame).collect()} == {5}
+    long = "<ul>" + "".join(f"<li><b>{i}</b></li><li><i>{i}</i></li>" for i in range(40)) + "</ul>"
+    assert render(stream(long * 3)) == "(<ul>(<li><b>#</b></li><li><i>#</i></li>)+</ul>)+"

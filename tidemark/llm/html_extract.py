@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -15,10 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, shuffle_partitions
 from tidemark.llm.url_filters import url_parts
 
-#: Pages of a host that its wrapper is inferred from, and the longest repeated group.
-SAMPLE, GROUP = 12, 12
-#: Wrappers up to this number, with paths of this many characters in all, are broadcast; more are joined by a shuffle.
-BROADCAST_WRAPPERS, BROADCAST_CHARS = 2_000, 200_000
+#: Pages of a host that its wrapper is inferred from.
+SAMPLE = 12
+#: Wrappers of this many characters in all are broadcast; more are joined by a shuffle. Both give the same rows.
+BROADCAST_CHARS = 4_000_000
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|title"
 _TOKEN = re.compile(
@@ -64,9 +67,10 @@ def is_apart(tag: str, names: str, stack: list[str]) -> bool:
     return bool(names) and tag not in ("html", "body", "article", "main") and not _APART_NAMES.isdisjoint(re.split(r"[^a-z]+", names))
 
 
-def walk(html: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
+def walk(html: str, trusted: tuple[str, ...] = ()) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
     """(kind, path, apart, data) in page order: kind text or break; path: the open elements, each with its names; apart:
-    an element above holds no article text. Unclosed elements end where an outer one does."""
+    an element above holds no article text. Unclosed elements end where an outer one does. What lies on the path `trusted`
+    isn't apart, whatever its names."""
     stack: list[str] = []
     tags: list[str] = []
     apart: list[bool] = []
@@ -82,10 +86,10 @@ def walk(html: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
                 if not any(t in ("div", "td", "table", "section", "article", "li") for t in tags[at:]):
                     del stack[at:], tags[at:], apart[at:]
             if tag not in _VOID:
-                off = bool(apart) and apart[-1] or is_apart(tag, data, stack)
                 stack.append(f"{tag}.{data}" if data else tag)
                 tags.append(tag)
-                apart.append(off)
+                known = len(stack) <= len(trusted) and trusted[: len(stack)] == tuple(stack)
+                apart.append(not known and (bool(apart) and apart[-1] or is_apart(tag, data, stack[:-1])))
         elif tag in tags:
             at = len(tags) - 1 - tags[::-1].index(tag)
             del stack[at:], tags[at:], apart[at:]
@@ -94,16 +98,29 @@ def walk(html: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
 # The union-free expression: a list of ("tag", name), ("text", constant or None for a slot), ("rep", tuple), ("opt", tuple).
 
 
-def stream(html: str) -> list[tuple]:
-    """One page as an expression: its tags and texts, with runs of equal groups folded into repeated ones."""
-    out: list[tuple] = []
+Spans = list[tuple[int, ...]]
+
+
+def _placed(html: str) -> tuple[list[tuple], Spans]:
+    """One page as an expression, and for each node the numbers of the page's text tokens that it holds."""
+    nodes: list[tuple] = []
+    spans: Spans = []
+    number = 0
     for kind, tag, data in tokens(html):
         if kind == "text":
             if data.strip():
-                out.append(("text", " ".join(data.split())))
+                nodes.append(("text", " ".join(data.split())))
+                spans.append((number,))
+            number += 1
         else:
-            out.append(("tag", ("/" if kind == "end" else "") + tag + ("." + data if data else "")))
-    return fold(out)
+            nodes.append(("tag", ("/" if kind == "end" else "") + tag + ("." + data if data else "")))
+            spans.append(())
+    return _folded(nodes, spans)
+
+
+def stream(html: str) -> list[tuple]:
+    """One page as an expression: its tags and texts, with runs of equal groups folded into repeated ones."""
+    return _placed(html)[0]
 
 
 def _shape(node: tuple) -> tuple:
@@ -117,22 +134,43 @@ def _slots(nodes: list[tuple]) -> tuple:
     return tuple(("text", None) if n[0] == "text" else n for n in nodes)
 
 
-def fold(nodes: list[tuple]) -> list[tuple]:
-    """nodes with each group that follows itself made a repeated group, shorter groups first."""
-    for size in range(1, GROUP + 1):
-        shapes, out, i = [_shape(n) for n in nodes], [], 0
+def _distance(shapes: list[tuple], beyond: int) -> int:
+    """The least distance above `beyond` at which a start tag comes again; 0 if there is none."""
+    last: dict[tuple, int] = {}
+    best = 0
+    for i, x in enumerate(shapes):
+        if x[0] != "text" and not (x[0] == "tag" and x[1][0] == "/"):
+            d = i - last.get(x, i)
+            if d > beyond and (not best or d < best):
+                best = d
+            last[x] = i
+    return best
+
+
+def _folded(nodes: list[tuple], spans: Spans) -> tuple[list[tuple], Spans]:
+    """nodes with each group that follows itself made a repeated group, shorter groups first; groups have any length."""
+    shapes, size = [_shape(n) for n in nodes], 0
+    while size := _distance(shapes, size):
+        out, held, i = [], [], 0
         while i < len(nodes):
             j = i + size
             while j + size <= len(nodes) and shapes[j : j + size] == shapes[i : i + size]:
                 j += size
             if j > i + size and any(n[0] != "text" for n in nodes[i : i + size]):
                 out.append(("rep", _slots(nodes[i : i + size])))
+                held.append(tuple(x for span in spans[i:j] for x in span))
                 i = j
             else:
                 out.append(nodes[i])
+                held.append(spans[i])
                 i += 1
-        nodes = out
-    return nodes
+        if len(out) < len(nodes):
+            nodes, spans, shapes, size = out, held, [_shape(n) for n in out], 0  # groups may now follow each other
+    return nodes, spans
+
+
+def fold(nodes: list[tuple]) -> list[tuple]:
+    return _folded(nodes, [()] * len(nodes))[0]
 
 
 def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
@@ -169,70 +207,138 @@ def render(nodes) -> str:
     return "".join(shown[kind](data) for kind, data in nodes)
 
 
-def constant_texts(nodes) -> set[str]:
-    found: set[str] = set()
-    for kind, data in nodes:
-        if kind == "text" and data is not None:
-            found.add(data)
-        elif kind in ("rep", "opt"):
-            found |= constant_texts(data)
+def _in_line(nodes) -> list[tuple]:
+    """The expression with what is optional put in line."""
+    return [x for n in nodes for x in (_in_line(n[1]) if n[0] == "opt" else [n])]
+
+
+@dataclass(frozen=True)
+class Wrapper:
+    """A host's expression, and the texts that repeated groups hold on all of its pages."""
+
+    nodes: list[tuple]
+    common: frozenset[str] = frozenset()
+
+
+def _repeated_texts(html: str) -> set[str]:
+    texts = [" ".join(data.split()) for kind, _, data in tokens(html) if kind == "text"]
+    nodes, spans = _placed(html)
+    return {texts[x] for node, span in zip(nodes, spans, strict=True) if node[0] == "rep" for x in span}
+
+
+def fixed_texts(wrapper: Wrapper, html: str) -> set[int]:
+    """The numbers of a page's text tokens that the wrapper's constant texts match: the page is aligned with the wrapper,
+    and what falls into its slots and repeated groups, or isn't in it, is the page's own, but for the groups' common texts."""
+    plain = _in_line(wrapper.nodes)
+    texts = [" ".join(data.split()) for kind, _, data in tokens(html) if kind == "text"]
+    nodes, spans = _placed(html)
+    matcher = SequenceMatcher(None, [_shape(n) for n in plain], [_shape(n) for n in nodes], autojunk=False)
+    found = {x for node, span in zip(nodes, spans, strict=True) if node[0] == "rep" for x in span if texts[x] in wrapper.common}
+    for i, j, n in matcher.get_matching_blocks():
+        for x, y, span in zip(plain[i : i + n], nodes[j : j + n], spans[j : j + n], strict=True):
+            if x[0] == "text" and x == y:
+                found.update(span)
     return found
 
 
-def infer_wrapper(htmls: list[str]) -> tuple[str, str]:
-    """(path of the article's container, the wrapper as text) from pages of one host.
+def _bare(path: tuple[str, ...]) -> list[str]:
+    return [p.partition(".")[0] for p in path]
+
 
-    Pages are aligned one after another. Of the texts that fill the wrapper's slots outside of menus, adverts and the
-    like, and outside of links that are in no heading, the container is the innermost element that holds all; if any are in
-    an article or main element, those of them. An article or main element is never cut. Empty if there are no texts."""
-    wrapper = stream(htmls[0])
+def infer_wrapper(htmls: list[str]) -> tuple[str, Wrapper]:
+    """(path of the article's container, wrapper) from pages of one host.
+
+    Pages are aligned one after another. The container is the innermost element that holds all texts which fill the
+    wrapper's slots and repeated groups, outside of menus, adverts and the like and of links that are in no heading; if
+    any are in an article or main element, those of them. An article or main element is never cut. Names count for
+    little: where they would set apart nine tenths of what differs from page to page, they are passed over. Empty if
+    there are no such texts."""
+    nodes = stream(htmls[0])
     for html in htmls[1:]:
-        wrapper = align(wrapper, stream(html))
-    fixed = constant_texts(wrapper) if len(htmls) > 1 else set()
-    found: set[tuple[str, ...]] = set()
+        nodes = align(nodes, stream(html))
+    wrapper = Wrapper(nodes, frozenset.intersection(*(frozenset(_repeated_texts(x)) for x in htmls)))
+    found: list[tuple[tuple[str, ...], bool, int]] = []
     for html in htmls:
-        for kind, path, apart, data in walk(html):
-            text = " ".join(data.split())
-            names = [p.partition(".")[0] for p in path]
-            if kind == "text" and text and not apart and text not in fixed and ("a" not in names or not _HEADINGS.isdisjoint(names)):
+        fixed = fixed_texts(wrapper, html) if len(htmls) > 1 else set()
+        for number, (_, path, apart, data) in enumerate(x for x in walk(html) if x[0] == "text"):
+            text, names = " ".join(data.split()), _bare(path)
+            if text and number not in fixed and ("a" not in names or not _HEADINGS.isdisjoint(names)):
                 # no deeper than an article or main element
                 depth = next((k for k, x in enumerate(names, 1) if x in ("article", "main")), 0)
-                found.add(path[:depth] if depth else path)
-    within = {p for p in found if p and p[-1].partition(".")[0] in ("article", "main")}
-    shared = os.path.commonprefix(sorted(within or found))
-    while shared and shared[-1].partition(".")[0] not in ("body", "main", "article", "section", "div", "td", "center"):
+                found.append((path[:depth] if depth else path, apart, len(text)))
+    own = [x for x in found if not x[1]]
+    if len(htmls) > 1 and 10 * sum(x[2] for x in own) < sum(x[2] for x in found):
+        own = found
+    paths = {x[0] for x in own}
+    within = {p for p in paths if p and _bare(p[-1:])[0] in ("article", "main")}
+    shared = os.path.commonprefix(sorted(within or paths))
+    while shared and _bare(shared[-1:])[0] not in ("body", "main", "article", "section", "div", "td", "center"):
         shared = shared[:-1]
-    return "/".join(shared), render(wrapper)
+    return "/".join(shared), wrapper
+
 
+def constants_go(container: str, wrapper: Wrapper, htmls: list[str]) -> bool:
+    """Whether constant texts in the container aren't the article's: not in an article or main element, nor if they are
+    half of its text outside of links, as in pages that are copies of each other."""
+    wanted = tuple(container.split("/")) if container else ()
+    if len(htmls) < 3 or not wanted or not {"article", "main"}.isdisjoint(_bare(wanted)):
+        return False
+    same = every = 0
+    for html in htmls:
+        fixed = fixed_texts(wrapper, html)
+        for number, (_, path, apart, data) in enumerate(x for x in walk(html, wanted) if x[0] == "text"):
+            if path[: len(wanted)] == wanted and not apart and "a" not in _bare(path):
+                every += len(data.strip())
+                same += len(data.strip()) if number in fixed else 0
+    return 2 * same < every
 
-def main_text(html: str | None, container: str | None) -> str:
+
+def main_text(html: str | None, container: str | None, wrapper: Wrapper | None = None) -> str:
     """The blocks of the article, white space in each made single, joined by blank lines.
 
-    The article is what stands in the wrapper's container; without a wrapper, or on a page without that container, in
-    article or main elements, and without those on the whole page. Menus, adverts and the like never count."""
+    The article is what stands in the wrapper's container; without a container, or on a page without it, in article or
+    main elements, and without those on the whole page. The page is aligned with the wrapper, if one is given, and blocks
+    of nothing but its constant texts go. Menus, adverts and the like within never count."""
     if not html:
         return ""
-    found = list(walk(html))
     wanted = tuple(container.split("/")) if container else ()
+    found = list(walk(html, wanted))
     inside = (lambda path: path[: len(wanted)] == wanted) if wanted else None
+    fixed: set[int] = set()
     if inside is None or not any(inside(path) for kind, path, apart, _ in found if kind == "text" and not apart):
-        within = lambda path: any(x.partition(".")[0] in ("article", "main") for x in path)
+        found = list(walk(html))
+        within = lambda path: any(x in ("article", "main") for x in _bare(path))
         inside = within if any(within(path) for kind, path, _, _ in found if kind == "text") else (lambda path: True)
-    blocks, now = [], []
-    for kind, path, apart, data in found:
+    elif wrapper:
+        fixed = fixed_texts(wrapper, html)
+    blocks, now, own, number = [], [], False, 0
+    for kind, path, apart, data in [*found, ("break", (), False, "")]:
         if kind == "break":
-            blocks.append("".join(now))
-            now = []
-        elif not apart and inside(path):
+            blocks.append("".join(now) if own else "")
+            now, own = [], False
+            continue
+        if not apart and inside(path):
             now.append(data)
+            own = own or number not in fixed and bool(data.strip())
+        number += 1
         # an element like br parts words
-    blocks.append("".join(now))
     cleaned = (" ".join(unescape(b).split()) for b in blocks)
     return "\n\n".join(b for b in cleaned if b)
 
 
+def _tuples(nodes) -> list[tuple]:
+    return [(kind, tuple(_tuples(data)) if isinstance(data, list) else data) for kind, data in nodes]
+
+
+@lru_cache(maxsize=256)
+def _parsed(text: str) -> Wrapper:
+    nodes, common = json.loads(text)
+    return Wrapper(_tuples(nodes), frozenset(common))
+
+
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, container, wrapper) from (page_id, host, html): each host's wrapper from at most `sample` of its pages.
+    """(host, container, shown, wrapper) from (page_id, host, html): each host's wrapper from at most `sample` of its pages,
+    as text, and as JSON if pages are to be aligned with it.
 
     The pages with the least hash are taken, first within parts of a host, so that a host with very many pages is
     ranked by many tasks; only then the pages' text is fetched."""
@@ -247,9 +353,10 @@ def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def infer(pdf: pd.DataFrame) -> pd.DataFrame:
         htmls = pdf.sort_values("page_id")["html"].tolist()
         container, wrapper = infer_wrapper(htmls)
-        return pd.DataFrame({"host": pdf["host"][:1], "container": container, "wrapper": wrapper})
+        told = json.dumps([wrapper.nodes, sorted(wrapper.common)]) if constants_go(container, wrapper, htmls) else None
+        return pd.DataFrame({"host": pdf["host"][:1], "container": container, "shown": render(wrapper.nodes), "wrapper": told})
 
-    return fetched.groupBy("host").applyInPandas(infer, "host string, container string, wrapper string")
+    return fetched.groupBy("host").applyInPandas(infer, "host string, container string, shown string, wrapper string")
 
 
 def extract_main_text(
@@ -261,15 +368,16 @@ def extract_main_text(
     length. Repeated rows stay; other columns are ignored; an empty table gives no rows."""
     host, _ = url_parts(F.col(url_col))
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    wrappers = materialise(infer_wrappers(named, sample), "wrappers").select("host", "container")
-    number, chars = wrappers.agg(F.count("*"), F.coalesce(F.sum(F.length("container")), F.lit(0))).first()
-    if number <= BROADCAST_WRAPPERS and chars <= BROADCAST_CHARS:
+    wrappers = materialise(infer_wrappers(named, sample), "wrappers").select("host", "container", "wrapper")
+    size = wrappers.agg(F.sum(F.length("container") + F.coalesce(F.length("wrapper"), F.lit(0)) + 100)).first()[0] or 0
+    if size <= BROADCAST_CHARS:
         wrappers = F.broadcast(wrappers)
-    joined = named.join(wrappers, "host", "left").select("page_id", "url", "html", "container")
+    joined = named.join(wrappers, "host", "left").select("page_id", "url", "html", "container", "wrapper")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(h, c) for h, c in zip(pdf["html"], pdf["container"], strict=True)]
+            rows = zip(pdf["html"], pdf["container"], pdf["wrapper"], strict=True)
+            texts = [main_text(h, c, _parsed(w) if w else None) for h, c, w in rows]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = pages.schema[id_col].dataType.simpleString()
