@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest_neighbours, search
 from tidemark.llm.bpe import Encoder, default_tokenizer_path
 from tidemark.llm.html_extract import align, extract_main_text, infer_wrapper, main_text, render, stream
-from tidemark.llm.packing import pack, solve
+from tidemark.llm.packing import pack, solve, split
 from tidemark.llm.pii import permute_digits, pseudonymise
 from tidemark.llm.url_filters import judge_urls
 
@@ -180,6 +180,19 @@ def test_patterns_hold_the_histogram(scale):
     assert held == histogram
     bound = max(-(-sum(n * k for n, k in histogram.items()) // 100), sum(k for n, k in histogram.items() if n > 50))
     assert sum(t for _, t in plan) <= 1.02 * bound + 1
+    lengths = [n for n, k in Counter(histogram).items() for _ in range(k)]
+    if scale == 1:
+        assert sum(t for _, t in plan) <= best_fit(lengths, 100)
+    program, rest = split(histogram, 100)
+    assert sum(t for _, t in program) >= 0.5 * sum(t for _, t in plan)
+
+
+def test_the_program_places_nearly_all_of_real_lengths():
+    rng = random.Random(9)
+    histogram = Counter(min(2048, int(rng.lognormvariate(5.8, 1.0)) + 1) for _ in range(3000))
+    program, rest = split(histogram, 2048)
+    total = sum(t for _, t in program) + sum(t for _, t in rest)
+    assert sum(t for _, t in program) >= 0.95 * total and total <= -(-sum(n * k for n, k in histogram.items()) // 2048) + 2
 
 
 def test_hosts_without_labels_have_their_domains_prior(spark):

@@ -13,99 +13,135 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encoder
 from tidemark.llm.common import materialise, shuffle_partitions
 
-#: Rounds of the multiplicative-weights solver at most, and the share of a length's demand that one step covers.
-ROUNDS, STEP = 400, 0.5
+#: The share of each length's demand that the program may leave uncovered, and how far below the best a pattern's price
+#: may lie for it to be used in the same round.
+EPSILON, NEAR = 0.05, 0.02
 
 
-def _price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length the most valuable filling of a sequence takes: an unbounded knapsack over all capacities.
+class _Knapsack:
+    """The most valuable filling of each room up to the capacity: an unbounded knapsack by dynamic programming.
 
     lengths ascend. A small gain for each token lets full sequences win among equals."""
-    gain = values + lengths * (values.max() * 1e-6 / capacity)
-    best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(lengths[0], capacity + 1):
-        k = fits[room]
-        worth = best[room - lengths[:k]] + gain[:k]
-        j = k - 1 - int(worth[::-1].argmax())  # the longest among equals
-        best[room], chosen[room] = worth[j], j
-    counts, room = np.zeros(len(lengths), dtype=np.int64), capacity
-    while chosen[room] >= 0:
-        counts[chosen[room]] += 1
-        room -= lengths[chosen[room]]
-    return counts
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: how often}, how many sequences) that together hold the histogram's pieces exactly.
-
-    The configuration linear program: minimise the sequences, one variable a pattern, so that each length is covered as
-    often as it occurs. Multiplicative weights price the lengths; a knapsack finds the pattern of most price; it is used
-    until it has covered a share of some length's demand, and the prices of what it covers fall. Whole uses are kept;
-    what is left is filled by the best fit, largest first, each such pattern as often as the rest allows. The number of
-    patterns is bounded by rounds and lengths, not by the pieces."""
-    left = {length: n for length, n in sorted(histogram.items()) if n > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if n := left.pop(capacity, 0):
-        out.append(({capacity: 1}, n))
-    if not left:
-        return out
-    uses = _fractional(left, capacity, rounds, step)
-    # the program's amounts, or half or none of them, and the best fit for the rest: whatever needs the fewest
-    return out + min((_rounded(left, capacity, uses, share) for share in (1.0, 0.5, 0.0)), key=lambda plan: sum(n for _, n in plan))
-
-
-def _fractional(left: dict[int, int], capacity: int, rounds: int, step: float) -> dict[tuple, float]:
-    """Patterns and how often the configuration program uses them, scaled to cover no length more often than it occurs, so
-    that the rest keeps short pieces for the gaps."""
-    lengths, demand = np.array(list(left)), np.array(list(left.values()), dtype=float)
-    prices, covered = lengths / capacity, np.zeros(len(lengths))
-    uses: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = covered < demand
-        if not open_.any():
-            break
-        k = np.flatnonzero(open_)
-        counts = np.zeros(len(lengths), dtype=np.int64)
-        counts[k] = _price(prices[k], lengths[k], capacity)
-        counts = np.minimum(counts, np.ceil(demand)).astype(np.int64)
-        used = np.flatnonzero(counts)
-        amount = step * float((demand[used] / counts[used]).min())
-        covered += counts * amount
-        prices *= np.exp(-(counts * amount / demand))
-        pattern = tuple((int(lengths[i]), int(counts[i])) for i in used)
-        uses[pattern] = uses.get(pattern, 0) + amount
-
-    over = max(1.0, float((covered / demand).max()))
-    return {pattern: amount / over for pattern, amount in uses.items()}
-
-
-def _rounded(left: dict[int, int], capacity: int, uses: dict[tuple, float], share: float) -> list[tuple[dict[int, int], int]]:
-    """Whole uses of a share of the program's amounts; the rest by the best fit, largest first, each pattern so found as
-    often as what is left allows."""
-    left, out = dict(left), []
 
-    def take(pattern: dict[int, int], wanted: int) -> None:
-        times = min([wanted, *(left[length] // n for length, n in pattern.items())])
-        if times > 0:
-            for length, n in pattern.items():
-                left[length] -= times * n
-            out.append((pattern, times))
-
-    for pattern, amount in sorted(uses.items(), key=lambda x: -x[1]):
-        take(dict(pattern), int(amount * share))
-    rest = [x for x in sorted(left, reverse=True) if left[x]]
-    while rest:
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        gain = prices + lengths * (prices.max() * 1e-6 / capacity)
+        self.best, self.chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+        for room in range(lengths[0], capacity + 1):
+            k = fits[room]
+            worth = self.best[room - lengths[:k]] + gain[:k]
+            j = k - 1 - int(worth[::-1].argmax())  # the longest among equals
+            self.best[room], self.chosen[room] = worth[j], j
+        self.worth = gain + self.best[capacity - lengths]  # of the best pattern with each length
+
+    def pattern(self, i: int) -> np.ndarray:
+        """How many of each length the best pattern with length i takes."""
+        counts, room = np.zeros(len(self.lengths), dtype=np.int64), self.capacity - self.lengths[i]
+        counts[i] = 1
+        while (j := self.chosen[room]) >= 0:
+            counts[j] += 1
+            room -= self.lengths[j]
+        return counts
+
+
+def covering(demand: dict[int, int], capacity: int) -> dict[tuple, float]:
+    """Patterns ((length, how often), ...) and how many sequences of each the configuration program uses.
+
+    The program: as few sequences as possible, one variable a pattern, so that each length is covered as often as it
+    occurs. Multiplicative weights price the lengths, a knapsack finds the best pattern for each length, and those within
+    NEAR of the most price are used until one of their lengths is covered; what a round covers of a length's demand lowers
+    its price by that power of e. No length is covered more often than it occurs, so all of a full pattern is of use.
+    Ends when every length is covered but for EPSILON of it: each round covers one length at least."""
+    lengths, wanted = np.array(sorted(demand)), np.array([demand[x] for x in sorted(demand)], dtype=float)
+    prices, left, uses = lengths / capacity, wanted.copy(), {}
+    while len(k := np.flatnonzero(left > EPSILON * wanted)):
+        knapsack = _Knapsack(prices[k], lengths[k], capacity)
+        rest, need, done = left[k], EPSILON * wanted[k], np.zeros(len(k))
+        # those of long pieces first: short ones fit in later just as well
+        for i in np.flatnonzero(knapsack.worth >= (1 - NEAR) * knapsack.worth.max())[::-1]:
+            if rest[i] <= need[i]:
+                continue
+            counts = knapsack.pattern(i)
+            used = np.flatnonzero(counts)
+            if (rest[used] > need[used]).all():
+                amount = float((rest[used] / counts[used]).min())
+                rest[used] -= amount * counts[used]
+                done[used] += amount * counts[used]
+                pattern = tuple((int(lengths[k[j]]), int(counts[j])) for j in used)
+                uses[pattern] = uses.get(pattern, 0.0) + amount
+        left[k] = rest
+        prices[k] *= np.exp(-done / wanted[k])
+    return uses
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns filled largest first, each as often as the rest allows."""
+    left, out = dict(left), []
+    while rest := [x for x in sorted(left, reverse=True) if left[x]]:
         pattern, room = {}, capacity
         for length in rest:
             if n := min(room // length, left[length]):
                 pattern[length] = n
                 room -= n * length
-        take(pattern, sum(left.values()))
-        rest = [x for x in rest if left[x]]
+        times = min(left[x] // n for x, n in pattern.items())
+        for x, n in pattern.items():
+            left[x] -= times * n
+        out.append((pattern, times))
     return out
 
 
+def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns ({length: how often}, how many sequences) that together hold the histogram's pieces exactly."""
+    program, rest = split(histogram, capacity)
+    return program + rest
+
+
+def split(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """(patterns from the configuration program, patterns of the best fit for what rounding leaves).
+
+    Amounts are rounded down, those below one up, the largest first, as long as the pieces last; patterns that leave
+    more than NEAR of a sequence empty wait. The program is then solved again for the pieces left, until it places less
+    than a twentieth of them or a few sequences are left. Last, see _repaired. The patterns are bounded by lengths and rounds, not by pieces."""
+    left = {length: n for length, n in sorted(histogram.items()) if n > 0}
+    out: list[tuple[dict[int, int], int]] = []
+    if n := left.pop(capacity, 0):
+        out.append(({capacity: 1}, n))
+    volume = lambda: sum(x * n for x, n in left.items())
+    while (before := volume()) > 4 * capacity:
+        taken = 0
+        for pattern, amount in sorted(covering({x: n for x, n in left.items() if n}, capacity).items(), key=lambda x: (-min(x[1], 1), -x[0][-1][0], -x[1])):
+            size = sum(x * n for x, n in pattern)
+            times = min([max(int(amount), 1), *(left[x] // n for x, n in pattern)])
+            if times and (size >= (1 - NEAR) * capacity or not taken):
+                for x, n in pattern:
+                    left[x] -= times * n
+                out.append((dict(pattern), times))
+                taken += times * size
+        if taken < 0.05 * before:
+            break
+    return _repaired(out, left, capacity)
+
+
+def _repaired(program: list[tuple[dict[int, int], int]], left: dict[int, int], capacity: int):
+    """The program's patterns and the best fit for the rest, where up to half of the program's sequences, the least full
+    ones, are packed anew with the rest if that takes fewer."""
+    size = lambda pattern: sum(x * n for x, n in pattern.items())
+    program = sorted(program, key=lambda x: -size(x[0]))
+    total = sum(n for _, n in program)
+    plans = []
+    for share in (0.0, 0.02, 0.05, 0.1, 0.25, 0.5):
+        back, rest, kept = int(share * total), dict(left), []
+        for pattern, n in reversed(program):
+            undone = min(n, back)
+            back -= undone
+            for x, k in pattern.items():
+                rest[x] = rest.get(x, 0) + undone * k
+            kept += [(pattern, n - undone)] if n > undone else []
+        plans.append((kept, _best_fit(rest, capacity)))
+    return min(plans, key=lambda plan: sum(n for part in plan for _, n in part))
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, blocks: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
