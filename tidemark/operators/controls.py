@@ -22,13 +22,13 @@ def draw_controls(events: DataFrame, bars: DataFrame, value: str, tolerances: tu
     A pool holds the bars (symbol, ts_ms, value) of the symbol whose value lies within a factor of 1 + tolerance and
     which are more than gap_ms away; its bars are drawn in hashed order, without repeats. Values are put into bands as
     wide as the widest tolerance, so that an event meets only bars of nearly its value."""
-    width = math.log1p(max(tolerances))
+    width = math.log1p(max(tolerances)) * (1 + 1e-9)  # a pair just at the tolerance mustn't fall two bands apart by rounding
     band = lambda c: F.floor(F.log(F.col(c)) / width)
     pool = bars.where(F.col(value) > 0).select("symbol", F.col("ts_ms").alias("control_ms"), F.col(value).alias("__v"), band(value).alias("__b"))
     asked = events.where(F.col(value) > 0).withColumn("__b", F.explode(F.sequence(band(value) - 1, band(value) + 1)))
-    apart = F.abs(F.log(F.col("__v") / F.col(value)))
-    near = asked.join(pool, ["symbol", "__b"]).where((apart <= width) & (F.abs(F.col("control_ms") - F.col("ts_ms")) > gap_ms))
-    each = near.select("event_id", "symbol", "control_ms", apart.alias("__d"), F.explode(F.array(*map(F.lit, tolerances))).alias("tolerance")).where(F.col("__d") <= F.log1p("tolerance"))
+    low, high = F.least("__v", value).cast("double"), F.greatest("__v", value).cast("double")
+    near = asked.join(pool, ["symbol", "__b"]).where((high <= low * (1 + max(tolerances))) & (F.abs(F.col("control_ms") - F.col("ts_ms")) > gap_ms))
+    each = near.withColumn("tolerance", F.explode(F.array(*map(F.lit, tolerances)))).where(high <= low * (1 + F.col("tolerance")))
     of = Window.partitionBy("event_id", "tolerance")
     order = shuffled(F.concat_ws("-", F.col("event_id").cast("string"), F.col("control_ms").cast("string")), seed)
     drawn = each.withColumns({"n_pool": F.count("*").over(of), "draw": F.row_number().over(of.orderBy(order, "control_ms"))})

@@ -17,7 +17,7 @@ DRAWN = (
     HOURS
     + f""", ce AS (SELECT event_id, symbol, ts_ms, price_u FROM trades WHERE price_u > 0),
  cp AS (SELECT e.event_id, e.symbol, h.ts_ms AS control_ms, CAST(v.t AS DOUBLE) AS tolerance FROM ce e JOIN hours h ON h.symbol = e.symbol AND h.close_u > 0 AND abs(h.ts_ms - e.ts_ms) > {DAY}, (VALUES (0.1), (0.25)) v(t)
- WHERE abs(ln(h.close_u / CAST(e.price_u AS DOUBLE))) <= ln(1 + CAST(v.t AS DOUBLE))),
+ WHERE CAST(greatest(h.close_u, e.price_u) AS DOUBLE) <= CAST(least(h.close_u, e.price_u) AS DOUBLE) * (1 + CAST(v.t AS DOUBLE))),
  cd AS (SELECT *, count(*) OVER (PARTITION BY event_id, tolerance) AS n_pool, row_number() OVER (PARTITION BY event_id, tolerance ORDER BY md5(event_id || '-' || control_ms || '-0'), control_ms) AS draw FROM cp),
  drawn AS (SELECT * FROM cd WHERE draw <= {DRAWS}),
  arms AS (SELECT e.event_id, d.tolerance, 'real' AS arm, 0 AS draw, e.symbol, e.ts_ms FROM ce e JOIN (SELECT DISTINCT event_id, tolerance FROM drawn) d USING (event_id)

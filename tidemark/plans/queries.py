@@ -118,12 +118,26 @@ def trades_deduplicated(spark, sf_dir):
 
 @query(f"WITH {LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC, seq DESC) AS k FROM ledger) SELECT symbol, seq, ts_ms, to_tier FROM r WHERE k = 1")
 def upsert_last_wins(spark, sf_dir):
-    """SRC-05, 06, 12: the latest row of each key."""
+    """SRC-12: the latest row of each key."""
     from tidemark.sources.store import last_wins
 
     return last_wins(V.ledger(spark, sf_dir), ["symbol"], ["ts_ms", "seq"])
 
 
+@query(
+    f"""WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC, seq DESC) AS r FROM ledger WHERE ts_ms < 820454400000), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC, seq DESC) AS r FROM ledger WHERE ts_ms >= 820454400000 AND symbol % 3 > 0)
+ SELECT coalesce(n.symbol, k.symbol) AS symbol, coalesce(n.seq, k.seq) AS seq, n.symbol IS NOT NULL AS changed FROM (SELECT * FROM k WHERE r = 1) k FULL JOIN (SELECT * FROM n WHERE r = 1) n ON k.symbol = n.symbol"""
+)
+def upsert_merge(spark, sf_dir):
+    """SRC-05, 06: a table with the last change of each key in place of its row, and new keys added."""
+    from tidemark.sources.store import last_wins, upsert
+
+    ledger, cut = V.ledger(spark, sf_dir), 820454400000
+    current = last_wins(ledger.where(F.col("ts_ms") < cut), ["symbol"], ["ts_ms", "seq"]).withColumn("changed", F.lit(False))
+    changes = ledger.where((F.col("ts_ms") >= cut) & (F.col("symbol") % 3 > 0)).withColumn("changed", F.lit(True))
+    return upsert(current, changes, ["symbol"], ["ts_ms", "seq"]).select("symbol", "seq", "changed")
+
+
 # Bars and tape
 
 
@@ -385,7 +399,7 @@ EVENTS = (
 
 @query(f"WITH {EVENTS} SELECT symbol, CAST(day AS VARCHAR) AS day, round(ret, 6) AS ret, round(peak_ret, 6) AS peak_ret, round(ret_close, 6) AS ret_close, round(drawdown, 6) AS drawdown, outcome FROM labelled")
 def event_labels_daily(spark, sf_dir):
-    """EVT-01..04: threshold moves with their labels."""
+    """EVT-04: threshold moves of daily bars with their labels."""
     out = rounded(text_day(E.daily_events(V.candles_1d(spark, sf_dir), 0.5, 5)), "ret", "peak_ret", "ret_close", "drawdown")
     return out.select("symbol", "day", "ret", "peak_ret", "ret_close", "drawdown", "outcome")
 
@@ -654,5 +668,5 @@ def set_operations(spark, sf_dir):
 
 @query(f"WITH {RANKS} SELECT ranking_type, snap_ms, symbol, amount FROM ranks WHERE ranking_type = 'events' ORDER BY amount DESC, symbol, snap_ms LIMIT 25")
 def top_k(spark, sf_dir):
-    """SIM-10, FEAT-18: top rows by a composite key."""
+    """SIM-10: top rows by a composite key."""
     return V.rankings(spark, sf_dir).where("ranking_type = 'events'").select("ranking_type", "snap_ms", "symbol", "amount").orderBy(F.desc("amount"), "symbol", "snap_ms").limit(25)

@@ -123,7 +123,7 @@ def oversold_entries(spark, sf_dir):
     f"""WITH {FLOW} SELECT CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE 2 END AS size, count(*) AS n_windows, round(quantile_cont(abs(ret_bp), 0.5), 4) AS median_move, round(quantile_cont(abs(ret_bp), 0.25), 4) AS p25, round(quantile_cont(abs(ret_bp), 0.75), 4) AS p75 FROM flow GROUP BY 1"""
 )
 def moves_by_size(spark, sf_dir):
-    """AGG-25, 27, 29, FLT-16: medians of a measure by size bucket."""
+    """AGG-25, FLT-16: medians of a measure by size bucket."""
     f = flow(spark, sf_dir).groupBy(S.bucket(F.col("n"), (2, 4)).alias("size"))
     move = F.abs("ret_bp")
     return rounded(f.agg(F.count("*").alias("n_windows"), F.percentile(move, 0.5).alias("median_move"), F.percentile(move, 0.25).alias("p25"), F.percentile(move, 0.75).alias("p75")), "median_move", "p25", "p75", digits=4)
@@ -194,7 +194,7 @@ def economic_significance(spark, sf_dir):
     f"""WITH {HOURS} SELECT t.event_id, t.symbol, count(h.ts_ms) AS n_pool FROM trades t LEFT JOIN hours h ON h.symbol = t.symbol AND abs(ln(nullif(h.close_u, 0) / nullif(CAST(t.price_u AS DOUBLE), 0))) <= ln(1.25) AND abs(h.ts_ms - t.ts_ms) > {DAY} GROUP BY ALL"""
 )
 def matched_pool_sizes(spark, sf_dir):
-    """STAT-14..17, FLT-22, 24: how many control bars of the symbol match each event's price, away from it in time."""
+    """FLT-22, 24, STAT-16: how many control bars of the symbol match each event's price, away from it in time."""
     ev = V.trades(spark, sf_dir).select("event_id", "symbol", "ts_ms", F.col("price_u").alias("close_u"))
     return X.pool_sizes(ev, hours(spark, sf_dir), "close_u", 0.25, DAY).select("event_id", "symbol", "n_pool")
 
