@@ -12,13 +12,16 @@ ROUNDS = 8
 DAY_SIDE, FIRST_DAY = 270, "1900-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: What each kind looks like, in the order in which they are tried. Bounded repeats and the look-behinds keep long runs
-#: without a break linear.
+#: What each kind looks like, in the order in which they are tried. Possessive repeats and the look-behinds keep long runs
+#: without a break linear; no value is too long.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+    "token": r"(?<![0-9A-Za-z_-])(?:sk-|pk-|ghp_|gho_|xoxb-|xoxp-|AKIA|AIza)[0-9A-Za-z_-]{16,}",
+    "secret": r"(?<![0-9A-Za-z])(?=\d*[A-Fa-f])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "intl": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{1,4}){2,6}(?!\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "card": r"(?<![\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
@@ -109,8 +112,38 @@ def _card(key: Column, value: Column) -> Column:
 
 
 def _phone(key: Column, value: Column) -> Column:
-    """The last ten digits are permuted; the country's code stays."""
-    return let(_digits(value), lambda d: _fill(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permute_digits(key, "phone", F.substr(d, F.length(d) - 9)))))
+    """The last ten digits are permuted; the country's code stays. Of numbers with a plus sign that have fewer digits, all but
+    the first two are; those with fewer than 8 or more than 15 aren't telephone numbers."""
+
+    def phone(d: Column) -> Column:
+        kept = F.greatest(F.length(d) - 10, F.when(F.length(d) == 10, F.when(value.startswith("+"), 2).otherwise(0)).otherwise(F.lit(2)))
+        new = F.concat(F.substr(d, F.lit(1), kept), permute_digits(key, "phone", F.substr(d, kept + 1)))
+        return F.when(F.length(d).between(8, 15), _fill(value, new))
+
+    return let(_digits(value), phone)
+
+
+def mod97(text: Column) -> Column:
+    """The number that digits and capital letters (A = 10 to Z = 35) spell, modulo 97."""
+    code = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: (acc * F.when(c.between("0", "9"), 10).otherwise(100) + code(c)) % 97)
+
+
+def _iban(key: Column, value: Column) -> Column:
+    """Account numbers with a valid check: their digits are permuted, letters and the country stay, the check is new."""
+
+    def iban(plain: Column) -> Column:
+        country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+
+        def write(new: Column) -> Column:
+            check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+            return let(check, lambda c: _fill(value, F.concat(c, F.regexp_replace(new, "[^0-9]", ""))))
+
+        digits = F.regexp_replace(body, "[^0-9]", "")
+        valid = (mod97(F.concat(body, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1) & (F.length(digits) >= 2)
+        return F.when(valid, let(_fill(body, permute_digits(key, "iban", digits)), write))
+
+    return let(F.regexp_replace(value, " ", ""), iban)
 
 
 def _ssn(key: Column, value: Column) -> Column:
@@ -154,20 +187,31 @@ def _date(key: Column, value: Column) -> Column:
     return out
 
 
+def _hex(key: Column, kind: str, value: Column, length: Column) -> Column:
+    """Keyed hexadecimal digits, as many as asked."""
+    part = lambda i: F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), value, key), 256)
+    return F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((length - 1) / 64).cast("int")), part), ""), F.lit(1), length)
+
+
 def _secret(key: Column, value: Column) -> Column:
     """Long hexadecimal keys become keyed hexadecimal digits of the same length and case."""
-    new = F.substr(F.sha2(F.concat_ws("|", key, F.lit("secret"), F.lower(value), key), 256), F.lit(1), F.length(value))
-    return F.when(F.upper(value) == value, F.upper(new)).otherwise(new)
+    return let(_hex(key, "secret", F.lower(value), F.length(value)), lambda new: F.when(F.upper(value) == value, F.upper(new)).otherwise(new))
+
+
+def _token(key: Column, value: Column) -> Column:
+    """Access tokens keep their prefix of four characters and their length."""
+    return F.concat(F.substr(value, F.lit(1), F.lit(4)), _hex(key, "token", value, F.length(value) - 4))
 
 
 def _email(key: Column, value: Column) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(value), key), 256), 1, 12), F.lit("@mail.invalid"))
+    """96 bits of a keyed hash: that two of 10^12 addresses share a pseudonym has a chance of 1 in 10^5."""
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), F.lower(value), key), 256), 1, 24), F.lit("@mail.invalid"))
 
 
 def pseudonym(key: Column, value: Column) -> Column:
     """The pseudonym of one matched value; null if it doesn't validate."""
     out = F.when(value.contains("@"), _email(key, value))
-    makers = {"secret": _secret, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+    makers = {"token": _token, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "intl": _phone, "ssn": _ssn, "date": _date, "card": _card}
     for kind, make in makers.items():
         out = out.when(value.rlike("^(?:" + PATTERNS[kind] + ")$"), make(key, value))
     return out
@@ -176,13 +220,15 @@ def pseudonym(key: Column, value: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_values") -> DataFrame:
     """docs with the personal values of text_col replaced, and how many were (count_col, if any).
 
-    Found: e-mail addresses, long hexadecimal secrets, IPv4 addresses, telephone numbers, social security numbers,
-    dates and card numbers; what fails its check (Luhn digit, calendar) stays as it is. One key gives equal values
+    Found: e-mail addresses, access tokens with a known prefix, hexadecimal secrets of 32 digits or more (one a letter), account numbers
+    (IBAN), IPv4 addresses, telephone numbers, social security numbers, dates and card numbers; what fails its check
+    (Luhn digit, modulo 97, calendar) stays as it is. One key gives equal values
     equal pseudonyms in all documents, and numbers and dates different values different ones. Null texts stay null with
-    count 0, texts without such values stay as they are; other columns and repeated rows stay; an empty table gives no
-    rows. Only a text's own row is read, so nothing is shuffled."""
+    count 0, texts without such values stay as they are; other columns and repeated rows stay, but for columns named
+    count_col, __found and __new, which are replaced or dropped; an empty table gives no rows. Only a text's own row is
+    read, so nothing is shuffled."""
     text, pattern = F.col(text_col), "|".join(f"(?:{p})" for p in PATTERNS.values())
-    some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    some = F.coalesce(text.rlike("[0-9@]|[a-f]{32}|[A-F]{32}|sk-|pk-|ghp_|gho_|xox[bp]-|AKIA|AIza"), F.lit(False))  # what all patterns need
     found = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform("__found", lambda v: pseudonym(F.lit(key), v))
     between = F.split(text, pattern, -1)
