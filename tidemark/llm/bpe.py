@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import id_text, typed_ids
+
 #: Characters of a run without a break beyond which it is cut in halves that are encoded apart.
 LEAF_CHARS = 512
 #: Words whose ids a task remembers; beyond it the later half is forgotten.
@@ -198,13 +200,9 @@ def encode_documents(
                 out |= {"ids": [np.frombuffer(b, dtype="<u4").astype(np.int64) for b, _ in found], "decoded": [t for _, t in found]}
             yield pd.DataFrame(out)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids array<long>, decoded string" if with_ids else ""
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
-        .withColumnRenamed("id", id_col)
-    )
+    texts = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return typed_ids(texts.mapInPandas(run, f"id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"), docs, id_col)
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -215,9 +213,5 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "decoded": [coder.decode([] if x is None else [int(i) for i in x]) for x in pdf["ids"]]})
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return (
-        encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-        .mapInPandas(run, f"id {kind}, decoded string")
-        .withColumnRenamed("id", id_col)
-    )
+    rows = encoded.select(id_text(id_col), F.col(ids_col).alias("ids"))
+    return typed_ids(rows.mapInPandas(run, "id string, decoded string"), encoded, id_col)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: list[str] = []
-_written: list[str] = []
+#: The scratch tables of the run that is under way, if any.
+_run: ContextVar[list[str] | None] = ContextVar("scratch_run", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +38,46 @@ def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts the lineage, survives lost executors, and keeps what several later steps read from being computed twice.
-    The files stay until the session's owner removes them or, unless they are lasting, calls forget."""
+    The files stay until the session's owner removes them; those written within a scratch_run, unless they are lasting,
+    go when it ends."""
     path = f"{scratch_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not lasting:
-        _written.append(path)
+    if not lasting and (mine := _run.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove what materialise has written so far in this process. Results that haven't been written or collected yet can
-    no longer be computed afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """A run that owns the scratch tables written within it, and removes them when it ends: by then its results must have
+    been written or collected. Tables of other runs, and those written outside of any, stay."""
+    mine: list[str] = []
+    token = _run.set(mine)
+    try:
+        yield
+    finally:
+        _run.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in mine:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def id_text(id_col: str) -> Column:
+    """An id as text, for Python workers: pandas would make nullable whole numbers doubles, which lose large ones."""
+    return F.col(id_col).cast("string").alias("id")
+
+
+def typed_ids(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """df with its ids of id_text made what they are in docs, under their name there."""
+    return df.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
+
+
+def text_partitions(docs: DataFrame, text_col: str, bytes_each: int) -> int:
+    """How many partitions a shuffle of all texts needs, so that each holds about bytes_each; never fewer than four times
+    the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(4 * shuffle_partitions(docs.sparkSession), -(-total // bytes_each))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

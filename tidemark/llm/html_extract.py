@@ -367,7 +367,7 @@ def extract_main_text(
     Pages without a host in their url share one wrapper. Null html counts as empty. The whole html is read, in any
     length. Repeated rows stay; other columns are ignored; an empty table gives no rows."""
     host, _ = url_parts(F.col(url_col))
-    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    named = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     wrappers = materialise(infer_wrappers(named, sample), "wrappers").select("host", "container", "wrapper")
     size = wrappers.agg(F.sum(F.length("container") + F.coalesce(F.length("wrapper"), F.lit(0)) + 100)).first()[0] or 0
     if size <= BROADCAST_CHARS:
@@ -380,5 +380,6 @@ def extract_main_text(
             texts = [main_text(h, c, _parsed(w) if w else None) for h, c, w in rows]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long").withColumnsRenamed({"page_id": id_col, "url": url_col})
+    found = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    # ids travel as text: pandas would make nullable whole numbers doubles
+    return found.withColumn("page_id", F.col("page_id").cast(pages.schema[id_col].dataType)).withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm.common import materialise, text_partitions
 
 #: UTF-8 bytes of text in a block, within which n-grams are counted before they are shuffled.
 BLOCK = 1 << 23
+#: Bytes of text whose n-grams one bucket counts.
+BUCKET = 1 << 26
 #: Stands for a null id inside blocks.
 NO_ID = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -165,7 +167,7 @@ def score_documents(
     share of the count table, so a frequent n-gram arrives once a block. Buckets answer with the corpus counts, in the
     order in which they were asked, and each block sums the scores of its documents. Nothing is kept for the whole
     corpus in one place."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = text_partitions(docs, text_col, BUCKET)
     blocks = materialise(_blocks(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))), "blocks")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +191,7 @@ def score_documents(
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [_narrow(total[x]) for x in np.split(inverse, cuts)]})
 
     asked = blocks.mapInPandas(ask, "bucket int, block string, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block string, bucket int, counts binary")
+    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(answer, "block string, bucket int, counts binary")
     sizes = blocks.mapInPandas(_block_sizes, "n long").agg(F.sum("n")).first()[0] or 0
 
     def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoder
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm.common import id_text, materialise, shuffle_partitions, typed_ids
 
 #: The share of each length's demand that the program may leave uncovered, and how far below the best a pattern's price
 #: may lie for it to be used in the same round.
@@ -158,13 +158,9 @@ def token_pieces(
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
-        .withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)).cast("int"))
-        .withColumnRenamed("id", id_col)
-    )
+    texts = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    pieces = texts.mapInPandas(run, "id string, piece int, start long, length long, ids_crc32 long")
+    return typed_ids(pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)).cast("int")), docs, id_col)
 
 
 def pack(
@@ -196,7 +192,7 @@ def pack(
     ranked = (
         pieces.withColumn("rank", F.row_number().over(within) - 1)
         .join(offsets, ["length", "block"])
-        .select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+        .select(id_text(id_col), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     )
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +203,5 @@ def pack(
             turn = rank - row[:, 1]
             yield pdf.drop(columns="rank").assign(sequence_id=row[:, 3] + turn // row[:, 2], offset=row[:, 4] + turn % row[:, 2] * length)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInPandas(
-        place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    ).withColumnRenamed("id", id_col)
+    placed = ranked.mapInPandas(place, "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return typed_ids(placed, docs, id_col)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import id_text, materialise, typed_ids
 from tidemark.llm.graph import connected_components
 
 BITS = 64
@@ -68,11 +68,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, shingle, extra_seeds, distinct) for t in pdf["text"]], dtype=np.uint64).reshape(-1, len(names))
             yield pd.DataFrame({"id": pdf["id"]} | {c: found[:, k].view(np.int64) for k, c in enumerate(names)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {kind}, " + ", ".join(f"{c} long" for c in names)
-    )
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(id_text(id_col), F.col(text_col).alias("text")).mapInPandas(run, "id string, " + ", ".join(f"{c} long" for c in names))
+    return typed_ids(out, docs, id_col)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -171,9 +168,9 @@ def verified_groups(
                 need.append(k)
             yield pd.DataFrame({"id": pdf["id"], "same": same, "need": need, "first": first})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    measured = materialise(known.mapInPandas(measure, f"id {kind}, same string, need int, first array<long>"), "measured")
+    found = known.select(id_text("id"), "text").mapInPandas(measure, "id string, same string, need int, first array<long>")
+    measured = materialise(typed_ids(found, known, "id"), "measured")
     nodes = measured.groupBy("same").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.first("first").alias("first"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", "need", F.explode("first").alias("h"))

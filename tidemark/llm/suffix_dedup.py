@@ -13,13 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm.common import id_text, materialise, text_partitions, typed_ids
 from tidemark.llm.suffix_array import suffix_array
 
 #: Length of the substrings whose hashes serve as anchors: any window of the match length holds at least one.
 ANCHOR = 32
 #: Bytes of text that are hashed at once, and that a task gathers before it ships its anchors.
 PIECE, BLOCK = 1 << 19, 1 << 24
+#: Bytes of text whose anchors one task settles: what it reads is about a quarter of it more than once.
+BUCKET = 1 << 26
 #: Anchors with more different surroundings than this are dealt out by the core of their windows.
 MANY = 512
 #: Windows that share one core when surroundings are compared, and characters for one suffix array.
@@ -136,7 +138,7 @@ def ship_runs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
-def settle_runs(shipped: DataFrame, length: int) -> DataFrame:
+def settle_runs(shipped: DataFrame, length: int, buckets: int) -> DataFrame:
     """Of all runs by anchor: (doc, a, b) removed for later copies of a span, with key null; and for anchors with several
     spans the earliest of each, with the anchor as key: (key, doc, pos, a, b, hot), windows from a to b. Spans of an anchor
     that has MANY are hot: they are cut into parts of SPAN windows."""
@@ -172,7 +174,7 @@ def settle_runs(shipped: DataFrame, length: int) -> DataFrame:
         out = pd.concat(out).reindex(columns=["doc", "a", "b", "key", "pos", "hot"])
         return out.astype({"key": "Int64", "pos": "Int64", "hot": "boolean"})
 
-    return shipped.groupBy("bucket").applyInPandas(settle, "doc long, a long, b long, key long, pos long, hot boolean")
+    return shipped.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(settle, "doc long, a long, b long, key long, pos long, hot boolean")
 
 
 def compare_windows(texts: list[bytes], docs: list[int], starts: list[int], length: int) -> Iterator[tuple[int, int, int]]:
@@ -251,7 +253,7 @@ def compare_spans(spans: DataFrame, length: int, buckets: int) -> DataFrame:
         return pd.DataFrame(out, columns=["doc", "a", "b"])
 
     salted = spans.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    return salted.groupBy("bucket").applyInPandas(compare, "doc long, a long, b long")
+    return salted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "doc long, a long, b long")
 
 
 def _cut_spans(joined: DataFrame, length: int) -> DataFrame:
@@ -284,9 +286,11 @@ def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     with one anchor travel as hashes. Runs that span the same bytes are settled by their earliest: inside a task's
     block first, so that many copies don't meet in one place, then overall. Only where an anchor has several spans,
     about where texts begin and cease to agree, bytes are fetched, and suffix arrays find the equal windows."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    if length < ANCHOR + SPAN:
+        raise ValueError(f"strings of less than {ANCHOR + SPAN} bytes have no room for an anchor")
+    buckets = text_partitions(docs, text_col, BUCKET)
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    settled = materialise(settle_runs(ship_runs(known, length, buckets), length), "runs")
+    settled = materialise(settle_runs(ship_runs(known, length, buckets), length, buckets), "runs")
     by_doc = settled.where("key is not null").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "a", "b", "hot")).alias("spans"))
     by_doc = materialise(by_doc, "spans")
     fetched = _cut_spans(known.withColumnRenamed("id", "doc").join(by_doc, "doc"), length)
@@ -317,11 +321,12 @@ def remove_repeats(
     returned instead, with the bytes removed from the text; parts of a character that a cut leaves are dropped, and null
     texts stay null."""
     ranges = materialise(removed_ranges(docs, length, id_col, text_col).withColumnRenamed("doc", "__id"), "ranges")
-    joined = docs.join(ranges, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    # docs may have columns of these names
+    joined = docs.join(ranges, docs[id_col].cast("long") == ranges["__id"], "left").select(*[docs[c] for c in docs.columns], ranges["ranges"].alias("__ranges"))
     fields = docs.schema.fields if keep_columns else [docs.schema[id_col]]
     names = [f.name for f in fields]
     if not keep_columns:
-        joined = joined.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "ranges")
+        joined = joined.select(id_text(id_col), F.col(text_col).alias("text"), F.col("__ranges").alias("ranges"))
 
         def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -337,8 +342,7 @@ def remove_repeats(
                     rows.append((doc, len(data), sum(b - a for a, b in cuts), len(cuts), sha.hexdigest()))
                 yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        kind = docs.schema[id_col].dataType.simpleString()
-        return joined.mapInPandas(digest, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+        return typed_ids(joined.mapInPandas(digest, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), docs, id_col)
 
     @F.pandas_udf("string")
     def shorten(texts: pd.Series, ranges: pd.Series) -> pd.Series:
@@ -354,4 +358,4 @@ def remove_repeats(
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text_col, F.when(F.col("ranges").isNull(), F.col(text_col)).otherwise(shorten(F.col(text_col), F.col("ranges")))).select(names)
+    return joined.withColumn(text_col, F.when(F.col("__ranges").isNull(), F.col(text_col)).otherwise(shorten(F.col(text_col), F.col("__ranges")))).select(names)
