@@ -25,6 +25,9 @@ def test_asof_ties_tolerance_and_nulls(spark):
     assert got(tolerance_ms=50) == {"a": 101, "b": 50, "c": None, "d": None, "e": None}
     assert got(forward=True) == {"a": 100, "b": 50, "c": None, "d": None, "e": None}
     assert got(forward=True, strict=True) == {"a": 200, "b": 100, "c": None, "d": None, "e": None}
+    for width in (1, 7, 15, 1000):  # slices of time change nothing
+        for options in ({}, {"strict": True}, {"tolerance_ms": 50}, {"forward": True}, {"forward": True, "strict": True}):
+            assert got(slice_ms=width, **options) == got(**options)
 
 
 def test_range_pairs_match_all_pairs(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,29 +51,38 @@ def impulses(series: DataFrame, rise: float, span_ms: int, gap_ms: int) -> DataF
     """Greedy upward moves, without overlap, per symbol and run of rows without a gap beyond gap_ms.
 
     From a running low, a move is found once the price is `rise` above it within span_ms; it goes on while prices don't
-    fall; the search resumes behind its peak. (symbol, ordinal, start_ms, detect_ms, peak_ms, start_u, detect_u, peak_u)."""
+    fall; the search resumes behind its peak. (symbol, ordinal, start_ms, detect_ms, peak_ms, start_u, detect_u, peak_u).
+
+    Windows find the rows that lie `rise` above their trailing low; only runs that hold one are scanned, each in one pass
+    that keeps the candidates for the low in ascending order."""
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
         ts, px, rows, i, n = pdf["ts_ms"].tolist(), pdf["price_u"].tolist(), [], 0, len(pdf)
-        low = 0
+        lows: deque[int] = deque()  # prices ascend; the first is the lowest of the last span, the earliest among equals
         while i < n:
-            if px[i] < px[low] or ts[i] - ts[low] > span_ms:
-                # the lowest of the last span, the earliest among equals
-                low = min((k for k in range(low, i + 1) if ts[i] - ts[k] <= span_ms), key=lambda k: px[k])
+            while lows and px[lows[-1]] > px[i]:
+                lows.pop()
+            lows.append(i)
+            while ts[i] - ts[lows[0]] > span_ms:
+                lows.popleft()
+            low = lows[0]
             if low < i and px[i] >= px[low] * (1 + rise):
                 peak = i
                 while peak + 1 < n and px[peak + 1] >= px[peak]:
                     peak += 1
                 rows.append((ts[low], ts[i], ts[peak], px[low], px[i], px[peak]))
-                i = low = peak + 1
-                continue
+                i = peak
+                lows.clear()
             i += 1
         out = pd.DataFrame(rows, columns=["start_ms", "detect_ms", "peak_ms", "start_u", "detect_u", "peak_u"])
         out.insert(0, "symbol", pdf["symbol"].iloc[0])
         return out
 
-    found = islands(series, "symbol", "ts_ms", gap_ms).groupBy("symbol", "island").applyInPandas(scan, "symbol long, start_ms long, detect_ms long, peak_ms long, start_u long, detect_u long, peak_u long")
+    near = F.min("price_u").over(Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-span_ms, 0))
+    risen = islands(series, "symbol", "ts_ms", gap_ms).withColumn("__up", F.col("price_u") >= near * (1 + rise))
+    risen = risen.withColumn("__any", F.max("__up").over(Window.partitionBy("symbol", "island"))).where("__any").select("symbol", "island", "ts_ms", "price_u")
+    found = risen.groupBy("symbol", "island").applyInPandas(scan, "symbol long, start_ms long, detect_ms long, peak_ms long, start_u long, detect_u long, peak_u long")
     return found.withColumn("ordinal", F.row_number().over(Window.partitionBy("symbol").orderBy("start_ms")))
 
 

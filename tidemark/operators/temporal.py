@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance_ms: int | None = None, forward: bool = False, tie: str | None = None, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance_ms: int | None = None, forward: bool = False, tie: str | None = None, strict: bool = False, slice_ms: int | None = None) -> DataFrame:
     """left with the values of the last row of right at or before its time (forward: the first at or after), per key.
 
-    Both sides are put together and sorted once, and the latest right row is carried along. Of right rows of one time
+    Both sides are put together and sorted once, and the latest right row is carried along. With slice_ms, keys are cut into
+    slices of time, so that a key with very many rows is sorted by many tasks: each slice carries its own rows along, and
+    takes what was last before it from the slices' last rows, which are few. Of right rows of one time
     the largest `tie` counts (forward: the smallest). strict: the time itself doesn't match. Adds right_<time>; beyond
     the tolerance all added columns are null. Null keys or times match nothing."""
     carried = [time, *([tie] if tie else []), *values]
@@ -22,9 +24,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     side = F.when(F.col("__left").isNull(), int(strict)).otherwise(int(not strict))
     ties = F.col(f"__right.{tie}") if tie else F.lit(0)
     order = [F.desc("__t"), side, ties.desc()] if forward else [F.asc("__t"), side, ties.asc()]
-    frame = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("__right", ignorenulls=True).over(frame)
-    out = both.withColumn("__found", last).where(F.col("__left").isNotNull())
+    if slice_ms is None:
+        frame = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("__found", F.last("__right", ignorenulls=True).over(frame)).where(F.col("__left").isNotNull())
+    else:
+        both = both.withColumn("__s", F.floor(F.col("__t") / slice_ms))
+        frame = Window.partitionBy("__k", "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        # a slice's last row in the order: the latest time, and its largest tie; forward: the earliest and smallest
+        place = F.struct("__t", ties.alias("__tie"))
+        seen = found.withColumn("__s", F.floor(F.col("__t") / slice_ms)).groupBy("__k", "__s").agg((F.min_by if forward else F.max_by)("__right", place).alias("__last"))
+        at = both.where(F.col("__left").isNotNull()).select("__k", "__s").distinct().join(seen, ["__k", "__s"], "full")
+        before = Window.partitionBy("__k").orderBy(F.desc("__s") if forward else F.asc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = at.select(F.col("__k").alias("__ck"), F.col("__s").alias("__cs"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+        inside = both.withColumn("__found", F.last("__right", ignorenulls=True).over(frame)).where(F.col("__left").isNotNull())
+        out = inside.join(carried, (F.col("__k") == F.col("__ck")) & (F.col("__s") == F.col("__cs")), "left").withColumn("__found", F.coalesce("__found", "__carried"))
     gap = F.abs(F.col("__t") - F.col(f"__found.{time}"))
     near = F.col("__k").isNotNull() & F.col("__t").isNotNull() & (F.lit(True) if tolerance_ms is None else gap <= tolerance_ms)
     picked = [F.when(near, F.col(f"__found.{c}")).alias(f"right_{time}" if c == time else c) for c in [time, *values]]

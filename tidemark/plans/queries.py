@@ -204,7 +204,7 @@ def tape_saturation(spark, sf_dir):
 )
 def asof_trade_quote(spark, sf_dir):
     """JOIN-05, 06, 08, 13: the quote in force at each trade, no older than two days."""
-    out = T.asof_join(V.trades(spark, sf_dir), V.quotes(spark, sf_dir), "symbol", "ts_ms", ["mid_u"], tolerance_ms=2 * DAY, tie="event_id")
+    out = T.asof_join(V.trades(spark, sf_dir), V.quotes(spark, sf_dir), "symbol", "ts_ms", ["mid_u"], tolerance_ms=2 * DAY, tie="event_id", slice_ms=7 * DAY)
     return doubles(out.select("symbol", "event_id", F.col("right_ts_ms").alias("quote_ms"), "mid_u"), "quote_ms", "mid_u")
 
 
