@@ -137,7 +137,7 @@ def learn_rules(
     labelled rows, chosen by a hash of the id, are used. Two thirds of them grow a rule: the threshold condition with
     most information gain is added until no good row is left in it. The last third prunes it: conditions are dropped
     from the end while (bad - good) / (bad + good) doesn't fall. A rule stays if its lower 90 % bound of precision over
-    all labelled rows reaches min_precision; what it covers is taken away and the next is grown. Each step is one
+    the rows kept for pruning reaches min_precision; what it covers is taken away and the next is grown. Each step is one
     aggregate over the labelled table, counted by feature and cut; only those counts reach the driver."""
     marked = labels.where("bad is not null").groupBy(id_col).agg(F.avg(F.col("bad").cast("double")).alias("bad")).where("bad <> 0.5")
     marked = features.where(~base_failed()).select(id_col, *FEATURES).join(marked.select(id_col, (F.col("bad") > 0.5).alias("bad")), id_col)
@@ -201,8 +201,9 @@ def learn_rules(
         scored = [flat[4 * k : 4 * k + 4] for k in range(len(conditions))]
         worth = [(p - n) / (p + n) if p + n else -1.0 for p, n, _, _ in scored]
         k = min(range(len(conditions)), key=lambda i: (-worth[i], i))
-        bad, good = scored[k][2:]
-        if bad + good < min_covered or _lower_bound(bad, bad + good) < min_precision:
+        held, (bad, good) = scored[k][:2], scored[k][2:]
+        # only rows that didn't grow the rule judge it
+        if bad + good < min_covered or not sum(held) or _lower_bound(held[0], sum(held)) < min_precision:
             break
         rule = Rule(tuple(conditions[: k + 1]), bad, good)
         rules.append(rule)

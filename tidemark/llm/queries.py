@@ -85,9 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _level(name: str, table: str, key: str, parent: str, means: str) -> str:
     """CTEs that shrink a level's rates towards the means of its parent, with the prior's strength by moments."""
-    return f"""{name}_prior AS (SELECT {parent}, sum(bad) / sum(seen) AS rate, sum(seen) AS seen, count(*) AS k, sum(bad * bad / seen) AS squares FROM {table} GROUP BY {parent}),
+    return f"""{name}_prior AS (SELECT {parent}, sum(bad) / sum(seen) AS rate, sum(seen) AS seen, count(*) AS k, sum(bad * bad / seen) AS squares, sum(seen * seen) AS seen2 FROM {table} GROUP BY {parent}),
  {name}_excess AS (SELECT *, rate * (1 - rate) AS noise, squares - seen * rate * rate - (k - 1) * rate * (1 - rate) AS excess FROM {name}_prior),
- {name}_strength AS (SELECT {parent}, least(greatest(CASE WHEN excess > 0 AND noise > 0 THEN noise / (excess / greatest(seen - seen / k, 1e-9)) - 1 ELSE 200 END, 5), 200) AS strength FROM {name}_excess),
+ {name}_strength AS (SELECT {parent}, k, least(greatest(CASE WHEN excess > 0 AND noise > 0 THEN noise / (excess / greatest(seen - seen2 / seen, 1e-9)) - 1 ELSE 200 END, 5), 200) AS strength FROM {name}_excess),
  {name} AS (SELECT t.{key}, t.bad + s.strength * m.mean AS alpha, t.seen - t.bad + s.strength * (1 - m.mean) AS beta, (t.bad + s.strength * m.mean) / (t.seen + s.strength) AS mean
  FROM {table} t JOIN {name}_strength s USING ({parent}) JOIN {means} m USING ({parent}))"""
 
@@ -99,7 +99,11 @@ URL_SQL = f"""WITH marked AS (SELECT doc_id AS page_id, avg(CASE WHEN quality =
  domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(seen) AS seen FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, 0 AS root, sum(bad) AS bad, sum(seen) AS seen FROM domains GROUP BY suffix),
  everything AS (SELECT 0 AS root, (sum(bad) + 0.5) / (sum(seen) + 1) AS mean FROM suffixes),
  {_level("of_suffix", "suffixes", "suffix", "root", "everything")}, {_level("of_domain", "domains", "domain", "suffix", "of_suffix")}, {_level("of_host", "hosts", "host", "domain", "of_domain")},
- low AS (SELECT host, mean - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bad_low FROM of_host),
+ unseen AS (SELECT DISTINCT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM parted WHERE host <> '' AND host NOT IN (SELECT host FROM hosts)),
+ given AS (SELECT u.host, coalesce(d.mean, x.mean, e.mean) AS m, CASE WHEN d.domain IS NOT NULL THEN CASE WHEN hs.k > 1 THEN hs.strength ELSE 5 END WHEN x.suffix IS NOT NULL THEN CASE WHEN ds.k > 1 THEN ds.strength ELSE 5 END ELSE CASE WHEN ss.k > 1 THEN ss.strength ELSE 5 END END AS s
+ FROM unseen u LEFT JOIN of_domain d ON d.domain = u.domain LEFT JOIN of_host_strength hs ON hs.domain = d.domain LEFT JOIN of_suffix x ON x.suffix = u.suffix LEFT JOIN of_domain_strength ds ON ds.suffix = x.suffix CROSS JOIN everything e LEFT JOIN of_suffix_strength ss ON true),
+ bounds AS (SELECT host, alpha, beta FROM of_host UNION ALL SELECT host, s * m, s * (1 - m) FROM given),
+ low AS (SELECT host, alpha / (alpha + beta) - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS bad_low FROM bounds),
  ruled AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parted)
  SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR low.bad_low > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM ruled r LEFT JOIN low USING (host)"""

@@ -61,13 +61,14 @@ def _strength(stats: DataFrame, parent: str, low: float, high: float) -> DataFra
     The spread of the children's rates beyond binomial noise gives the strength, held between low and high; no excess
     spread gives high."""
     of = stats.groupBy(parent).agg(
-        F.sum("bad").alias("bad"), F.sum("seen").alias("seen"), F.count("*").alias("k"), F.sum(F.col("bad") * F.col("bad") / F.col("seen")).alias("squares")
+        F.sum("bad").alias("bad"), F.sum("seen").alias("seen"), F.count("*").alias("k"), F.sum(F.col("bad") * F.col("bad") / F.col("seen")).alias("squares"),
+        F.sum(F.col("seen") * F.col("seen")).alias("seen2"),
     )
     rate = F.col("bad") / F.col("seen")
     noise = rate * (1 - rate)
     # sum of seen * (rate_i - rate)^2 = squares - seen * rate^2; its expectation under noise alone is (k - 1) * noise
     excess = (F.col("squares") - F.col("seen") * rate * rate) - (F.col("k") - 1) * noise
-    per_seen = excess / F.greatest(F.col("seen") - F.col("seen") / F.col("k"), F.lit(1e-9))
+    per_seen = excess / F.greatest(F.col("seen") - F.col("seen2") / F.col("seen"), F.lit(1e-9))
     strength = F.when((excess > 0) & (noise > 0), noise / per_seen - 1).otherwise(F.lit(high))
     return of.select(parent, rate.alias("rate"), "seen", "k", F.least(F.greatest(strength, F.lit(low)), F.lit(high)).alias("strength"))
 
@@ -77,7 +78,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame, low: float = 5.0, high:
 
     pages: (page_id, host); labels: (page_id, bad boolean), of which repeats are averaged. A suffix (the last label) is
     drawn towards all pages' rate, a registered domain (the last two labels) towards its suffix, a host towards its
-    domain. The bound lies z standard deviations below the mean. A host without labelled pages has the prior of its
+    domain. The bound lies z standard deviations below the mean, as of a normal distribution. A host without labelled pages has the prior of its
     domain; where the domain has none either, that of its suffix, and else that of all pages; where only one child has
     labels, at the least strength. Without any labels, no rows."""
     every = pages.where("host <> ''").select("host").distinct()
@@ -138,8 +139,8 @@ def judge_urls(
 
     labels: (id, bad boolean). The longest fitting rule decides; where none fits, block if the lower posterior bound of
     the host's share of bad pages is above threshold, else allow (also for urls without a host, and for all if there are no
-    labels). Hosts without labelled pages have the bound of their domain's prior, else their suffix's or all pages'. Repeated rows stay; labels may be empty or hold nulls; other columns are ignored; an empty table
-    gives no rows."""
+    labels). Hosts without labelled pages have the bound of their domain's prior, else their suffix's or all pages'.
+    Repeated rows stay; labels may be empty or hold nulls; other columns are ignored; an empty table gives no rows."""
     host, path = url_parts(F.col(url_col))
     parted = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     seen = labels.select(F.col(id_col).alias("page_id"), F.col("bad"))
