@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.bpe import default_tokenizer_path, encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import find_overlaps, report
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.packing import pack
@@ -70,6 +71,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
+    "op13_decontamination": op13_decontamination,
 }
 
 def _level(name: str, table: str, key: str, parent: str, means: str) -> str:
@@ -108,5 +114,18 @@ URL_SQL = f"""WITH marked AS (SELECT doc_id AS page_id, avg(CASE WHEN quality =
  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parted)
  SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR low.bad_low > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM ruled r LEFT JOIN low USING (host)"""
 
-#: Only URL filters can be said in SQL whole: the others learn, hash, link, tokenize or search.
-ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL}
+#: Items of fewer than ten words are windows of their own length.
+DECONTAMINATION_SQL = r"""WITH lower_docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS window_text
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(len(w), 10) AS m FROM items WHERE len(w) > 0))),
+ lengths AS (SELECT DISTINCT m FROM windows),
+ places AS (SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS window_text FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lower_docs JOIN lengths ON len(w) >= m)),
+ found AS (SELECT p.doc_id, p.m, p.i, x.item_id FROM places p JOIN windows x USING (m, window_text)),
+ hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+ FROM lower_docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)"""
+
+#: The other operators learn, hash, link, tokenize or search, which SQL can't say whole.
+ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL, "op13_decontamination": DECONTAMINATION_SQL}
