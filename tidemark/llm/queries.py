@@ -13,6 +13,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_overlaps, report
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.lm_scoring import score_documents
+from tidemark.llm.manifest import prove, tampered_count
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality_rules import judge
@@ -71,6 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides an id's crc32, n_chars is received one too high."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    return prove(table(spark, sf_dir, "documents"), fields, received={"n_chars": tampered_count("doc_id", "n_chars", every=7)})
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -127,5 +135,28 @@ DECONTAMINATION_SQL = r"""WITH lower_docs AS (SELECT doc_id, regexp_extract_all(
  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
  FROM lower_docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)"""
 
+#: crc32 goes bit by bit over the decimal digits, from its usual start, with its usual polynomial.
+MANIFEST_SQL = r"""WITH RECURSIVE texts AS (SELECT doc_id, lang, n_chars, text, source, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+   lambda c, d: list_reduce(list_prepend(xor(c, d), [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 7 = 0 AS tampered FROM documents),
+ fields AS (SELECT doc_id, lang, t, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+   || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head, n_chars, n_chars + CASE WHEN tampered THEN 1 ELSE 0 END AS shown_chars, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail FROM texts),
+ leaves AS (SELECT doc_id, t, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+   sha256(head || CASE WHEN shown_chars IS NULL THEN '-' ELSE strlen(CAST(shown_chars AS VARCHAR)) || ':' || shown_chars END || tail) AS shown FROM fields),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY t) AS n FROM leaves),
+ up AS (SELECT t, 0 AS lvl, idx, leaf AS h, n FROM placed UNION ALL SELECT t, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM up WHERE n > 1 GROUP BY t, lvl, idx // 2),
+ subroots AS (SELECT t - 1 AS idx, h, count(*) OVER () AS n FROM up WHERE n = 1),
+ over_up AS (SELECT 0 AS lvl, idx, h, n FROM subroots UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2) FROM over_up WHERE n > 1 GROUP BY lvl, idx // 2),
+ root AS (SELECT h AS root FROM over_up WHERE n = 1),
+ siblings AS (SELECT p.t, p.idx, 0 AS phase, u.lvl, u.h FROM placed p JOIN up u ON u.t = p.t AND u.idx = xor(p.idx >> u.lvl, 1)
+  UNION ALL SELECT p.t, p.idx, 1, u.lvl, u.h FROM placed p JOIN over_up u ON u.idx = xor((p.t - 1) >> u.lvl, 1)),
+ proofs AS (SELECT t, idx, string_agg(h, '' ORDER BY phase, lvl) AS joined FROM siblings GROUP BY t, idx),
+ fold AS (SELECT t, idx, 0 AS lvl, idx AS at, n, shown AS h FROM placed UNION ALL
+  SELECT f.t, f.idx, f.lvl + 1, f.at // 2, (f.n + 1) // 2, sha256(CASE WHEN u.h IS NULL THEN f.h WHEN f.at % 2 = 0 THEN f.h || u.h ELSE u.h || f.h END) FROM fold f LEFT JOIN up u ON u.t = f.t AND u.lvl = f.lvl AND u.idx = xor(f.at, 1) WHERE f.n > 1),
+ over_fold AS (SELECT f.t, f.idx, 0 AS lvl, f.t - 1 AS at, (SELECT count(*) FROM subroots) AS n, f.h FROM fold f WHERE f.n = 1 UNION ALL
+  SELECT f.t, f.idx, f.lvl + 1, f.at // 2, (f.n + 1) // 2, sha256(CASE WHEN u.h IS NULL THEN f.h WHEN f.at % 2 = 0 THEN f.h || u.h ELSE u.h || f.h END) FROM over_fold f LEFT JOIN over_up u ON u.lvl = f.lvl AND u.idx = xor(f.at, 1) WHERE f.n > 1)
+ SELECT p.doc_id, p.leaf, s.h AS subroot, r.root, sha256(coalesce(q.joined, '')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+ FROM placed p JOIN subroots s ON s.idx = p.t - 1 CROSS JOIN root r LEFT JOIN proofs q ON q.t = p.t AND q.idx = p.idx JOIN over_fold f ON f.t = p.t AND f.idx = p.idx AND f.n = 1"""
+
 #: The other operators learn, hash, link, tokenize or search, which SQL can't say whole.
-ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL, "op13_decontamination": DECONTAMINATION_SQL}
+ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_decontamination": DECONTAMINATION_SQL}
