@@ -15,6 +15,7 @@ from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.lm_scoring import score_documents
 from tidemark.llm.manifest import prove, tampered_count
 from tidemark.llm.packing import pack
+from tidemark.llm.phrases import collocations
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality_rules import judge
 from tidemark.llm.simhash import near_duplicates
@@ -72,6 +73,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), most=5, min_count=100, inside_percent=100, top=2000)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 7 divides an id's crc32, n_chars is received one too high."""
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_decontamination": op13_decontamination,
 }
@@ -135,6 +141,20 @@ DECONTAMINATION_SQL = r"""WITH lower_docs AS (SELECT doc_id, regexp_extract_all(
  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
  FROM lower_docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)"""
 
+COLLOCATION_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+ totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+ grams AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) AS lengths(m) WHERE len(w) >= m)),
+ counts AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+ candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+ cuts AS (SELECT lang, phrase, m, a, k, array_to_string(w[1 : k], ' ') AS first_part, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+ scored AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score, c.k
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first_part JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+ weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ kept AS (SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.lang = x.lang AND c.a >= x.a AND length(c.phrase) > length(x.phrase) AND contains(' ' || c.phrase || ' ', ' ' || x.phrase || ' '))),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
 #: crc32 goes bit by bit over the decimal digits, from its usual start, with its usual polynomial.
 MANIFEST_SQL = r"""WITH RECURSIVE texts AS (SELECT doc_id, lang, n_chars, text, source, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t,
   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
@@ -159,4 +179,4 @@ MANIFEST_SQL = r"""WITH RECURSIVE texts AS (SELECT doc_id, lang, n_chars, text,
  FROM placed p JOIN subroots s ON s.idx = p.t - 1 CROSS JOIN root r LEFT JOIN proofs q ON q.t = p.t AND q.idx = p.idx JOIN over_fold f ON f.t = p.t AND f.idx = p.idx AND f.n = 1"""
 
 #: The other operators learn, hash, link, tokenize or search, which SQL can't say whole.
-ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_decontamination": DECONTAMINATION_SQL}
+ORACLES: dict[str, str] = {"op7_url_filters": URL_SQL, "op11_collocations": COLLOCATION_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_decontamination": DECONTAMINATION_SQL}
