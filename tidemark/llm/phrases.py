@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,6 +105,18 @@ def _unpack_words(data: bytes) -> list[bytes]:
 _SHARD = "shard long, own int, codes binary, words binary, of_lang binary, langs array<string>, n_words array<long>"
 
 
+class _Ids(dict):
+    """Ids of words as they come up, from a counter; the break has 0."""
+
+    def __init__(self, counter: Iterator[int]):
+        super().__init__({b".": 0})
+        self.counter = counter
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = next(self.counter)
+        return made
+
+
 def _shards(texts: DataFrame, most: int) -> DataFrame:
     """Texts (lang, text) as sequences of word ids. Shards follow each other within a partition; each has its own ids."""
 
@@ -111,21 +124,20 @@ def _shards(texts: DataFrame, most: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        langs: dict[str, dict[bytes, int]] = {}
+        langs: dict[str, _Ids] = {}
         held: list[np.ndarray] = []
-        size, known = 0, 0
+        size, counter = 0, itertools.count(1)
 
         def add(lang: str, words: list[bytes]) -> None:
-            nonlocal size, known
-            ids = langs.setdefault(lang, {b".": 0})
-            for w in set(words) - ids.keys():
-                known += 1
-                ids[w] = known
-            held.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+            nonlocal size
+            if lang not in langs:
+                langs[lang] = _Ids(counter)
+            held.append(np.fromiter(map(langs[lang].__getitem__, words), np.int64, len(words)))
             size += len(words)
 
         def shard(own: int, codes: np.ndarray) -> pd.DataFrame:
             nonlocal made
+            known = sum(len(ids) - 1 for ids in langs.values())
             words, of_lang = [b""] * known, np.zeros(known, dtype=np.int64)
             for k, ids in enumerate(langs.values()):
                 for w, i in ids.items():
@@ -147,7 +159,7 @@ def _shards(texts: DataFrame, most: int) -> DataFrame:
                     if size >= SHARD_WORDS:
                         codes, tail = np.concatenate(held), words[-(most - 1) :]
                         yield shard(size - len(tail), codes)
-                        langs, held, size, known = {}, [], 0, 0
+                        langs, held, size, counter = {}, [], 0, itertools.count(1)
                         add(lang, tail)
                 add(lang, [b"."])
         if size:
