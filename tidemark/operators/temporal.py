@@ -7,8 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the slices of time into which a key is cut, so that one with very many rows is sorted by many tasks.
+SLICE_MS = 7 * 86_400_000
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance_ms: int | None = None, forward: bool = False, tie: str | None = None, strict: bool = False, slice_ms: int | None = None) -> DataFrame:
+
+def asof_join(
+    left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance_ms: int | None = None, forward: bool = False, tie: str | None = None, strict: bool = False, slice_ms: int | None = SLICE_MS
+) -> DataFrame:
     """left with the values of the last row of right at or before its time (forward: the first at or after), per key.
 
     Both sides are put together and sorted once, and the latest right row is carried along. With slice_ms, keys are cut into
@@ -16,7 +21,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     takes what was last before it from the slices' last rows, which are few. Of right rows of one time
     the largest `tie` counts (forward: the smallest). strict: the time itself doesn't match. Adds right_<time>; beyond
     the tolerance all added columns are null. Null keys or times match nothing."""
-    carried = [time, *([tie] if tie else []), *values]
+    carried = list(dict.fromkeys([time, *([tie] if tie else []), *values]))
     rows = left.select(F.struct(*left.columns).alias("__left"), F.col(key).alias("__k"), F.col(time).alias("__t"), F.lit(None).cast(right.select(F.struct(*carried).alias("x")).schema["x"].dataType).alias("__right"))
     found = right.select(F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), F.col(key).alias("__k"), F.col(time).alias("__t"), F.struct(*carried).alias("__right"))
     both = rows.unionByName(found)
@@ -56,32 +61,65 @@ def range_pairs(left: DataFrame, right: DataFrame, key: str, time: str, low_ms:
     return spread.join(r, (F.col(key) == F.col(right_prefix + key)) & (spread["__b"] == r["__b"])).where((gap > low_ms) & (gap <= high_ms)).drop("__b", right_prefix + key)
 
 
-def window_counts(events: DataFrame, prints: DataFrame, key: str, time: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
-    """events with, for each named window (low, high], how many prints of the key fall into (time + low, time + high].
-
-    Prints are counted as a running number; an event's count is the difference of the numbers at the window's ends, so
-    nothing is paired."""
-    marks = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("sign"), F.lit(o).cast("long").alias("offset")) for n, (low, high) in windows.items() for s, o in ((-1, low), (1, high))])
-    asked = events.withColumn("__row", F.monotonically_increasing_id())
-    edges = asked.select(F.col(key).alias("__k"), F.col(time).alias("__base"), "__row", F.explode(marks).alias("__m")).select(
-        "__k", (F.col("__base") + F.col("__m.offset")).alias("__t"), F.lit(0).alias("__n"), "__row", F.col("__m.name").alias("__name"), F.col("__m.sign").alias("__sign")
+def _carried(rows: DataFrame, values: dict[str, Column], slice_ms: int) -> DataFrame:
+    """rows (__k, __t, ...) with, for each named value, its sum over all rows of the key up to and at the time.
+
+    Within slices it runs in order of time; what came before a slice is added from the slices' totals, one row each."""
+    cut = rows.withColumn("__s", F.floor(F.col("__t") / slice_ms)).withColumns({f"__v_{n}": v for n, v in values.items()})
+    run = Window.partitionBy("__k", "__s").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumns({f"__in_{n}": F.sum(f"__v_{n}").over(run) for n in values})
+    before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("__k", "__s").agg(*[F.sum(f"__v_{n}").alias(f"__total_{n}") for n in values])
+    slices = totals.select(F.col("__k").alias("__bk"), F.col("__s").alias("__bs"), *[F.sum(f"__total_{n}").over(before).alias(f"__before_{n}") for n in values])
+    both = inside.join(slices, (F.col("__k") == F.col("__bk")) & (F.col("__s") == F.col("__bs")), "left")
+    out = both.withColumns({n: F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in values})
+    return out.drop("__s", "__bk", "__bs", *[f"__{x}_{n}" for n in values for x in ("v", "in", "before")])
+
+
+def mark_counts(events: DataFrame, key: str, time: str, marks: dict[str, DataFrame], asked: dict[str, list[tuple[int, str, int]]], slice_ms: int = SLICE_MS) -> DataFrame:
+    """events with, for each asked name, the sum over its (sign, kind, offset) of sign times how many marks of that kind the
+    key has at or before time + offset.
+
+    marks: by kind, rows of the same key and time columns. All kinds are counted as running numbers in one pass, so nothing
+    is paired. Events are told apart by their values; those that are equal count once and are repeated at the end. A null key
+    or time has no marks."""
+    lookups = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("sign"), F.lit(k).alias("kind"), F.lit(o).cast("long").alias("offset")) for n, terms in asked.items() for s, k, o in terms])
+    distinct = events.groupBy(F.struct(*events.columns).alias("__e")).agg(F.count(F.lit(1)).alias("__copies"))
+    rows = distinct.select("__e", "__copies", F.col(f"__e.{key}").alias("__k"), F.col(f"__e.{time}").alias("__base"), F.explode(lookups).alias("__m")).select(
+        "__k", (F.col("__base") + F.col("__m.offset")).alias("__t"), F.lit(None).cast("string").alias("__mark"), "__e", "__copies", F.col("__m.name").alias("__name"), F.col("__m.sign").alias("__sign"), F.col("__m.kind").alias("__kind")
     )
-    counted = prints.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.lit(1).alias("__n"), F.lit(None).cast("long").alias("__row"), F.lit(None).cast("string").alias("__name"), F.lit(0).alias("__sign"))
-    frame = Window.partitionBy("__k").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    running = edges.unionByName(counted).withColumn("__c", F.sum("__n").over(frame)).where("__row is not null")
-    per_row = running.groupBy("__row").agg(*[F.sum(F.when(F.col("__name") == n, F.col("__sign") * F.col("__c"))).alias(n) for n in windows])
-    return asked.join(per_row, "__row").drop("__row")
-
-
-def overlaps(events: DataFrame, intervals: DataFrame, key: str, time: str, span_ms: int, low: str, high: str, name: str = "overlaps") -> DataFrame:
-    """events with whether [time, time + span] meets a closed interval [low, high] of its key.
-
-    The largest end of all intervals that begin up to the window's end decides, by one sorted pass."""
-    asked = events.select(F.struct(*events.columns).alias("__e"), F.col(key).alias("__k"), (F.col(time) + span_ms).alias("__t"), F.lit(None).cast("long").alias("__high"))
-    given = intervals.select(F.lit(None).cast(asked.schema["__e"].dataType).alias("__e"), F.col(key).alias("__k"), F.col(low).alias("__t"), F.col(high).cast("long").alias("__high"))
-    frame = Window.partitionBy("__k").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    out = asked.unionByName(given).withColumn("__m", F.max("__high").over(frame)).where(F.col("__e").isNotNull())
-    return out.select("__e.*", F.coalesce(F.col("__m") >= F.col("__t") - span_ms, F.lit(False)).alias(name))
+    for kind, df in marks.items():
+        some = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.lit(kind).alias("__mark"))
+        rows = rows.unionByName(some, allowMissingColumns=True)
+    running = _carried(rows, {f"__n_{kind}": (F.col("__mark") == kind).cast("int") for kind in marks}, slice_ms).where("__copies is not null")
+    seen = F.coalesce(*[F.when(F.col("__kind") == kind, F.col(f"__n_{kind}")) for kind in marks])
+    counts = [F.coalesce(F.sum(F.when(F.col("__name") == n, F.col("__sign") * seen)), F.lit(0)).alias(n) for n in asked]
+    per_row = running.groupBy("__e").agg(F.max("__copies").alias("__copies"), *counts)
+    return per_row.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("__e.*", *asked)
+
+
+def window_counts(events: DataFrame, prints: DataFrame, key: str, time: str, windows: dict[str, tuple[int, int]], slice_ms: int = SLICE_MS) -> DataFrame:
+    """events with, for each named window (low, high], how many prints of the key fall into (time + low, time + high]: the
+    difference of the running numbers of prints at the window's ends (see mark_counts)."""
+    return mark_counts(events, key, time, {"print": prints}, {n: [(-1, "print", low), (1, "print", high)] for n, (low, high) in windows.items()}, slice_ms)
+
+
+def overlap_terms(span_ms: int, kind: str = "") -> list[tuple[int, str, int]]:
+    """What mark_counts is asked for how many closed intervals meet [time, time + span]: as many as begin by its end, less
+    those that ended before it. Their starts and ends are marks of the kinds low and high, after `kind`."""
+    return [(1, f"{kind}low", span_ms), (-1, f"{kind}high", -1)]
+
+
+def interval_marks(intervals: DataFrame, time: str, low: str, high: str, kind: str = "") -> dict[str, DataFrame]:
+    """The starts and ends of intervals that don't end before they begin, as marks for overlap_terms."""
+    fit = intervals.where(F.col(low) <= F.col(high))
+    return {f"{kind}{name}": fit.withColumn(time, F.col(c)) for name, c in (("low", low), ("high", high))}
+
+
+def overlaps(events: DataFrame, intervals: DataFrame, key: str, time: str, span_ms: int, low: str, high: str, name: str = "overlaps", slice_ms: int = SLICE_MS) -> DataFrame:
+    """events with whether [time, time + span] meets a closed interval [low, high] of its key."""
+    out = mark_counts(events, key, time, interval_marks(intervals, time, low, high), {name: overlap_terms(span_ms)}, slice_ms)
+    return out.withColumn(name, F.col(name) > 0)
 
 
 def islands(df: DataFrame, key: str, time: str, gap_ms: int, order: list[str] | None = None, name: str = "island") -> DataFrame:
