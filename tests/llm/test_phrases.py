@@ -53,10 +53,10 @@ def built(spark, rows, **how):
     return sorted(tuple(r) for r in collocations(table, **how).collect())
 
 
-@pytest.mark.parametrize("shard, piece, least, percent, top", [(1 << 21, 1 << 20, 5, 100, 2000), (40, 30, 5, 100, 2000), (7, 3, 12, 80, 9), (300, 1 << 20, 3, 100, 5)])
-def test_matches_plain_counting(spark, monkeypatch, shard, piece, least, percent, top):
+@pytest.mark.parametrize("shard, least, percent, top", [(1 << 21, 5, 100, 2000), (40, 5, 100, 2000), (7, 12, 80, 9), (300, 3, 100, 5)])
+def test_matches_plain_counting(spark, monkeypatch, shard, least, percent, top):
     monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
-    monkeypatch.setattr(phrases, "SLICE", piece)
+    monkeypatch.setattr(phrases, "BUCKET_WORDS", 900 if shard < 100 else 1 << 21)
     rows = corpus(shard)
     want = plain(rows, 5, least, percent, top)
     assert want
@@ -80,7 +80,7 @@ def test_suffix_array_and_intervals(seed):
     heads = [tuple(codes[k : k + 5]) for k in order]
     assert heads == sorted(heads)
     own = len(codes) * 2 // 3
-    for n, at, counts in ngram_intervals(codes, own, 1, 5):
+    for n, at, counts in ngram_intervals(codes, np.arange(len(codes)) < own, 1, 5):
         every = [tuple(codes[k : k + n]) for k in range(len(codes) - n + 1) if 0 not in codes[k : k + n]]
         some = Counter(tuple(codes[k : k + n]) for k in range(min(own, len(codes) - n + 1)) if 0 not in codes[k : k + n])
         found = [tuple(codes[k : k + n]) for k in at]
@@ -88,6 +88,24 @@ def test_suffix_array_and_intervals(seed):
         assert dict(zip(found, counts.tolist(), strict=True)) == {x: some[x] for x in found}
 
 
+def test_slices_are_the_whole(monkeypatch):
+    text = next(t for _, t in corpus(1) if t and len(t) > 200 and "." in t)
+    whole = [w for words in phrases._slices(text) for w in words]
+    monkeypatch.setattr(phrases, "SLICE", 3)
+    parts = list(phrases._slices(text))
+    assert len(parts) > 5 and [w for words in parts for w in words] == whole
+
+
+def test_keys_survive_packing():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 63, size=500, dtype=np.int64).astype(np.uint64)
+    keys = np.unique(phrases._ngram_keys(words, 3, 4))
+    assert len(keys) == 498 and len(phrases._ngram_keys(words[:2], 3, 4)) == 0
+    for b in range(4):
+        mine = keys[keys >> np.uint64(phrases.KEY_BITS) == b]
+        assert len(mine) > 50 and (phrases._unpack_keys(phrases._pack_keys(mine), b) == mine).all()
+
+
 def test_stretches_keep_what_is_joined():
     codes = np.array([1, 2, 0, 3, 4, 5, 6, 7, 0, 8])
     joined = np.array([1, 0, 0, 1, 0, 1, 1, 0, 0], dtype=bool)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,10 @@ from tidemark.llm.common import materialise
 
 #: Words and breaks in one shard.
 SHARD_WORDS = 1 << 21
+#: Words of text whose n-grams one bucket merges.
+BUCKET_WORDS = 1 << 21
+#: Bits of a hash that tell n-grams of one bucket apart; a multiple of 8.
+KEY_BITS = 40
 #: UTF-8 bytes of a text that are split into words at a time.
 SLICE = 1 << 20
 #: What ends a piece becomes a full stop, which no word has; tabs become spaces.
@@ -48,8 +52,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def ngram_intervals(codes: np.ndarray, own: int, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n from least to most: (n, where each distinct n-gram occurs once, how often it starts before `own`).
+def ngram_intervals(codes: np.ndarray, mine: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from least to most: (n, where each distinct n-gram occurs once, how often it starts where `mine` is true).
 
     Code 0 breaks n-grams. Suffixes that share n codes are neighbours in the suffix array: an interval over which the
     longest common prefix of neighbours stays at n or more."""
@@ -66,10 +70,10 @@ def ngram_intervals(codes: np.ndarray, own: int, least: int, most: int) -> Itera
         same[1:] &= (here[1:] == here[:-1]) & open_[1:]
         common += same
         room += open_
-    before = (order < own).astype(np.int64)
+    counted = mine[order].astype(np.int64)
     for n in range(least, most + 1):
         starts = np.flatnonzero(common < n)
-        counts = np.add.reduceat(before, starts) if len(starts) else np.zeros(0, dtype=np.int64)
+        counts = np.add.reduceat(counted, starts) if len(starts) else np.zeros(0, dtype=np.int64)
         there = room[starts] >= n
         yield n, order[starts[there]], counts[there]
 
@@ -88,16 +92,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
 
-def _pack_words(words: list[bytes]) -> bytes:
+def _pack_lines(texts: Iterable[bytes]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
 
 
-def _unpack_words(data: bytes) -> list[bytes]:
+def _unpack_lines(data: bytes) -> list[bytes]:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
 #: own: n-grams that start at a later code belong to the next shard, which has these codes too. words: those of codes from 1
@@ -148,7 +152,7 @@ def _shards(texts: DataFrame, most: int) -> DataFrame:
             made += 1
             n_words = np.bincount(of_lang[seen - 1], minlength=len(langs))
             return pd.DataFrame(
-                [(part << 32 | made, own, _pack(codes), _pack_words(words), _pack(of_lang), list(langs), n_words.tolist())],
+                [(part << 32 | made, own, _pack(codes), _pack_lines(words), _pack(of_lang), list(langs), n_words.tolist())],
                 columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"],
             )
 
@@ -174,7 +178,7 @@ def _vocabulary(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                words, of_lang, langs = _unpack_words(r.words), _unpack(r.of_lang), np.array(list(r.langs), dtype=object)
+                words, of_lang, langs = _unpack_lines(r.words), _unpack(r.of_lang), np.array(list(r.langs), dtype=object)
                 n = np.bincount(_unpack(r.codes)[: r.own], minlength=len(of_lang) + 1)[1:]
                 for at in range(0, len(of_lang), 50_000):
                     some = slice(at, at + 50_000)
@@ -211,7 +215,7 @@ def _frequent_only(shards: DataFrame, frequent: DataFrame) -> DataFrame:
             langs = sorted(set(words["lang"]))
             place = {x: k for k, x in enumerate(langs)}
             of_lang = np.array([place[x] for x in words["lang"]], dtype=np.int64)
-            out.append((r.shard, own, _pack(codes), _pack_words([w.encode("utf-8", "surrogatepass") for w in words["word"]]), _pack(of_lang), langs, None))
+            out.append((r.shard, own, _pack(codes), _pack_lines([w.encode("utf-8", "surrogatepass") for w in words["word"]]), _pack(of_lang), langs, None))
         return pd.DataFrame(out, columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"])
 
     slim = shards.select("shard", "own", "codes")
@@ -223,49 +227,139 @@ def _word_keys(r) -> np.ndarray:
     import xxhash
 
     langs = [x.encode() + b"\x00" for x in r.langs]
-    words = zip(_unpack_words(r.words), _unpack(r.of_lang).tolist(), strict=False)
+    words = zip(_unpack_lines(r.words), _unpack(r.of_lang).tolist(), strict=False)
     return np.array([0, *(xxhash.xxh3_64_intdigest(langs[k] + w) for w, k in words)], dtype=np.uint64)
 
 
-def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + (left >> np.uint64(29)))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+def _ngram_keys(keys: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """For each place, the bucket of the hash of the n words from there on, and above KEY_BITS of the hash itself.
 
+    keys: the words' hashes; the last n - 1 places have none."""
+    h = keys[: max(len(keys) - n + 1, 0)]
+    for k in range(1, n):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[k : k + len(h)] + (h >> np.uint64(29)))
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return ((h >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS)) | (h & np.uint64((1 << KEY_BITS) - 1))
 
-def _pairs(shards: DataFrame) -> DataFrame:
-    """(shard, pair: hash of two neighbouring words, n)"""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys of one bucket as compressed planes of their differences."""
+    import zstandard
+
+    low = keys & np.uint64((1 << KEY_BITS) - 1)
+    steps = np.diff(low, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+    return zstandard.ZstdCompressor(level=1).compress(steps.T.tobytes())
+
+
+def _unpack_keys(data: bytes, bucket: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(KEY_BITS // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, : KEY_BITS // 8] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) | (np.uint64(bucket) << np.uint64(KEY_BITS))
+
+
+def _frequent_keys(shards: DataFrame, n: int, min_count: int, buckets: int) -> DataFrame:
+    """(shard, bucket, keys): of the n-grams of each shard, those that occur min_count times or more in all shards.
+
+    A shard sends each bucket the hashes that fall into it, with its counts; a bucket adds up and tells each shard which of
+    its hashes stay. Hashes that clash can let a rare n-gram pass, and never lose one."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 codes = _unpack(r.codes)
-                keys = _word_keys(r)
-                for _, at, counts in ngram_intervals(codes, r.own, 2, 2):
-                    for k in range(0, len(at), 100_000):
-                        some = at[k : k + 100_000]
-                        yield pd.DataFrame({"shard": r.shard, "pair": _pair_keys(keys[codes[some]], keys[codes[some + 1]]), "n": counts[k : k + 100_000]})
+                keys = _ngram_keys(_word_keys(r)[codes], n, buckets)
+                for _, at, counts in ngram_intervals(codes, np.arange(len(codes)) < r.own, n, n):
+                    order = np.argsort(keys[at])
+                    sent, counts = keys[at][order], counts[order]
+                    bucket = (sent >> np.uint64(KEY_BITS)).astype(np.int64)
+                    bounds = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
+                    rows = [(int(bucket[a]), r.shard, _pack_keys(sent[a:b]), _pack(counts[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pd.DataFrame(rows, columns=["bucket", "shard", "keys", "counts"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [_unpack_keys(k, b) for k, b in zip(pdf["keys"], pdf["bucket"], strict=True)]
+        _, inverse = np.unique(np.concatenate(held), return_inverse=True)
+        stays = (np.bincount(inverse, weights=np.concatenate([_unpack(c) for c in pdf["counts"]])) >= min_count)[inverse]
+        told = [k[some] for k, some in zip(held, np.split(stays, np.cumsum([len(k) for k in held])[:-1]), strict=True)]
+        rows = [(s, b, _pack_keys(k)) for s, b, k in zip(pdf["shard"], pdf["bucket"], told, strict=True) if len(k)]
+        return pd.DataFrame(rows, columns=["shard", "bucket", "keys"])
+
+    asked = shards.mapInPandas(ask, "bucket int, shard long, keys binary, counts binary")
+    return asked.groupBy("bucket").applyInPandas(answer, "shard long, bucket int, keys binary")
+
 
-    return shards.mapInPandas(run, "shard long, pair long, n int")
+def _known(rows: pd.DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is among those of rows (bucket, keys)."""
+    return np.isin(keys, np.concatenate([_unpack_keys(k, b) for k, b in zip(rows["keys"], rows["bucket"], strict=True)])) if len(rows) else np.zeros(len(keys), dtype=bool)
 
 
-def _phrases(shards: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """(lang, phrase, words, n): the n-grams of two words or more all of whose neighbours are in `pairs`, by shard."""
+def _frequent_pairs_only(shards: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    """Shards with nothing but stretches whose neighbours are all in `pairs`."""
 
     def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str, int, int]] = []
+        out = []
         for r in rows.itertuples():
-            codes, words, of_lang, langs = _unpack(r.codes), _unpack_words(r.words), _unpack(r.of_lang), list(r.langs)
-            keys = _word_keys(r)[codes]
-            joined = (codes[:-1] > 0) & (codes[1:] > 0) & np.isin(_pair_keys(keys[:-1], keys[1:]), known["pair"].to_numpy(dtype=np.int64))
+            codes = _unpack(r.codes)
+            joined = (codes[:-1] > 0) & (codes[1:] > 0) & _known(known, _ngram_keys(_word_keys(r)[codes], 2, buckets))
             codes, own = _stretches(codes, r.own, joined)
-            for n, at, counts in ngram_intervals(codes, own, 2, most):
-                at, counts = at[counts > 0], counts[counts > 0]
-                for run, a in zip(codes[at[:, None] + np.arange(n)].tolist(), counts.tolist(), strict=True):
-                    out.append((langs[of_lang[run[0] - 1]], b" ".join(words[c - 1] for c in run).decode("utf-8", "surrogatepass"), n, a))
-        return pd.DataFrame(out, columns=["lang", "phrase", "words", "n"])
+            out.append((r.shard, own, _pack(codes), r.words, r.of_lang, list(r.langs), None))
+        return pd.DataFrame(out, columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"])
+
+    return shards.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInPandas(run, _SHARD)
+
+
+def _runs(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes in runs in which every three in a row are `whole`, breaks between; the place of each, that of a break at the end).
+
+    Words in which two runs overlap come twice, but each three in a row once."""
+    starts = np.flatnonzero(whole & ~np.concatenate(([False], whole[:-1])))
+    ends = np.flatnonzero(whole & ~np.concatenate((whole[1:], [False]))) + 3
+    places = [np.append(np.arange(a, b), -1) for a, b in zip(starts, ends, strict=True)]
+    flat = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+    return np.where(flat >= 0, codes[flat], 0), np.where(flat >= 0, flat, len(codes))
 
-    return shards.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInPandas(run, "lang string, phrase string, words int, n long")
+
+def _phrases(shards: DataFrame, triples: DataFrame, most: int, min_count: int, buckets: int) -> DataFrame:
+    """(lang, phrase, words, a): n-grams of two words, and of more all of whose three in a row are in `triples`, by their text.
+
+    Shards send their texts and counts by bucket; a bucket adds up texts, so what hashes let pass in error goes here."""
+
+    def name(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        import xxhash
+
+        out = []
+        for r in rows.itertuples():
+            codes, words, of_lang = _unpack(r.codes), _unpack_lines(r.words), _unpack(r.of_lang)
+            spots = np.arange(len(codes))
+            three = (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0) & _known(known, _ngram_keys(_word_keys(r)[codes], 3, buckets))
+            longer, places = _runs(codes, three)
+            found: dict[int, list[tuple[bytes, int, int]]] = {}
+            for kept, mine, low, high in ((codes, spots < r.own, 2, 2), (longer, places < r.own, 3, most)):
+                for n, at, counts in ngram_intervals(kept, mine, low, high) if low <= min(high, most) else ():
+                    at, counts = at[counts > 0], counts[counts > 0]
+                    for run, a in zip(kept[at[:, None] + np.arange(n)].tolist(), counts.tolist(), strict=True):
+                        text = b" ".join([words[c - 1] for c in run])
+                        found.setdefault(xxhash.xxh3_64_intdigest(text) % buckets, []).append((text, int(of_lang[run[0] - 1]), a))
+            for bucket, some in found.items():
+                text, lang, counts = zip(*some, strict=True)
+                out.append((bucket, list(r.langs), _pack_lines(text), _pack(np.array(lang)), _pack(np.array(counts))))
+        return pd.DataFrame(out, columns=["bucket", "langs", "text", "of_lang", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: dict[tuple[str, bytes], int] = {}
+        for r in pdf.itertuples():
+            langs = list(r.langs)
+            for text, k, a in zip(_unpack_lines(r.text), _unpack(r.of_lang).tolist(), _unpack(r.counts).tolist(), strict=True):
+                total[langs[k], text] = total.get((langs[k], text), 0) + a
+        rows = [(lang, text.decode("utf-8", "surrogatepass"), text.count(b" ") + 1, a) for (lang, text), a in total.items() if a >= min_count]
+        return pd.DataFrame(rows, columns=["lang", "phrase", "words", "a"])
+
+    named = shards.groupBy("shard").cogroup(triples.groupBy("shard")).applyInPandas(name, "bucket int, langs array<string>, text binary, of_lang binary, counts binary")
+    return named.groupBy("bucket").applyInPandas(add, "lang string, phrase string, words int, a long")
 
 
 def cut_score(a: Column, left: Column, right: Column, n: Column) -> Column:
@@ -278,19 +372,21 @@ def phrase_counts(docs: DataFrame, most: int, min_count: int, lang_col: str = "l
     """((lang, phrase, words, a): every word and every phrase of up to `most` words that occurs min_count times or more;
     (lang, n): the words of each language).
 
-    An n-gram that occurs so often has no rarer word and no rarer pair of neighbours. So words are counted first, over all
-    shards; pairs of frequent words next, by a hash of 64 bits, which can let a rare pair pass but never lose one; last the
-    n-grams of frequent pairs, by their text. Each round merges the shards' counts by key and tells every shard what stays."""
+    An n-gram that occurs so often has no rarer word, pair or three in a row. So words are counted first, over all shards, by
+    their text; pairs of frequent words next, then three frequent pairs in a row, by hashes; last the n-grams made of what is
+    left, by their text. Each round merges the shards' counts by key and tells every shard what stays. Hashes and texts travel
+    packed, one row for each shard and bucket that has some; buckets follow the number of words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     shards = materialise(_shards(texts, most), "shards")
-    per_lang = shards.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n"))
+    per_lang = materialise(shards.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n")), "per_lang")
+    buckets = 1 + (per_lang.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
     everywhere = F.sum("n").over(Window.partitionBy("lang", "word"))
     frequent = materialise(_vocabulary(shards).withColumn("a", everywhere).where(F.col("a") >= min_count), "words")
     slim = materialise(_frequent_only(shards, frequent), "stretches")
-    pairs = _pairs(slim).withColumn("a", F.sum(F.col("n").cast("long")).over(Window.partitionBy("pair"))).where(F.col("a") >= min_count)
-    phrases = _phrases(slim, pairs.select("shard", "pair"), most).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    pairs = materialise(_frequent_pairs_only(slim, _frequent_keys(slim, 2, min_count, buckets), buckets), "pairs")
+    phrases = _phrases(pairs, _frequent_keys(pairs, 3, min_count, buckets), most, min_count, buckets)
     words = frequent.groupBy("lang", F.col("word").alias("phrase")).agg(F.max("a").alias("a")).select("lang", "phrase", F.lit(1).alias("words"), "a")
-    return materialise(words.unionByName(phrases), "phrases"), materialise(per_lang, "per_lang")
+    return materialise(words.unionByName(phrases), "phrases"), per_lang
 
 
 def collocations(
