@@ -19,7 +19,12 @@ def millis(column: str) -> Column:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, event_id, ts_ms, price_u, qty_u, kind): every event as a print of its user's symbol, in micro units."""
-    return table(spark, sf_dir, "events").select(
+    return as_ticks(table(spark, sf_dir, "events"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, in the shape of ticks."""
+    return events.select(
         F.col("user_id").alias("symbol"),
         "event_id",
         millis("ts").alias("ts_ms"),
