@@ -3,7 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.functions import sessions as S
-from tidemark.operators import events, execution, stats, temporal
+from tidemark.operators import events, execution, resampling, stats, temporal
 from tidemark.sources import store
 from tidemark.streaming import market
 
@@ -72,7 +72,7 @@ def test_impulses_do_not_overlap(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(2000).select((F.col("id") % 100).alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
-    r = stats.cluster_bootstrap(df, "g", "v", 400, 3).first()
+    r = resampling.bootstrap_mean(df, [], "g", "v", 400, 3).first()
     assert r.ci_low < r["mean"] < r.ci_high and r.n_clusters == 100
 
 

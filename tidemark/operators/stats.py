@@ -1,4 +1,4 @@
-"""Distributions, two-scale means, correlations and cluster bootstraps."""
+"""Distributions, two-scale means and correlations."""
 
 from __future__ import annotations
 
@@ -60,21 +60,6 @@ def lag_correlation(panel: DataFrame, x: str, y: str, lags: tuple[int, ...], ste
     return wanted.join(shifted, ["symbol", time]).where("__x is not null and __y is not null").groupBy("lag").agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("corr"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """One row: mean and its percentile interval when clusters are drawn with replacement.
-
-    Clusters are reduced to sums first. Each cluster's number of uses in each draw is a Poisson(1) number made from a
-    hash, so the draws are one aggregate and nothing is collected."""
-    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    # cumulative Poisson(1) probabilities, the last for five uses and fewer (fixed values)
-    uses = sum((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", uses)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("n"))).alias("m"))
-    ci = means.agg(F.percentile("m", alpha / 2).alias("ci_low"), F.percentile("m", 1 - alpha / 2).alias("ci_high"))
-    return per.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.count("*").alias("n_clusters")).crossJoin(F.broadcast(ci))
-
-
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson's interval of a share."""
     p, zz = F.try_divide(hits, n), z * z

@@ -600,12 +600,6 @@ def leadlag_correlation(spark, sf_dir):
     return rounded(A.lag_correlation(flow(spark, sf_dir), "imbalance", "ret_bp", (-2, -1, 0, 1, 2), DAY), "corr")
 
 
-@query()
-def cluster_bootstrap(spark, sf_dir):
-    """STAT-01..03: interval of a mean over symbols (seeded draws; tested for coverage)."""
-    return A.cluster_bootstrap(V.trades(spark, sf_dir), "symbol", "price_u", 500, 7)
-
-
 @query(
     f"""WITH {TICKS}, g AS (SELECT symbol, count(*) AS n, count(*) FILTER (kind = 'purchase') AS k FROM ticks GROUP BY symbol), p AS (SELECT *, k / CAST(n AS DOUBLE) AS p, 1.96 * 1.96 AS zz FROM g)
  SELECT symbol, n, k, round((p + zz / (2 * n)) / (1 + zz / n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n), 6) AS low, round((p + zz / (2 * n)) / (1 + zz / n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n), 6) AS high FROM p"""
