@@ -105,8 +105,9 @@ def _unpack_lines(data: bytes) -> list[bytes]:
 
 
 #: own: n-grams that start at a later code belong to the next shard, which has these codes too. words: those of codes from 1
-#: on; of_lang: each one's place in langs; n_words: how many words each language has.
-_SHARD = "shard long, own int, codes binary, words binary, of_lang binary, langs array<string>, n_words array<long>"
+#: on; of_lang: each one's place in langs; counts: how often each occurs; n_words: how many words each language has.
+_COLUMNS = ["shard", "own", "codes", "words", "of_lang", "counts", "langs", "n_words"]
+_SHARD = "shard long, own int, codes binary, words binary, of_lang binary, counts binary, langs array<string>, n_words array<long>"
 
 
 class _Ids(dict):
@@ -148,13 +149,10 @@ def _shards(texts: DataFrame, most: int) -> DataFrame:
                     if i:
                         words[i - 1] = w
                         of_lang[i - 1] = k
-            seen = codes[:own][codes[:own] > 0]
+            counts = np.bincount(codes[:own], minlength=known + 1)[1:]
             made += 1
-            n_words = np.bincount(of_lang[seen - 1], minlength=len(langs))
-            return pd.DataFrame(
-                [(part << 32 | made, own, _pack(codes), _pack_lines(words), _pack(of_lang), list(langs), n_words.tolist())],
-                columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"],
-            )
+            n_words = np.bincount(of_lang, weights=counts, minlength=len(langs)).astype(np.int64)
+            return pd.DataFrame([(part << 32 | made, own, _pack(codes), _pack_lines(words), _pack(of_lang), _pack(counts), list(langs), n_words.tolist())], columns=_COLUMNS)
 
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -172,22 +170,6 @@ def _shards(texts: DataFrame, most: int) -> DataFrame:
     return texts.mapInPandas(run, _SHARD)
 
 
-def _vocabulary(shards: DataFrame) -> DataFrame:
-    """(shard, code, lang, word, n): the words of each shard and how often they occur; 0 where only in what the next one owns."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                words, of_lang, langs = _unpack_lines(r.words), _unpack(r.of_lang), np.array(list(r.langs), dtype=object)
-                n = np.bincount(_unpack(r.codes)[: r.own], minlength=len(of_lang) + 1)[1:]
-                for at in range(0, len(of_lang), 50_000):
-                    some = slice(at, at + 50_000)
-                    text = [w.decode("utf-8", "surrogatepass") for w in words[some]]
-                    yield pd.DataFrame({"shard": r.shard, "code": np.arange(at + 1, at + 1 + len(text)), "lang": langs[of_lang[some]], "word": text, "n": n[some]})
-
-    return shards.mapInPandas(run, "shard long, code int, lang string, word string, n long")
-
-
 def _stretches(codes: np.ndarray, own: int, joined: np.ndarray) -> tuple[np.ndarray, int]:
     """(codes in stretches of two or more, breaks between; how many of these come from before `own`).
 
@@ -201,27 +183,6 @@ def _stretches(codes: np.ndarray, own: int, joined: np.ndarray) -> tuple[np.ndar
     return np.insert(codes[places], gaps, 0), before + int(np.searchsorted(gaps, before, side="right"))
 
 
-def _frequent_only(shards: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Shards with nothing but neighbouring words of `frequent`, numbered anew."""
-
-    def run(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            codes = _unpack(r.codes)
-            renamed = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.int64)
-            renamed[words["code"].to_numpy(dtype=np.int64)] = np.arange(1, len(words) + 1)
-            codes = renamed[codes]
-            codes, own = _stretches(codes, r.own, (codes[:-1] > 0) & (codes[1:] > 0))
-            langs = sorted(set(words["lang"]))
-            place = {x: k for k, x in enumerate(langs)}
-            of_lang = np.array([place[x] for x in words["lang"]], dtype=np.int64)
-            out.append((r.shard, own, _pack(codes), _pack_lines([w.encode("utf-8", "surrogatepass") for w in words["word"]]), _pack(of_lang), langs, None))
-        return pd.DataFrame(out, columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"])
-
-    slim = shards.select("shard", "own", "codes")
-    return slim.groupBy("shard").cogroup(frequent.select("shard", "code", "lang", "word").groupBy("shard")).applyInPandas(run, _SHARD)
-
-
 def _word_keys(r) -> np.ndarray:
     """A 64-bit hash of the language and word of each code; that of code 0 is no word's."""
     import xxhash
@@ -270,11 +231,15 @@ def _frequent_keys(shards: DataFrame, n: int, min_count: int, buckets: int) -> D
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                codes = _unpack(r.codes)
-                keys = _ngram_keys(_word_keys(r)[codes], n, buckets)
-                for _, at, counts in ngram_intervals(codes, np.arange(len(codes)) < r.own, n, n):
-                    order = np.argsort(keys[at])
-                    sent, counts = keys[at][order], counts[order]
+                if n == 1:
+                    found = [(_ngram_keys(_word_keys(r)[1:], 1, buckets), _unpack(r.counts))]
+                else:
+                    codes = _unpack(r.codes)
+                    keys = _ngram_keys(_word_keys(r)[codes], n, buckets)
+                    found = [(keys[at], counts) for _, at, counts in ngram_intervals(codes, np.arange(len(codes)) < r.own, n, n)]
+                for sent, counts in found:
+                    order = np.argsort(sent)
+                    sent, counts = sent[order], counts[order]
                     bucket = (sent >> np.uint64(KEY_BITS)).astype(np.int64)
                     bounds = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
                     rows = [(int(bucket[a]), r.shard, _pack_keys(sent[a:b]), _pack(counts[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -297,6 +262,24 @@ def _known(rows: pd.DataFrame, keys: np.ndarray) -> np.ndarray:
     return np.isin(keys, np.concatenate([_unpack_keys(k, b) for k, b in zip(rows["keys"], rows["bucket"], strict=True)])) if len(rows) else np.zeros(len(keys), dtype=bool)
 
 
+def _frequent_words_only(shards: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """Shards with the words that are in `words`, numbered anew, and stretches of two or more of them."""
+
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            codes, text = _unpack(r.codes), _unpack_lines(r.words)
+            kept = np.flatnonzero(_known(known, _ngram_keys(_word_keys(r)[1:], 1, buckets)))
+            renamed = np.zeros(len(text) + 1, dtype=np.int64)
+            renamed[kept + 1] = np.arange(1, len(kept) + 1)
+            codes = renamed[codes]
+            codes, own = _stretches(codes, r.own, (codes[:-1] > 0) & (codes[1:] > 0))
+            out.append((r.shard, own, _pack(codes), _pack_lines([text[k] for k in kept]), _pack(_unpack(r.of_lang)[kept]), _pack(_unpack(r.counts)[kept]), list(r.langs), None))
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    return shards.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(run, _SHARD)
+
+
 def _frequent_pairs_only(shards: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
     """Shards with nothing but stretches whose neighbours are all in `pairs`."""
 
@@ -306,8 +289,8 @@ def _frequent_pairs_only(shards: DataFrame, pairs: DataFrame, buckets: int) -> D
             codes = _unpack(r.codes)
             joined = (codes[:-1] > 0) & (codes[1:] > 0) & _known(known, _ngram_keys(_word_keys(r)[codes], 2, buckets))
             codes, own = _stretches(codes, r.own, joined)
-            out.append((r.shard, own, _pack(codes), r.words, r.of_lang, list(r.langs), None))
-        return pd.DataFrame(out, columns=["shard", "own", "codes", "words", "of_lang", "langs", "n_words"])
+            out.append((r.shard, own, _pack(codes), r.words, r.of_lang, r.counts, list(r.langs), None))
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     return shards.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInPandas(run, _SHARD)
 
@@ -323,32 +306,57 @@ def _runs(codes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(flat >= 0, codes[flat], 0), np.where(flat >= 0, flat, len(codes))
 
 
-def _phrases(shards: DataFrame, triples: DataFrame, most: int, min_count: int, buckets: int) -> DataFrame:
-    """(lang, phrase, words, a): n-grams of two words, and of more all of whose three in a row are in `triples`, by their text.
+def _by_bucket(found: Iterable[tuple[bytes, int, int]], langs: list[str], buckets: int) -> Iterator[tuple]:
+    """Rows of _NAMED from (text, place of its language, count)."""
+    import xxhash
+
+    dealt: dict[int, list[tuple[bytes, int, int]]] = {}
+    for x in found:
+        dealt.setdefault(xxhash.xxh3_64_intdigest(x[0]) % buckets, []).append(x)
+    for bucket, some in dealt.items():
+        text, lang, counts = zip(*some, strict=True)
+        yield bucket, langs, _pack_lines(text), _pack(np.array(lang)), _pack(np.array(counts))
+
+
+_NAMED = "bucket int, langs array<string>, text binary, of_lang binary, counts binary"
+
 
-    Shards send their texts and counts by bucket; a bucket adds up texts, so what hashes let pass in error goes here."""
+def _words(shards: DataFrame, buckets: int) -> DataFrame:
+    """The words of shards by bucket, as _NAMED."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                found = (x for x in zip(_unpack_lines(r.words), _unpack(r.of_lang).tolist(), _unpack(r.counts).tolist(), strict=False) if x[2])
+                yield pd.DataFrame(list(_by_bucket(found, list(r.langs), buckets)), columns=["bucket", "langs", "text", "of_lang", "counts"])
+
+    return shards.mapInPandas(run, _NAMED)
 
-    def name(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        import xxhash
 
+def _phrases(shards: DataFrame, triples: DataFrame, most: int, buckets: int) -> DataFrame:
+    """n-grams of two words, and of more all of whose three in a row are in `triples`, by bucket, as _NAMED."""
+
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples():
             codes, words, of_lang = _unpack(r.codes), _unpack_lines(r.words), _unpack(r.of_lang)
-            spots = np.arange(len(codes))
             three = (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0) & _known(known, _ngram_keys(_word_keys(r)[codes], 3, buckets))
             longer, places = _runs(codes, three)
-            found: dict[int, list[tuple[bytes, int, int]]] = {}
-            for kept, mine, low, high in ((codes, spots < r.own, 2, 2), (longer, places < r.own, 3, most)):
+            found: list[tuple[bytes, int, int]] = []
+            for kept, mine, low, high in ((codes, np.arange(len(codes)) < r.own, 2, 2), (longer, places < r.own, 3, most)):
                 for n, at, counts in ngram_intervals(kept, mine, low, high) if low <= min(high, most) else ():
                     at, counts = at[counts > 0], counts[counts > 0]
                     for run, a in zip(kept[at[:, None] + np.arange(n)].tolist(), counts.tolist(), strict=True):
-                        text = b" ".join([words[c - 1] for c in run])
-                        found.setdefault(xxhash.xxh3_64_intdigest(text) % buckets, []).append((text, int(of_lang[run[0] - 1]), a))
-            for bucket, some in found.items():
-                text, lang, counts = zip(*some, strict=True)
-                out.append((bucket, list(r.langs), _pack_lines(text), _pack(np.array(lang)), _pack(np.array(counts))))
+                        found.append((b" ".join([words[c - 1] for c in run]), int(of_lang[run[0] - 1]), a))
+            out += _by_bucket(found, list(r.langs), buckets)
         return pd.DataFrame(out, columns=["bucket", "langs", "text", "of_lang", "counts"])
 
+    return shards.groupBy("shard").cogroup(triples.groupBy("shard")).applyInPandas(run, _NAMED)
+
+
+def _added(named: DataFrame, min_count: int) -> DataFrame:
+    """(lang, phrase, words, a): what occurs min_count times or more, added up by its text: what hashes let pass in error goes."""
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total: dict[tuple[str, bytes], int] = {}
         for r in pdf.itertuples():
@@ -358,7 +366,6 @@ def _phrases(shards: DataFrame, triples: DataFrame, most: int, min_count: int, b
         rows = [(lang, text.decode("utf-8", "surrogatepass"), text.count(b" ") + 1, a) for (lang, text), a in total.items() if a >= min_count]
         return pd.DataFrame(rows, columns=["lang", "phrase", "words", "a"])
 
-    named = shards.groupBy("shard").cogroup(triples.groupBy("shard")).applyInPandas(name, "bucket int, langs array<string>, text binary, of_lang binary, counts binary")
     return named.groupBy("bucket").applyInPandas(add, "lang string, phrase string, words int, a long")
 
 
@@ -372,21 +379,18 @@ def phrase_counts(docs: DataFrame, most: int, min_count: int, lang_col: str = "l
     """((lang, phrase, words, a): every word and every phrase of up to `most` words that occurs min_count times or more;
     (lang, n): the words of each language).
 
-    An n-gram that occurs so often has no rarer word, pair or three in a row. So words are counted first, over all shards, by
-    their text; pairs of frequent words next, then three frequent pairs in a row, by hashes; last the n-grams made of what is
-    left, by their text. Each round merges the shards' counts by key and tells every shard what stays. Hashes and texts travel
-    packed, one row for each shard and bucket that has some; buckets follow the number of words."""
+    An n-gram that occurs so often has no rarer word, pair or three in a row. So words are counted first, over all shards; pairs
+    of frequent words next, then three frequent pairs in a row, by hashes; last the n-grams made of what is left, by their
+    text. Each round merges the shards' counts by key and tells every shard what stays. Hashes and texts travel packed, one row
+    for each shard and bucket that has some; buckets follow the number of words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     shards = materialise(_shards(texts, most), "shards")
     per_lang = materialise(shards.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n_words").alias("n")), "per_lang")
     buckets = 1 + (per_lang.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
-    everywhere = F.sum("n").over(Window.partitionBy("lang", "word"))
-    frequent = materialise(_vocabulary(shards).withColumn("a", everywhere).where(F.col("a") >= min_count), "words")
-    slim = materialise(_frequent_only(shards, frequent), "stretches")
+    slim = materialise(_frequent_words_only(shards, _frequent_keys(shards, 1, min_count, buckets), buckets), "stretches")
     pairs = materialise(_frequent_pairs_only(slim, _frequent_keys(slim, 2, min_count, buckets), buckets), "pairs")
-    phrases = _phrases(pairs, _frequent_keys(pairs, 3, min_count, buckets), most, min_count, buckets)
-    words = frequent.groupBy("lang", F.col("word").alias("phrase")).agg(F.max("a").alias("a")).select("lang", "phrase", F.lit(1).alias("words"), "a")
-    return materialise(words.unionByName(phrases), "phrases"), per_lang
+    phrases = _phrases(pairs, _frequent_keys(pairs, 3, min_count, buckets), most, buckets)
+    return materialise(_added(_words(slim, buckets).unionByName(phrases), min_count), "phrases"), per_lang
 
 
 def collocations(
