@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import calendars, controls, exits, features, intraday, inventory, logs, matching, research, resampling, streams  # noqa: F401
+from tidemark.plans import calendars, controls, exits, features, intraday, inventory, logs, matching, research, resampling, rules, streams  # noqa: F401
 from tidemark.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

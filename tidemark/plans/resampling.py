@@ -16,16 +16,16 @@ USES = f"""uses AS (SELECT draw, cluster, {' + '.join(f'CAST(u > {p} AS INTEGER)
 _CUTS = {"ci_low": 0.025, "ci_high": 0.975, "bonferroni_low": 0.025 / COMPARED, "bonferroni_high": 1 - 0.025 / COMPARED}
 
 
-def _quantiles(value: str) -> str:
+def quantiles(value: str) -> str:
     return ", ".join(f"quantile_cont({value}, {q}) AS {n}" for n, q in _CUTS.items())
 
 
-_ENDS = ", ".join(f"round(i.{n}, 6) AS {n}" for n in _CUTS) + ", " + ", ".join(f"i.{n}_low <= 0 AND i.{n}_high >= 0 AS {n}_holds_zero" for n in ("ci", "bonferroni"))
+ENDS = ", ".join(f"round(i.{n}, 6) AS {n}" for n in _CUTS) + ", " + ", ".join(f"i.{n}_low <= 0 AND i.{n}_high >= 0 AS {n}_holds_zero" for n in ("ci", "bonferroni"))
 
 
 @query(
     f"""WITH {TICKS}, per AS (SELECT symbol AS cluster, sum(price_u) AS s, count(*) AS n FROM trades GROUP BY symbol), {USES}, d AS (SELECT draw, sum(k * s) / CAST(sum(k * n) AS DOUBLE) AS m FROM per JOIN uses USING (cluster) GROUP BY draw HAVING sum(k * n) > 0),
- i AS (SELECT {_quantiles('m')} FROM d), p AS (SELECT sum(s) / CAST(sum(n) AS DOUBLE) AS mean, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_clusters FROM per) SELECT round(mean, 6) AS mean, n, n_clusters, {_ENDS} FROM p CROSS JOIN i"""
+ i AS (SELECT {quantiles('m')} FROM d), p AS (SELECT sum(s) / CAST(sum(n) AS DOUBLE) AS mean, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_clusters FROM per) SELECT round(mean, 6) AS mean, n, n_clusters, {ENDS} FROM p CROSS JOIN i"""
 )
 def cluster_bootstrap(spark, sf_dir):
     """STAT-01: a mean over symbols with its interval, plain and for five comparisons."""
@@ -35,9 +35,9 @@ def cluster_bootstrap(spark, sf_dir):
 @query(
     f"""WITH {DRAWN}, per AS (SELECT tolerance, ts_ms // {DAY} AS cluster, coalesce(sum(ret_end) FILTER (arm = 'real'), 0) AS s1, count(ret_end) FILTER (arm = 'real') AS n1, coalesce(sum(ret_end) FILTER (arm = 'control'), 0) AS s2, count(ret_end) FILTER (arm = 'control') AS n2
   FROM outc WHERE ret_end IS NOT NULL GROUP BY ALL HAVING count(ret_end) FILTER (arm = 'real') > 0 AND count(ret_end) FILTER (arm = 'control') > 0), {USES},
- d AS (SELECT tolerance, draw, sum(k * s1) / nullif(CAST(sum(k * n1) AS DOUBLE), 0) - sum(k * s2) / nullif(CAST(sum(k * n2) AS DOUBLE), 0) AS m FROM per JOIN uses USING (cluster) GROUP BY ALL), i AS (SELECT tolerance, {_quantiles('m')} FROM d GROUP BY tolerance),
+ d AS (SELECT tolerance, draw, sum(k * s1) / nullif(CAST(sum(k * n1) AS DOUBLE), 0) - sum(k * s2) / nullif(CAST(sum(k * n2) AS DOUBLE), 0) AS m FROM per JOIN uses USING (cluster) GROUP BY ALL), i AS (SELECT tolerance, {quantiles('m')} FROM d GROUP BY tolerance),
  p AS (SELECT tolerance, CAST(sum(n1) AS BIGINT) AS n_first, CAST(sum(n2) AS BIGINT) AS n_second, sum(s1) / CAST(sum(n1) AS DOUBLE) AS mean_first, sum(s2) / CAST(sum(n2) AS DOUBLE) AS mean_second, count(*) AS n_clusters FROM per GROUP BY tolerance)
- SELECT p.tolerance, n_first, n_second, round(mean_first, 6) AS mean_first, round(mean_second, 6) AS mean_second, n_clusters, round(mean_first - mean_second, 6) AS mean_diff, {_ENDS} FROM p JOIN i USING (tolerance)"""
+ SELECT p.tolerance, n_first, n_second, round(mean_first, 6) AS mean_first, round(mean_second, 6) AS mean_second, n_clusters, round(mean_first - mean_second, 6) AS mean_diff, {ENDS} FROM p JOIN i USING (tolerance)"""
 )
 def bootstrap_difference(spark, sf_dir):
     """STAT-02: events less their controls, by tolerance, when days are drawn."""
@@ -62,8 +62,8 @@ _NINE = "g sxx sxz szz sxy szy dx dz dy".split()
  per AS (SELECT f.tolerance, f.cluster, count(*) AS g, sum(sxx) AS sxx, sum(sxz) AS sxz, sum(szz) AS szz, sum(sxy) AS sxy, sum(szy) AS szy, sum(x - mx) AS dx, sum(z - mz) AS dz, sum(y - my) AS dy FROM feats f JOIN grp USING (tolerance, event_id) WHERE f.arm = 'real' GROUP BY ALL), {USES},
  whole AS (SELECT tolerance, count(*) AS n_clusters, {', '.join(f'sum({c}) AS {c}' for c in _NINE)} FROM per GROUP BY tolerance),
  draws AS (SELECT tolerance, draw, {', '.join(f'sum(k * {c}) AS {c}' for c in _NINE)} FROM per JOIN uses USING (cluster) WHERE k > 0 GROUP BY ALL),
- i AS (SELECT tolerance, {_quantiles('estimate')} FROM {_solved('draws')} GROUP BY tolerance)
- SELECT p.tolerance, CAST(p.g AS BIGINT) AS n_events, p.n_clusters, round(p.beta_x, 6) AS beta_x, round(p.beta_z, 6) AS beta_z, CASE WHEN full_rank THEN 2 WHEN trace > 0 THEN 1 ELSE 0 END AS rank, round(p.estimate, 6) AS estimate, {_ENDS} FROM {_solved('whole')} p JOIN i USING (tolerance)"""
+ i AS (SELECT tolerance, {quantiles('estimate')} FROM {_solved('draws')} GROUP BY tolerance)
+ SELECT p.tolerance, CAST(p.g AS BIGINT) AS n_events, p.n_clusters, round(p.beta_x, 6) AS beta_x, round(p.beta_z, 6) AS beta_z, CASE WHEN full_rank THEN 2 WHEN trace > 0 THEN 1 ELSE 0 END AS rank, round(p.estimate, 6) AS estimate, {ENDS} FROM {_solved('whole')} p JOIN i USING (tolerance)"""
 )
 def within_group_regression(spark, sf_dir):
     """STAT-03: events against what their controls' prints and range predict, slopes shared by all events, when days are drawn."""
