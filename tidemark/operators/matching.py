@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rounds import settled
 from tidemark.operators.temporal import SLICE_MS, mark_counts
 
 #: Modulus of the hashes that order a pool: a prime below 2 ** 31, so that products fit 64 bits.
@@ -83,31 +83,20 @@ def draw_many(pairs: DataFrame, by: list[str], seeds: int, draws: int) -> DataFr
     return pools.select(*by, "n_pool", F.inline(each))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df by way of files in the checkpoint folder, which cuts its lineage and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-rounds-"))
-    return df.checkpoint()
-
-
 def nearest_once(pairs: DataFrame, event: str = "event_id", control: tuple[str, ...] = ("symbol", "control_ms")) -> DataFrame:
     """(event, control, distance, round): events matched to their nearest controls, each control used once.
 
     The result is that of taking pairs in order of distance (ties by event, then control) whenever neither side is taken. All
     pairs that are each other's first choice are taken at once, and the rest is looked at again, until none is left; a round
     takes at least the nearest pair of every symbol, and usually most. Pairs are told to the matched by joins."""
-    left, out, k = _settled(pairs.select(event, *control, "distance")), None, 0
+    left, out, k = settled(pairs.select(event, *control, "distance")), None, 0
     rank = F.struct("distance", event, *control)
     while not left.isEmpty():
         k += 1
         by_event = left.groupBy(event).agg(F.min(rank).alias("best")).select("best.*")
         by_control = left.groupBy(*control).agg(F.min(rank).alias("best")).select("best.*")
-        taken = _settled(by_event.join(by_control, [event, *control, "distance"]))
+        taken = settled(by_event.join(by_control, [event, *control, "distance"]))
         part = taken.withColumn("round", F.lit(k))
         out = part if out is None else out.unionByName(part)
-        left = _settled(left.join(taken.select(event), event, "left_anti").join(taken.select(*control), list(control), "left_anti"))
+        left = settled(left.join(taken.select(event), event, "left_anti").join(taken.select(*control), list(control), "left_anti"))
     return pairs.select(event, *control, "distance").limit(0).withColumn("round", F.lit(0)) if out is None else out

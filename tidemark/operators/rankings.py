@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import ratio
+from tidemark.operators.ordered import mean_ranks
+from tidemark.operators.rounds import settled
 from tidemark.operators.temporal import range_pairs
 
 
@@ -76,18 +78,16 @@ def rotation_scores(prints: DataFrame, at_ms: int, width_ms: int, min_prints: in
         F.count_if(recent).alias("n_prints"), F.count_if(~recent).alias("n_prints_prev"), F.sum(F.when(recent, F.col("amount")).otherwise(0)).alias("amount"), F.sum(F.when(~recent, F.col("amount")).otherwise(0)).alias("amount_prev")
     )
     cohort = both.where((F.col("n_prints") >= min_prints) & (F.col("n_prints_prev") >= min_prints))
-    everyone = Window.partitionBy(F.lit(0))  # one row a symbol
-
-    def mean_rank(c: str):
-        return F.rank().over(everyone.orderBy(F.desc(c))) + (F.count("*").over(Window.partitionBy(F.lit(0), c)) - 1) / 2
-
-    def percentile(c: str):
-        return (F.rank().over(everyone.orderBy(c)) + (F.count("*").over(Window.partitionBy(F.lit(0), c)) - 1) / 2) / F.count("*").over(everyone)
-
-    out = cohort.withColumn("__n", F.count("*").over(everyone)).where(F.col("__n") >= min_cohort)
-    out = out.withColumn("share_delta", ratio(F.col("amount"), F.sum("amount").over(everyone)) - ratio(F.col("amount_prev"), F.sum("amount_prev").over(everyone)))
-    out = out.withColumn("rank_delta", mean_rank("amount_prev") - mean_rank("amount"))
-    return out.withColumn("share_delta_pct", percentile("share_delta")).withColumn("rank_delta_pct", percentile("rank_delta")).drop("__n")
+    sums = cohort.agg(F.count("*").alias("__n"), F.sum("amount").alias("__all"), F.sum("amount_prev").alias("__all_prev"))
+    out = cohort.crossJoin(F.broadcast(sums)).where(F.col("__n") >= min_cohort)  # one row
+    out = out.withColumn("share_delta", ratio(F.col("amount"), F.col("__all")) - ratio(F.col("amount_prev"), F.col("__all_prev")))
+    out = settled(out)  # one row a symbol, ranked in four ways
+    for value, name in (("amount", "__now"), ("amount_prev", "__then")):
+        out = mean_ranks(out, value, name, descending=True)
+    out = settled(out.withColumn("rank_delta", F.col("__then") - F.col("__now")))
+    for value in ("share_delta", "rank_delta"):
+        out = mean_ranks(out, value, f"{value}_pct").withColumn(f"{value}_pct", F.col(f"{value}_pct") / F.col("__n"))
+    return out.drop("__n", "__all", "__all_prev", "__now", "__then")
 
 
 def amount_shares(rankings: DataFrame, top: int) -> DataFrame:

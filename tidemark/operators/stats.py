@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import exact_quantiles
 
-def distribution(value: str) -> list[Column]:
-    """n, mean and exact quantiles of a column."""
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), *[F.percentile(value, q).alias(name) for name, q in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))]]
+
+#: Names of a distribution's quantiles.
+QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def distribution(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, mean, p10, p25, median, p75, p90): counts, means and exact quantiles of a column; nulls don't count."""
+    cuts = exact_quantiles(df, [group], value, tuple(QUANTILES.values()))
+    named = cuts.groupBy(group).agg(*[F.max(F.when(F.abs(F.col("quantile") - q) < 1e-9, F.col("value"))).alias(n) for n, q in QUANTILES.items()])
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(named, group, "left")
 
 
 def two_scales(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -18,9 +26,11 @@ def two_scales(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def concentration(df: DataFrame, group: str, tops: tuple[int, ...]) -> DataFrame:
-    """One row: the share of rows in the largest groups (ties to the smaller group). Ranks one row a group."""
-    counts = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), group)))
-    return counts.agg(*[(F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"top{k}_share") for k in tops])
+    """One row: the share of rows in the largest groups (ties to the smaller group). Only the largest are put in order."""
+    counts = df.groupBy(group).agg(F.count("*").alias("n"))
+    largest = counts.orderBy(F.desc("n"), group).limit(max(tops)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), group)))  # as many rows as the largest top
+    sums = largest.agg(*[F.coalesce(F.sum(F.when(F.col("r") <= k, F.col("n"))), F.lit(0)).alias(f"top{k}") for k in tops])
+    return sums.crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select(*[F.try_divide(f"top{k}", "n").alias(f"top{k}_share") for k in tops])  # one row each
 
 
 def weighted_quantile(df: DataFrame, group: str, value: str, weight: str, quantiles: tuple[float, ...]) -> DataFrame:
@@ -48,7 +58,8 @@ def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def bucketed(df: DataFrame, value: str, buckets: int, name: str = "bucket") -> DataFrame:
     """df with the number, from 0, of the value's quantile bucket: edges are exact quantiles, intervals closed on the
     right, equal edges merged. The edges are one small row, joined by broadcast."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / buckets) for k in range(buckets + 1)]))).alias("__e"))
+    cuts = exact_quantiles(df, [], value, tuple(k / buckets for k in range(buckets + 1)))
+    edges = cuts.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("quantile", "value"))), lambda x: x["value"])).alias("__e"))
     inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))))).drop("__e")
 

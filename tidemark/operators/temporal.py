@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import BUCKETS, running_sums
+
 #: Width of the slices of time into which a key is cut, so that one with very many rows is sorted by many tasks.
 SLICE_MS = 7 * 86_400_000
 
@@ -147,12 +149,12 @@ def validity(ledger: DataFrame, key: str, time: str, order: list[str]) -> DataFr
 def population(changes: DataFrame, time: str, delta: str, start_ms: int, end_ms: int) -> DataFrame:
     """Time-weighted mean, least and largest size of a set within [start, end), from signed changes.
 
-    Changes are summed by time before the one ordered pass, which takes one row for each distinct time."""
+    Changes are summed by time, put in order within stretches of the window, and the stretches' sums carried on."""
     at = F.greatest(F.col(time), F.lit(start_ms))
     steps = changes.where(F.col(time) < end_ms).groupBy(at.alias("t")).agg(F.sum(delta).alias("d"))
     steps = steps.union(steps.sparkSession.range(1).select(F.lit(start_ms).cast("long"), F.lit(0).cast("long"))).groupBy("t").agg(F.sum("d").alias("d"))
-    w = Window.orderBy("t")
-    sized = steps.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("dt", F.coalesce(F.lead("t").over(w), F.lit(end_ms)) - F.col("t"))
+    bucket = F.floor((F.col("t") - start_ms) * BUCKETS / (end_ms - start_ms))
+    sized = running_sums(steps, "t", bucket, {"n": "d"}, following="__to").withColumn("dt", F.coalesce("__to", F.lit(end_ms)) - F.col("t"))
     return sized.where("dt > 0").agg((F.sum(F.col("n") * F.col("dt")) / F.sum("dt")).alias("mean_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
 
 

@@ -560,7 +560,7 @@ def exit_rules(spark, sf_dir):
 @query(f"WITH {TICKS} SELECT kind, count(*) AS n, round(avg(price_u), 4) AS mean, " + ", ".join(f"round(quantile_cont(price_u, {q}), 4) AS {n}" for n, q in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))) + " FROM ticks GROUP BY kind")
 def distributions(spark, sf_dir):
     """AGG-03, 08, 09, 28."""
-    return rounded(V.ticks(spark, sf_dir).groupBy("kind").agg(*A.distribution("price_u")), "mean", "p10", "p25", "median", "p75", "p90", digits=4)
+    return rounded(A.distribution(V.ticks(spark, sf_dir), "kind", "price_u"), "mean", "p10", "p25", "median", "p75", "p90", digits=4)
 
 
 @query(f"WITH {TICKS}, p AS (SELECT symbol, sum(price_u) AS s, count(*) AS n FROM ticks GROUP BY symbol) SELECT round(sum(s) / CAST(sum(n) AS DOUBLE), 4) AS row_mean, round(avg(s / CAST(n AS DOUBLE)), 4) AS group_mean, count(*) AS n_groups FROM p")
