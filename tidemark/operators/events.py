@@ -32,7 +32,8 @@ def causal_fires(series: DataFrame, rise: float, span_ms: int, cooldown_ms: int)
     """Rows (symbol, ts_ms, price_u) at which price / trailing minimum first reaches 1 + rise, and again only after it has
     been below and cooldown_ms have passed since the last fire.
 
-    The rising edges come from windows; the cooldown is a greedy scan, per symbol over its edges alone."""
+    The rising edges come from windows. An edge that follows the one before it by the cooldown or more always fires, whatever
+    came earlier, so edges are cut there; the cooldown is a greedy scan within such stretches of edges alone."""
     w = Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-span_ms, 0)
     above = series.withColumn("low_u", F.min("price_u").over(w)).withColumn("__a", (F.col("price_u") >= F.col("low_u") * (1 + rise)).cast("int"))
     edges = above.withColumn("__b", F.lag("__a").over(Window.partitionBy("symbol").orderBy("ts_ms"))).where("__a = 1 and coalesce(__b, 0) = 0")
@@ -44,7 +45,8 @@ def causal_fires(series: DataFrame, rise: float, span_ms: int, cooldown_ms: int)
             last = t if keep[-1] else last
         return pdf[keep]
 
-    return edges.select("symbol", "ts_ms", "price_u", "low_u").groupBy("symbol").applyInPandas(greedy, "symbol long, ts_ms long, price_u long, low_u long")
+    cut = islands(edges.select("symbol", "ts_ms", "price_u", "low_u"), "symbol", "ts_ms", cooldown_ms - 1)
+    return cut.groupBy("symbol", "island").applyInPandas(greedy, "symbol long, ts_ms long, price_u long, low_u long, island long").drop("island")
 
 
 def impulses(series: DataFrame, rise: float, span_ms: int, gap_ms: int) -> DataFrame:

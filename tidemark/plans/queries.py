@@ -424,15 +424,38 @@ def overlapping_windows(spark, sf_dir):
     return E.overlapping(V.trades(spark, sf_dir), DAY).select("symbol", "event_id", "overlaps")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TICKS}, lows AS (SELECT symbol, ts_ms, price_u, min(price_u) OVER (PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW) AS low_u FROM ticks),
+ near AS (SELECT *, price_u >= low_u * CAST(1.5 AS DOUBLE) AS above, lag(price_u >= low_u * CAST(1.5 AS DOUBLE)) OVER (PARTITION BY symbol ORDER BY ts_ms) AS before FROM lows),
+ edges AS (SELECT symbol, ts_ms, price_u, low_u, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS k FROM near WHERE above AND NOT coalesce(before, false)),
+ greedy AS (SELECT symbol, k, ts_ms, price_u, low_u, true AS fires, ts_ms AS fired_ms FROM edges WHERE k = 1
+  UNION ALL SELECT e.symbol, e.k, e.ts_ms, e.price_u, e.low_u, e.ts_ms - g.fired_ms >= {DAY}, CASE WHEN e.ts_ms - g.fired_ms >= {DAY} THEN e.ts_ms ELSE g.fired_ms END FROM greedy g JOIN edges e ON e.symbol = g.symbol AND e.k = g.k + 1)
+ SELECT symbol, ts_ms, price_u, low_u FROM greedy WHERE fires"""
+)
 def causal_fires(spark, sf_dir):
-    """EVT-16, 21: rising edges over the trailing low, with a cooldown (greedy; tested against a plain scan)."""
+    """EVT-16, 21: rising edges over the trailing low, with a cooldown."""
     return E.causal_fires(V.ticks(spark, sf_dir), 0.5, 2 * DAY, DAY)
 
 
-@query()
+#: From every row on which a search may begin, the first row that lies half above the low since then; searches then follow each other.
+IMPULSES = (
+    TICKS
+    + f""", o AS (SELECT symbol, ts_ms, price_u, row_number() OVER w AS i, coalesce(ts_ms - lag(ts_ms) OVER w > {3 * DAY}, false) AS brk FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+ isl AS (SELECT *, sum(CAST(brk AS INTEGER)) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM o),
+ dips AS (SELECT *, coalesce(price_u < lag(price_u) OVER (PARTITION BY symbol, island ORDER BY i), false) AS dip FROM isl), climbs AS (SELECT *, sum(CAST(dip AS INTEGER)) OVER (PARTITION BY symbol, island ORDER BY i ROWS UNBOUNDED PRECEDING) AS climb FROM dips),
+ peaks AS (SELECT *, max(i) OVER (PARTITION BY symbol, island, climb) AS peak_i FROM climbs),
+ seen AS (SELECT a.symbol, a.island, a.i AS r, b.i, b.price_u, b.peak_i, min((b.price_u, b.i)) OVER (PARTITION BY a.symbol, a.i ORDER BY b.ts_ms RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS low FROM peaks a JOIN peaks b ON b.symbol = a.symbol AND b.island = a.island AND b.i >= a.i),
+ hits AS (SELECT symbol, island, r, min((i, low[2], peak_i)) AS h FROM seen WHERE low[2] < i AND price_u >= low[1] * CAST(1.5 AS DOUBLE) GROUP BY ALL),
+ chain AS (SELECT h.symbol, h.island, h.h FROM hits h JOIN (SELECT symbol, island, min(i) AS r FROM isl GROUP BY ALL) f USING (symbol, island, r) UNION ALL SELECT h.symbol, h.island, h.h FROM chain c JOIN hits h ON h.symbol = c.symbol AND h.island = c.island AND h.r = c.h[3] + 1)"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {IMPULSES} SELECT c.symbol, a.ts_ms AS start_ms, b.ts_ms AS detect_ms, p.ts_ms AS peak_ms, a.price_u AS start_u, b.price_u AS detect_u, p.price_u AS peak_u, CAST(row_number() OVER (PARTITION BY c.symbol ORDER BY a.ts_ms) AS INTEGER) AS ordinal
+ FROM chain c JOIN o a ON a.symbol = c.symbol AND a.i = c.h[2] JOIN o b ON b.symbol = c.symbol AND b.i = c.h[1] JOIN o p ON p.symbol = c.symbol AND p.i = c.h[3]"""
+)
 def detect_impulses(spark, sf_dir):
-    """EVT-13, 15: greedy upward moves without overlap (greedy; tested against a plain scan)."""
+    """EVT-13, 15: greedy upward moves without overlap."""
     return E.impulses(V.ticks(spark, sf_dir), 0.5, DAY, 3 * DAY)
 
 
