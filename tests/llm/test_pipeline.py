@@ -141,3 +141,27 @@ def test_large_ids_beside_null_ids(spark):
         assert ids(out) == want
     pages = frame.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
     assert ids(extract_main_text(pages)) == want
+
+
+def test_a_stage_ends_with_the_scratch_tables_of_the_one_before(spark, tmp_path):
+    from tidemark.llm.common import end_stage, materialise, stage
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: {p.name.split("-")[1] for p in folder.glob("tidemark-*") if p.name.split("-")[1] in ("one", "two", "other")}
+
+    @stage
+    def first(spark, docs, sf_dir):
+        return materialise(docs, "one").where("id > 1")
+
+    @stage
+    def second(spark, docs, sf_dir):
+        assert held() == {"other"}
+        return materialise(docs, "two")
+
+    materialise(spark.range(2), "other")
+    first(spark, spark.range(5), "").write.parquet(str(tmp_path / "a"))
+    assert held() == {"one", "other"}
+    second(spark, spark.read.parquet(str(tmp_path / "a")), "").write.parquet(str(tmp_path / "b"))
+    assert held() == {"two", "other"}
+    end_stage(spark)
+    assert held() == {"other"} and spark.read.parquet(str(tmp_path / "b")).count() == 3

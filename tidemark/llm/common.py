@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 _local_scratch: list[str] = []
 #: The scratch tables of the run that is under way, if any.
 _run: ContextVar[list[str] | None] = ContextVar("scratch_run", default=None)
+#: Those of the stage that was called last.
+_left: ContextVar[list[str] | None] = ContextVar("scratch_left", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +60,43 @@ def scratch_run(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _run.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for name in mine:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        _remove(spark, mine)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline's stage f(spark, docs, sf_dir), whose scratch tables go when the next stage begins.
+
+    What a stage returns is read from its scratch tables, so they must outlive the call. The next stage begins, in the same
+    thread, when that result has been written and read again, as a pipeline's stages promise each other; tables that its docs
+    still read are kept until a later one. Other threads' tables, and those written outside of stages, stay."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _left.get() or []
+        files = docs.inputFiles() if left else []
+        mine = [path for path in left if any(f"/{path.rpartition('/')[2]}/" in file for file in files)]
+        _remove(spark, [path for path in left if path not in mine])
+        token = _run.set(mine)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _run.reset(token)
+            _left.set(mine)
+
+    return run
+
+
+def end_stage(spark: SparkSession) -> None:
+    """Remove the scratch tables of this thread's last stage, whose result has been written."""
+    _remove(spark, _left.get() or [])
+    _left.set(None)
 
 
 def id_text(id_col: str) -> Column:
