@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import exits as X
 from tidemark.operators import features as C
 from tidemark.operators.bars import ratio
-from tidemark.plans.queries import DAY, HOUR, HOURS, RANKS, TICKS, hours, query
+from tidemark.plans.queries import DAY, HOUR, HOURS, NUDGE, RANKS, TICKS, hours, query
 from tidemark.sources import views as V
 
 RULES = {"rank_stall": ("stall", 2 * DAY), "rank_reverse": ("worsen", 20), "share_drop": ("drop", 0.5), "ask_thicken": ("rise", 2.0), "bid_vanish": ("drop", 0.5)}
@@ -127,10 +127,10 @@ PRECURSOR |= {
  c AS (SELECT t.event_id, t.symbol, k.ts_ms AS cutoff_ms, k.n, k.close_u AS close_cut, k.p_ms AS prev_cut, k.first_ms AS first_cut, k.hod_u, k.vwap_u AS vwap_cut, k.day AS day_cut FROM trades t ASOF LEFT JOIN k ON t.symbol = k.symbol AND t.ts_ms >= k.ts_ms),
  j AS (SELECT c.*, (c.cutoff_ms - r.ts_ms) / {HOUR}.0 AS age, r.* EXCLUDE (symbol, n, first_ms, hod_u, vwap_u) FROM c LEFT JOIN r ON c.symbol = r.symbol AND r.ts_ms > c.cutoff_ms - {300 * HOUR} AND r.ts_ms <= c.cutoff_ms)
  SELECT event_id, symbol, """
-    + ", ".join(f"{e} AS {name}" if name == "n_bars_pre" else f"round({e}, 4) AS {name}" for name, e in PRECURSOR.items())
+    + ", ".join(f"{e} AS {name}" if name == "n_bars_pre" else f"round(({e}) * {NUDGE}, 4) AS {name}" for name, e in PRECURSOR.items())
     + " FROM j GROUP BY event_id, symbol"
 )
 def precursor_features(spark, sf_dir):
     """FEAT-01, 03..05: what preceded each trade, in hourly steps."""
     out = X.precursor_features(V.trades(spark, sf_dir), hours(spark, sf_dir).drop("vwap_u"), step_ms=HOUR, day_ms=DAY, windows=WINDOWS, base=BASE)
-    return out.select("event_id", "symbol", "n_bars_pre", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in out.columns if c not in ("event_id", "symbol", "n_bars_pre")])
+    return out.select("event_id", "symbol", "n_bars_pre", *[F.round(F.col(c).cast("double") * NUDGE, 4).alias(c) for c in out.columns if c not in ("event_id", "symbol", "n_bars_pre")])

@@ -10,7 +10,7 @@ from tidemark.operators import intraday as I
 from tidemark.operators.bars import ratio
 from tidemark.operators.temporal import asof_join
 from tidemark.plans.exits import entries
-from tidemark.plans.queries import CURVE, DAY, HOUR, RANKS, TICKS, doubles, placed, query, rounded
+from tidemark.plans.queries import CURVE, DAY, HOUR, NUDGE, RANKS, TICKS, doubles, placed, query, rounded
 from tidemark.sources import views as V
 
 INTRADAY = (
@@ -156,10 +156,10 @@ def runs(spark, sf_dir):
     return I.rising_runs(V.ticks(spark, sf_dir), 0.5, ["event_id"])
 
 
-@query(f"WITH {RUNS} SELECT symbol, CAST(ordinal AS INTEGER) AS ordinal, start_ms, peak_ms, start_u, peak_u, round(rise, 6) AS rise FROM runs")
+@query(f"WITH {RUNS} SELECT symbol, CAST(ordinal AS INTEGER) AS ordinal, start_ms, peak_ms, start_u, peak_u, round(rise * {NUDGE}, 6) AS rise FROM runs")
 def rising_runs(spark, sf_dir):
     """EVT-13, 15: runs of prices that don't fall and rise by half or more."""
-    return rounded(runs(spark, sf_dir), "rise").select("symbol", "ordinal", "start_ms", "peak_ms", "start_u", "peak_u", "rise")
+    return rounded(runs(spark, sf_dir), "rise", nudge=True).select("symbol", "ordinal", "start_ms", "peak_ms", "start_u", "peak_u", "rise")
 
 
 @query(
@@ -210,7 +210,7 @@ def run_exits(spark, sf_dir):
  s AS (SELECT *, price_u < lag(price_u) OVER w AS down, lag(ts_ms) OVER w AS p_ms FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, event_id)),
  p AS (SELECT n.symbol, n.ordinal, s.ts_ms, s.event_id, s.price_u, coalesce(s.down AND s.p_ms >= n.at_ms, false) AS down FROM n JOIN s ON s.symbol = n.symbol AND s.ts_ms >= n.at_ms AND s.ts_ms <= n.at_ms + {6 * DAY}),
  x AS (SELECT symbol, ordinal, coalesce(first(price_u ORDER BY ts_ms, event_id) FILTER (down), last(price_u ORDER BY ts_ms, event_id)) AS exit_u, coalesce(min(ts_ms) FILTER (down), max(ts_ms)) AS exit_ms FROM p GROUP BY ALL)
- SELECT n.symbol, CAST(n.ordinal AS INTEGER) AS ordinal, round(n.rise, 6) AS hindsight_rise, round(x.exit_u / nullif(n.entry_u, 0)::DOUBLE - 1, 6) AS captured, CAST(x.exit_ms - n.at_ms AS DOUBLE) AS hold_ms FROM n LEFT JOIN x USING (symbol, ordinal)"""
+ SELECT n.symbol, CAST(n.ordinal AS INTEGER) AS ordinal, round(n.rise * {NUDGE}, 6) AS hindsight_rise, round((x.exit_u / nullif(n.entry_u, 0)::DOUBLE - 1) * {NUDGE}, 6) AS captured, CAST(x.exit_ms - n.at_ms AS DOUBLE) AS hold_ms FROM n LEFT JOIN x USING (symbol, ordinal)"""
 )
 def capturable_returns(spark, sf_dir):
     """SIM-04: what can be had of a run when it is entered after it shows and left at the first lower price."""
@@ -219,7 +219,7 @@ def capturable_returns(spark, sf_dir):
     out = I.downtick_exits(V.ticks(spark, sf_dir), priced, 6 * DAY, ["event_id"])
     gain = ratio(F.col("exit_u"), F.col("entry_u")) - 1
     out = out.select("symbol", "ordinal", F.col("rise").alias("hindsight_rise"), gain.alias("captured"), (F.col("exit_ms") - F.col("entry_ms")).cast("double").alias("hold_ms"))
-    return rounded(out, "hindsight_rise", "captured")
+    return rounded(out, "hindsight_rise", "captured", nudge=True)
 
 
 @query(
