@@ -8,8 +8,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -143,6 +144,28 @@ class Encoder:
             self._learn(gone, decode, make_room=False)
         return self._look_up(words, decode)
 
+    def encode_all(self, texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text, as encode gives them; texts of about `chars` characters together learn their new words at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= chars:
+                yield from self._encode_held(held)
+                held, size = [], 0
+        yield from self._encode_held(held)
+
+    def _encode_held(self, texts: list[str]) -> Iterator[bytes]:
+        words = [self._words(t) for t in texts]
+        fresh = set(filterfalse(self.ids.__contains__, chain.from_iterable(w for w in words if w is not None)))
+        if fresh:
+            self._learn(list(fresh), False)
+        for text, run in zip(texts, words, strict=True):
+            try:
+                yield self._look_up(run, False)[0] if run is not None else self._general(text, False)[0]
+            except KeyError:  # forgotten to make room
+                yield self.encode(text)[0]
+
     def _look_up(self, words: list[str], decode: bool) -> tuple[bytes, str | None]:
         return b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words)) if decode else None
 

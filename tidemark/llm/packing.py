@@ -151,8 +151,8 @@ def token_pieces(
         coder, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
-                ids = coder.encode(text)[0] + end
+            for i, ids in zip(pdf["id"].tolist(), coder.encode_all(pdf["text"]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
