@@ -75,7 +75,9 @@ def window_dates(calendar: DataFrame, asked: DataFrame, count: int, skip: Iterab
     dates = calendar.select("date").distinct()
     if skip := list(skip):
         dates = dates.where(~F.col("date").isin(*[F.lit(x).cast("date") for x in skip]))
-    numbered = dates.withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row a trading day
-    near = asked.join(F.broadcast(numbered), F.col("date") < F.col("as_of"))
-    top = near.withColumn("__r", F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("k"))))
-    return top.where(F.col("__r") <= count).select("as_of", "date")
+    days = dates.select("date", F.lit(1).alias("__n")).unionByName(asked.select(F.col("as_of").alias("date"), F.lit(0).alias("__n"))).groupBy("date").agg(F.max("__n").alias("__n"))
+    numbered = days.withColumn("__k", F.sum("__n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))  # one row a day
+    of = numbered.where("__n = 1").select("date", "__k")
+    before = F.col("__k") - F.col("__n")  # trading dates before the day itself
+    wanted = numbered.select(F.col("date").alias("as_of"), F.explode(F.when(before > 0, F.sequence(F.greatest(before - (count - 1), F.lit(1)), before))).alias("__k"))
+    return asked.select("as_of").join(wanted, "as_of").join(of, "__k").select("as_of", "date")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sessions as S
 from tidemark.operators import calendars as C
 from tidemark.operators import temporal as T
 from tidemark.plans.queries import DAY, HOUR, HOURS, TICKS, doubles, hours, query
 from tidemark.sources import views as V
+from tidemark.streaming.replay import shared_folder
 
 CAL = """cal AS (SELECT CAST(d AS DATE) AS date, s AS session, epoch_ms(d) + lo * 60000 AS start_ms, epoch_ms(d) + hi * 60000 AS end_ms
  FROM range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-11', INTERVAL 1 DAY) r(d), (VALUES ('day', 0, 480), ('pre', 480, 810), ('regular', 810, 1200), ('after', 1200, 1430)) v(s, lo, hi)
@@ -77,21 +79,27 @@ def cut_frames(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CAL}, d AS (SELECT DISTINCT date FROM cal WHERE date <> DATE '2024-01-10'), a AS (SELECT DISTINCT date AS as_of FROM cal),
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) <> DATE '1997-01-10'), a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS as_of FROM lineitem),
  r AS (SELECT as_of, d.date, row_number() OVER (PARTITION BY as_of ORDER BY d.date DESC) AS k FROM a JOIN d ON d.date < a.as_of)
  SELECT CAST(as_of AS VARCHAR) AS as_of, CAST(date AS VARCHAR) AS date FROM r WHERE k <= 5"""
 )
 def window_dates(spark, sf_dir):
-    """WIN-06: the five trading dates before each date, one of them left out everywhere."""
-    cal = calendar(spark)
-    out = C.window_dates(cal, cal.select(F.col("date").alias("as_of")).distinct(), 5, ("2024-01-10",))
+    """WIN-06: the five dates with orders before each date of shipment, one of them left out everywhere."""
+    days = lambda name, c, alias: V.table(spark, sf_dir, name).select(F.col(c).cast("date").alias(alias)).distinct()
+    out = C.window_dates(days("orders", "o_orderdate", "date"), days("lineitem", "l_shipdate", "as_of"), 5, ("1997-01-10",))
     return out.select(F.col("as_of").cast("string").alias("as_of"), F.col("date").cast("string").alias("date"))
 
 
-@query(f"""WITH {CAL} SELECT CAST(date AS VARCHAR) AS date, session, start_ms, end_ms FROM cal""")
+@query(
+    f"""WITH {TICKS}, m AS (SELECT ts_ms, CAST(DATE '1970-01-01' + CAST(ts_ms // {DAY} AS INTEGER) AS VARCHAR) AS date, (ts_ms // 60000 + 540) % 1440 AS k FROM ticks)
+ SELECT date, CASE WHEN k >= 540 AND k < 1020 THEN 'day' WHEN k >= 1020 AND k < 1350 THEN 'pre' WHEN k >= 1350 OR k < 300 THEN 'regular' WHEN k >= 300 AND k < 530 THEN 'after' ELSE 'closed' END AS session, min(ts_ms) AS start_ms, max(ts_ms) + 1 AS end_ms FROM m GROUP BY ALL"""
+)
 def calendar_records(spark, sf_dir):
-    """SRC-18: the calendar as one JSON record a day, and back."""
-    packed = calendar(spark).groupBy("date").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("session", F.struct("start_ms", "end_ms"))))).alias("json"))
-    spans = F.from_json("json", "map<string, struct<start_ms: bigint, end_ms: bigint>>")
-    back = packed.select("date", F.explode(spans).alias("session", "s"))
-    return back.select(F.col("date").cast("string").alias("date"), "session", "s.start_ms", "s.end_ms")
+    """SRC-18: the sessions in which there were prints, as one JSON record a day, written and read back."""
+    t = F.col("ts_ms")
+    seen = V.ticks(spark, sf_dir).groupBy(S.session_date(t).alias("date"), S.session_of(t).alias("session")).agg(F.min(t).alias("start_ms"), (F.max(t) + 1).alias("end_ms"))
+    packed = seen.groupBy("date").agg(F.to_json(F.struct("date", F.map_from_entries(F.collect_list(F.struct("session", F.struct("start_ms", "end_ms")))).alias("sessions"))).alias("value"))
+    folder = shared_folder(spark)
+    packed.select("value").write.text(folder)
+    back = spark.read.schema("date date, sessions map<string, struct<start_ms: bigint, end_ms: bigint>>").json(folder)
+    return back.select(F.col("date").cast("string").alias("date"), F.explode("sessions").alias("session", "s")).select("date", "session", "s.start_ms", "s.end_ms")
