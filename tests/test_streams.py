@@ -143,3 +143,16 @@ def test_history_is_made_for_new_keys_once(spark, tmp_path):
     run_to_end(table_stream(spark, str(tmp_path / "in"), 1), enriched(table, "symbol", lambda e: f"file://{tmp_path}/out/epoch={e}", history))
     assert asked == [[1, 2], [3]]
     assert {(r.n, r.v, r.version) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, 10, 1), (2, 20, 1), (3, 10, 1), (4, 20, 1), (5, 30, 2), (6, 10, 2), (7, None, 2)}
+
+
+def test_baselines_of_no_volume_divide_as_in_sql(spark, tmp_path):
+    import math
+
+    from tidemark.plans.streams import lazy_baselines
+
+    day = "2024-01-%02d 05:00:00"
+    rows = [(1, day % 1, 7, 0), (2, day % 2, 8, 4), (3, day % 15, 7, 5), (4, day % 15, 7, 0), (5, day % 15, 8, 6), (6, day % 16, 9, 6)]
+    events = spark.createDataFrame([(e, t, u, "purchase", 1.0, f'{{"k": {k}}}') for e, t, u, k in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.day_ratio for r in lazy_baselines(spark, str(tmp_path)).collect()}
+    assert got[3] == math.inf and math.isnan(got[4]) and got[5] == 1.5 and got[6] is None and len(got) == 4

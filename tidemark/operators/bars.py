@@ -13,6 +13,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite, or NaN for 0 / 0, where the divisor is zero; null without either."""
+    over_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
 def log_return(last_u: Column, first_u: Column) -> Column:
     """ln(last / first); null unless both prices are positive."""
     return F.when((last_u > 0) & (first_u > 0), F.log(last_u / first_u))

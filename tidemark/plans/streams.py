@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import float_ratio
 from tidemark.plans.queries import DAY, HOUR, TICKS, query
 from tidemark.sources import views as V
 from tidemark.streaming import tiers as Z
@@ -91,4 +92,5 @@ def lazy_baselines(spark, sf_dir):
     stream = V.as_ticks(table_stream(spark, f"{sf_dir}/events.parquet")).where(f"kind = 'purchase' and ts_ms >= {start}")
     run_to_end(stream, enriched(known, "symbol", lambda epoch: f"{folder}/out/epoch={epoch}", history), folder)
     out = spark.read.schema("symbol long, event_id long, qty_u long, n_days long, total_qu long").parquet(f"{folder}/out")
-    return out.select("symbol", "event_id", F.col("n_days").cast("double").alias("n_days"), F.round(F.col("qty_u") / (F.col("total_qu") / F.col("n_days")), 6).alias("day_ratio"))
+    day = F.col("total_qu") / F.col("n_days")
+    return out.select("symbol", "event_id", F.col("n_days").cast("double").alias("n_days"), F.round(float_ratio(F.col("qty_u"), day), 6).alias("day_ratio"))
