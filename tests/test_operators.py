@@ -64,6 +64,19 @@ def test_causal_fires_match_a_plain_scan(spark):
     assert got == want
 
 
+def test_causal_fires_stream_their_stretches(spark):
+    """Stretches that batches cut and keys that doubles can't hold; no call for each stretch."""
+    big = 2**60 + 1
+    data = [(s, t * 10, 100 + 100 * (t % 2)) for s in (big, big + 1) for t in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = events.causal_fires(spark.createDataFrame(data, "symbol long, ts_ms long, price_u long"), 0.4, 1_000, 50)
+        assert sorted((r.symbol, r.ts_ms) for r in found.collect()) == [(s, t) for s in (big, big + 1) for t in range(10, 400, 60)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_impulses_do_not_overlap(spark):
     data = [(1, t * 1000, p) for t, p in enumerate([100, 100, 103, 104, 104, 103, 100, 90, 93, 95, 94])]
     got = events.impulses(spark.createDataFrame(data, "symbol long, ts_ms long, price_u long"), 0.02, 60_000, 60_000).orderBy("start_ms").collect()

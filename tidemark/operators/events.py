@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +35,24 @@ def causal_fires(series: DataFrame, rise: float, span_ms: int, cooldown_ms: int)
     been below and cooldown_ms have passed since the last fire.
 
     The rising edges come from windows. An edge that follows the one before it by the cooldown or more always fires, whatever
-    came earlier, so edges are cut there; the cooldown is a greedy scan within such stretches of edges alone."""
+    came earlier, so edges are cut there; the cooldown is a greedy scan within such stretches of edges alone. Stretches are
+    sorted within partitions and streamed through the scan: most hold an edge or two, too few for a call each."""
     w = Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-span_ms, 0)
     above = series.withColumn("low_u", F.min("price_u").over(w)).withColumn("__a", (F.col("price_u") >= F.col("low_u") * (1 + rise)).cast("int"))
     edges = above.withColumn("__b", F.lag("__a").over(Window.partitionBy("symbol").orderBy("ts_ms"))).where("__a = 1 and coalesce(__b, 0) = 0")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for t in (pdf := pdf.sort_values("ts_ms"))["ts_ms"].tolist():
-            keep.append(last is None or t - last >= cooldown_ms)
-            last = t if keep[-1] else last
-        return pdf[keep]
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch = last = None
+        for batch in batches:
+            keep = []
+            for s, i, t in zip(*(batch.column(c).to_pylist() for c in ("symbol", "island", "ts_ms")), strict=True):
+                keep.append((s, i) != stretch or None not in (t, last) and t - last >= cooldown_ms)
+                stretch, last = (s, i), t if keep[-1] else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     cut = islands(edges.select("symbol", "ts_ms", "price_u", "low_u"), "symbol", "ts_ms", cooldown_ms - 1)
-    return cut.groupBy("symbol", "island").applyInPandas(greedy, "symbol long, ts_ms long, price_u long, low_u long, island long").drop("island")
+    dealt = cut.repartition("symbol", "island").sortWithinPartitions("symbol", "island", F.col("ts_ms").asc_nulls_last())
+    return dealt.mapInArrow(greedy, dealt.schema).drop("island")
 
 
 def impulses(series: DataFrame, rise: float, span_ms: int, gap_ms: int) -> DataFrame:
