@@ -148,6 +148,21 @@ def test_verified_groups_hold_close_copies_and_no_others(spark):
     assert simhash.verified_groups(frame.limit(0)).count() == 0
 
 
+def test_fingerprints_propose_links_that_shingles_confirm(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    base = rng.sample(words, 400)
+    texts = [" ".join(base), " ".join([*base[:200], "changed", *base[201:]]), " ".join(reversed(base)), " ".join(rng.sample(words, 400))]
+    rows = [(i, [simhash._signed(x) for x in simhash.fingerprint(t, 1, 1, True)], np.unique(simhash.shingle_hashes(t, 5)).view(np.int64).tolist()) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, prints array<long>, shingles array<long>")
+    # the same words in another order have the same fingerprint, but no shingle in common
+    assert [tuple(r) for r in simhash.printed_links(nodes.select("node", "prints"), nodes.select("node", "shingles"), 0.8).collect()] == [(0, 1)]
+    asked, real = [], simhash.printed_links
+    monkeypatch.setattr(simhash, "printed_links", lambda *x: asked.append(real(*x)) or asked[-1])
+    kept = simhash.one_of_each(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 3} and len(asked) == 1 and asked[0].count() == 1
+
+
 def test_suffix_array_matches_sorting():
     rng = random.Random(7)
     for _ in range(500):

@@ -137,7 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: A round of verified_groups lists all pairs of its points once there are at most this many for each member.
-LISTED = 10
+LISTED = 1
+#: Fingerprints by which verified_groups proposes links, beyond the first.
+MORE_PRINTS = 1
 
 
 def verified_groups(
@@ -146,11 +148,12 @@ def verified_groups(
     """(id, component_id): groups of rows that links join; every two rows whose texts' distinct `shingle`-word shingles have
     a Jaccard similarity of `similarity` or more are linked, and no others.
 
-    Texts with equal shingles are one node. Prefix filtering proposes the pairs and loses none: whatever order all
-    shingles are given, two similar sets share one among the first n - ceil(similarity * n) + 1 of each, and k among
-    k - 1 more. By hash first, which leaves the nodes that share enough with any other; among those by frequency, so that
-    common passages come last. Pairs are not listed where links already join them; see _all_links. Blank texts are
-    equal to each other."""
+    Texts with equal shingles are one node. SimHash fingerprints propose links first, see printed_links, and those that
+    the shingles confirm join most copies. An exact way finds the rest, which fingerprints can miss: prefix filtering
+    loses no pair, as whatever order all shingles are given, two similar sets share one among the first
+    n - ceil(similarity * n) + 1 of each, and k among k - 1 more. By hash first, which leaves the nodes that share enough
+    with any other; among those by frequency, so that common passages come last. Pairs are not listed where links
+    already join them; see _all_links. Blank texts are equal to each other."""
     def least_common(n: int) -> int:
         return math.ceil(similarity * n - 1e-9)
 
@@ -158,7 +161,7 @@ def verified_groups(
         import xxhash
 
         for pdf in batches:
-            same, first, need = [], [], []
+            same, first, need, prints = [], [], [], []
             for t in pdf["text"]:
                 found = np.unique(shingle_hashes(t, shingle))
                 n = len(found)
@@ -166,17 +169,19 @@ def verified_groups(
                 same.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
                 first.append(found[: n - least_common(n) + k].view(np.int64))
                 need.append(k)
-            yield pd.DataFrame({"id": pdf["id"], "same": same, "need": need, "first": first})
+                # of distinct words: a changed word moves a bit or two, where it changes `shingle` shingles
+                prints.append(np.array(fingerprint(t, 1, MORE_PRINTS, distinct=True), dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"id": pdf["id"], "same": same, "need": need, "first": first, "prints": prints})
 
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = known.select(id_text("id"), "text").mapInPandas(measure, "id string, same string, need int, first array<long>")
+    found = known.select(id_text("id"), "text").mapInPandas(measure, "id string, same string, need int, first array<long>, prints array<long>")
     measured = materialise(typed_ids(found, known, "id"), "measured")
-    nodes = measured.groupBy("same").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.first("first").alias("first"))
+    nodes = measured.groupBy("same").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.first("first").alias("first"), F.min_by("prints", "id").alias("prints"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", "need", F.explode("first").alias("h"))
     shared = materialise(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     asked = rows.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-    asked = materialise(nodes.join(asked.select("node"), "node", "left_semi").select(F.col("least").alias("id"), "same", "node"), "asked")
+    asked = materialise(nodes.join(asked.select("node"), "node", "left_semi").select(F.col("least").alias("id"), "same", "node", "prints"), "asked")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -190,7 +195,7 @@ def verified_groups(
                     out.append((node, len(found), len(found) - least_common(len(found)) + 1, found.view(np.int64)))
             yield pd.DataFrame(out, columns=["node", "n", "prefix", "shingles"])
 
-    sets = materialise(known.join(asked, "id").mapInPandas(gather, "node long, n int, prefix int, shingles array<long>"), "shingles")
+    sets = materialise(known.join(asked.drop("prints"), "id").mapInPandas(gather, "node long, n int, prefix int, shingles array<long>"), "shingles")
     rows = sets.select("node", "n", "prefix", F.explode("shingles").alias("h"))
     counts = materialise(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     ranked = rows.join(counts, "h").groupBy("node", "n", "prefix").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
@@ -198,7 +203,8 @@ def verified_groups(
     ranked = ranked.withColumn("alone", F.col("n") - F.size("s")).where("prefix > alone")
     points = ranked.select("node", "n", "alone", F.posexplode(F.expr("slice(s, 1, prefix - alone)")).alias("at", "s"))
     points = materialise(points.select("node", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("s.h").alias("h")), "points")
-    links = _all_links(points, sets.select("node", "shingles"), similarity)
+    shingles = sets.select("node", "shingles")
+    links = _all_links(points, shingles, similarity, near=printed_links(asked.select("node", "prints"), shingles, similarity))
     parts = materialise(connected_components(links).withColumnRenamed("component", "part"), "parts")
     joined = nodes.select("same", "least", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     joined = materialise(joined.select("same", "least", "part"), "joined")
@@ -207,18 +213,47 @@ def verified_groups(
     return measured.select("id", "same").join(labels, "same").select(F.col("id").alias(id_col), "component_id")
 
 
-def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: int = LISTED) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets (node, shingles) have a Jaccard similarity of `similarity` or more."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
+    both = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed").join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("s_u", "s_v"))
+    return materialise(both.where(common / (F.size("s_u") + F.size("s_v") - common) >= similarity).select("u", "v"), "links")
+
+
+def printed_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Confirmed edges (u, v) of nodes (node, prints): those that any of their fingerprints links, see link.
+
+    Nodes of one fingerprint are compared with the smallest, which stands for it towards others; so comparisons grow with
+    the nodes, and a pair that the smallest doesn't confirm is left to the exact way."""
+    mine = materialise(nodes.select("node", F.posexplode("prints").alias("seed", "fp")), "prints")
+    heads = materialise(mine.groupBy("seed", "fp").agg(F.min("node").alias("head")), "print_heads")
+    equal = mine.join(heads, ["seed", "fp"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    name = lambda c, h: heads.select("seed", F.col("fp").alias(c), F.col("head").alias(h))
+    links = materialise(link(heads.select("seed", "fp")).distinct(), "print_links")
+    near = links.join(name("u", "a"), ["seed", "u"]).join(name("v", "b"), ["seed", "v"]).where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _confirmed(equal.union(near), sets, similarity)
+
+
+def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: int = LISTED, near: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) with the same connected components as all pairs of nodes that share a point and whose sets have a
     Jaccard similarity of `similarity` or more.
 
-    points: (node, n, at, h): node's set of n has h at place `at` of its order; sets: (node, shingles). While the pairs
+    points: (node, n, at, h): node's set of n has h at place `at` of its order; sets: (node, shingles); near: edges that are
+    known already. While the pairs
     not joined yet are more than `listed` a member, the members of each point are compared with one of them, another in
     every round, and those that links join are one part. When a round helps little or pairs are few, every pair of two
     parts that is left is compared; a point with many members is dealt in pairs of blocks. So no member's rejection
     stands for another's."""
     block = 500
-    links = None
-    members, before = points.withColumn("part", F.col("node")), None
+    links, turn, before = near, 0, None
+    members = points.withColumn("part", F.col("node"))
+
+    def joined(members: DataFrame) -> DataFrame:
+        """members with the part that the links found so far give them."""
+        parts = materialise(connected_components(links).withColumnRenamed("component", "new"), "parts")
+        new = members.drop("part", "all").join(parts, "node", "left").withColumn("part", F.coalesce("new", "node")).drop("new")
+        return materialise(new, "members")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs of (u_*, v_*) that could be and are similar."""
@@ -227,16 +262,14 @@ def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: in
             # no more than this point and all behind it can be common to both, if it is the first that is
             & (F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n")) - 1e-6)
         )
-        asked = pairs.where("u_part <> v_part").where(could).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-        both = materialise(asked, "proposed").join(side("u"), "u").join(side("v"), "v")
-        common = F.size(F.array_intersect("s_u", "s_v"))
-        return materialise(both.where(common / (F.size("s_u") + F.size("s_v") - common) >= similarity).select("u", "v"), "links")
+        asked = pairs.where("u_part <> v_part").where(could).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+        return _confirmed(asked, sets, similarity)
 
     def sided(df: DataFrame, c: str) -> DataFrame:
         return df.withColumnsRenamed({x: f"{c}_{x}" for x in ("node", "n", "at", "part")})
 
-    turn = 0
+    if near is not None:
+        members = joined(members)
     while True:
         sizes = members.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("k")).where("k > 1")
         sizes = materialise(sizes, "sizes")
@@ -249,9 +282,7 @@ def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: in
         heads = materialise(members.groupBy("h").agg(first.alias("x")).select("h", "x.*"), "heads")
         found = similar(sided(members, "u").join(sided(heads, "v"), "h"))
         links = found if links is None else links.union(found)
-        parts = materialise(connected_components(links).withColumnRenamed("component", "new"), "parts")
-        members = members.drop("part", "all").join(parts, "node", "left").withColumn("part", F.coalesce("new", "node")).drop("new")
-        members, turn = materialise(members, "members"), turn + 1
+        members, turn = joined(members), turn + 1
     blocks = F.ceil(F.col("all") / block).cast("int")
     mine = members.withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = materialise(mine.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("all"), "dealt")
