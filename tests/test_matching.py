@@ -66,3 +66,12 @@ def test_draws_of_many_seeds_are_plain_minima(spark):
         h = lambda x, e=e: int(hashlib.md5(f"{e}-{x}".encode()).hexdigest()[:12], 16) % M.PRIME
         assert (c, n) == (min(range(7 * e + 1), key=lambda x: ((h(x) * a + b) % M.PRIME, x)), 7 * e + 1)
     assert len({c for (e, _, _), (c, _) in got.items() if e == 3}) > 5
+
+
+def test_draws_shuffle_nothing_where_pairs_lie_by_event(spark):
+    rows = [(e, 1, t, float(e * t)) for e in range(6) for t in range(9)]
+    pairs = spark.createDataFrame(rows, "event_id long, symbol long, control_ms long, r double").repartition("event_id")
+    found = M.draw_pools(pairs, ["event_id", "symbol"], 3, 2, carry=("r",))
+    drawn = [(r.event_id, x.control_ms, x.r) for r in found.collect() for x in r.drawn]
+    assert len(drawn) == 6 * 3 * 2 and all(r == e * t for e, t, r in drawn)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash") == 1

@@ -20,21 +20,21 @@ def _within(a: str, b: str, factor: float) -> Column:
     return F.greatest(a, b).cast("double") <= F.least(a, b).cast("double") * factor
 
 
-def near_pairs(events: DataFrame, bars: DataFrame, x: str, z: str, x_factor: float, z_factor: float, gap_ms: int) -> DataFrame:
-    """(event_id, symbol, control_ms, x_near, distance) of events (event_id, symbol, ts_ms, x, z) and bars (symbol, ts_ms, x, z)
+def near_pairs(events: DataFrame, bars: DataFrame, x: str, z: str, x_factor: float, z_factor: float, gap_ms: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, symbol, control_ms, x_ratio, distance, carry) of events (event_id, symbol, ts_ms, x, z) and bars (symbol, ts_ms, x, z)
     of the symbol that are within the factors in both measures and more than gap_ms away.
 
     Both measures' logarithms are cut into a grid as wide as the factors, so an event meets the bars of nine cells only.
-    distance: of the logarithms, each in units of its factor. Measures that aren't positive match nothing."""
+    carry: columns of the bars that their pairs keep. distance: of the logarithms, each in units of its factor. Measures that aren't positive match nothing."""
     widths = {x: math.log(x_factor) * (1 + 1e-9), z: math.log(z_factor) * (1 + 1e-9)}  # rounding mustn't part cells of a pair just at the factor
     cell = lambda c: F.floor(F.log(c) / widths[c])
     positive = lambda d: d.where((F.col(x) > 0) & (F.col(z) > 0))
-    pool = positive(bars).select("symbol", F.col("ts_ms").alias("control_ms"), F.col(x).alias("__x"), F.col(z).alias("__z"), cell(x).alias("__cx"), cell(z).alias("__cz"))
+    pool = positive(bars).select("symbol", F.col("ts_ms").alias("control_ms"), F.col(x).alias("__x"), F.col(z).alias("__z"), cell(x).alias("__cx"), cell(z).alias("__cz"), *carry)
     asked = positive(events).select("event_id", "symbol", "ts_ms", x, z, F.explode(F.sequence(cell(x) - 1, cell(x) + 1)).alias("__cx"), cell(z).alias("__c"))
     asked = asked.withColumn("__cz", F.explode(F.sequence(F.col("__c") - 1, F.col("__c") + 1)))
     pairs = asked.join(pool, ["symbol", "__cx", "__cz"]).where((F.abs(F.col("control_ms") - F.col("ts_ms")) > gap_ms) & _within(x, "__x", x_factor) & _within(z, "__z", z_factor))
     part = lambda c, d, f: F.abs(F.log(F.col(c) / F.col(d))) / math.log(f)
-    return pairs.select("event_id", "symbol", "control_ms", (F.greatest(x, "__x") / F.least(x, "__x")).alias("x_ratio"), F.hypot(part(x, "__x", x_factor), part(z, "__z", z_factor)).alias("distance"))
+    return pairs.select("event_id", "symbol", "control_ms", (F.greatest(x, "__x") / F.least(x, "__x")).alias("x_ratio"), F.hypot(part(x, "__x", x_factor), part(z, "__z", z_factor)).alias("distance"), *carry)
 
 
 def rungs(events: DataFrame, bars: DataFrame, x: str, z: str, x_factor: float, z_factor: float, gap_ms: int) -> DataFrame:
@@ -69,18 +69,25 @@ def pool_hash(*key: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in key])), 1, 12), 16, 10).cast("long") % PRIME
 
 
-def draw_many(pairs: DataFrame, by: list[str], seeds: int, draws: int) -> DataFrame:
-    """(by, seed, draw, control_ms, n_pool): for each of `seeds` seeds, `draws` controls drawn with replacement from each pool
-    of pairs (by, control_ms).
+def draw_pools(pairs: DataFrame, by: list[str], seeds: int, draws: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n_pool, drawn): for each of `seeds` seeds, `draws` controls drawn with replacement from each pool of pairs (by,
+    control_ms, carry), as an array of (seed, draw, control_ms, carry).
 
-    A draw takes the control whose hash comes first in an order of its own, so all draws of all seeds are minima: one
-    aggregate over the pool, partly done before the shuffle, whose size doesn't follow the pool. Ties go to the earlier bar."""
+    A draw takes the control whose hash comes first in an order of its own, so all draws of all seeds are minima of one
+    aggregate over the pool. Ties go to the earlier bar. Where pairs are dealt by one of the keys already, the aggregate
+    shuffles nothing."""
     hashed = pairs.withColumn("__h", pool_hash(*by, "control_ms"))
     numbers = [(s, d, *multiplier(s, d)) for s in range(seeds) for d in range(1, draws + 1)]
-    first = [F.min(F.struct(((F.col("__h") * a + b) % PRIME).alias("h"), "control_ms")).alias(f"d{s}_{d}") for s, d, a, b in numbers]
+    first = [F.min(F.struct(((F.col("__h") * a + b) % PRIME).alias("h"), "control_ms", *carry)).alias(f"d{s}_{d}") for s, d, a, b in numbers]
     pools = hashed.groupBy(*by).agg(F.count("*").alias("n_pool"), *first)
-    each = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(d).alias("draw"), F.col(f"d{s}_{d}.control_ms").alias("control_ms")) for s, d, _, _ in numbers])
-    return pools.select(*by, "n_pool", F.inline(each))
+    taken = lambda s, d: [F.col(f"d{s}_{d}.{c}").alias(c) for c in ("control_ms", *carry)]
+    each = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(d).alias("draw"), *taken(s, d)) for s, d, _, _ in numbers])
+    return pools.select(*by, "n_pool", each.alias("drawn"))
+
+
+def draw_many(pairs: DataFrame, by: list[str], seeds: int, draws: int) -> DataFrame:
+    """(by, n_pool, seed, draw, control_ms): the draws of draw_pools, a row each."""
+    return draw_pools(pairs, by, seeds, draws).select(*by, "n_pool", F.inline("drawn"))
 
 
 def nearest_once(pairs: DataFrame, event: str = "event_id", control: tuple[str, ...] = ("symbol", "control_ms")) -> DataFrame:

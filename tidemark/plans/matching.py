@@ -72,9 +72,15 @@ SWEPT = (
 )
 
 
-def swept(spark, sf_dir):
-    pairs = matched(spark, sf_dir).withColumn("tolerance", F.explode(F.array(*map(F.lit, RUNGS)))).where(F.col("x_ratio") <= 1 + F.col("tolerance"))
-    return M.draw_many(pairs, ["event_id", "tolerance", "symbol"], SEEDS, DRAWS)
+def swept(spark, sf_dir, seeds):
+    """(event_id, tolerance, symbol, n_pool, drawn) of so many seeds, with r of each drawn bar (see _after).
+
+    Pairs are shuffled once, by event: tolerances, draws and what follows them are found where an event's pairs are."""
+    events, bars = matchable(spark, sf_dir)
+    pairs = M.near_pairs(events, bars.join(_after(spark, sf_dir), ["symbol", "ts_ms"]), "close_u", "vol_qu", 1 + max(RUNGS), SPREAD, DAY, carry=("r",))
+    pairs = pairs.select("event_id", "symbol", "control_ms", "x_ratio", "r").repartition("event_id")
+    pairs = pairs.withColumn("tolerance", F.explode(F.array(*map(F.lit, RUNGS)))).where(F.col("x_ratio") <= 1 + F.col("tolerance"))
+    return M.draw_pools(pairs, ["event_id", "tolerance", "symbol"], seeds, DRAWS, carry=("r",))
 
 
 @query(
@@ -83,24 +89,22 @@ def swept(spark, sf_dir):
 )
 def seed_sweep(spark, sf_dir):
     """STAT-19, 24: what trades are followed by against controls, for three tolerances and twenty seeds."""
-    drawn = swept(spark, sf_dir)
-    at = drawn.select("event_id", "tolerance", "seed", "symbol", F.col("control_ms").alias("ts_ms"), "n_pool")
-    control = _followed(at, spark, sf_dir).groupBy("event_id", "tolerance", "seed").agg(F.avg("r").alias("c"), F.any_value("n_pool").alias("n_pool"))
+    drawn = swept(spark, sf_dir, SEEDS).select("event_id", "tolerance", "n_pool", F.inline("drawn"))
+    control = drawn.groupBy("event_id", "tolerance", "seed").agg(F.avg("r").alias("c"), F.any_value("n_pool").alias("n_pool"))
     real = C.forward_outcomes(V.trades(spark, sf_dir).select("event_id", "symbol", "ts_ms"), hours(spark, sf_dir), 3 * DAY).select("event_id", F.col("ret_end").alias("a"))
     both = control.join(real, "event_id").where("a is not null and c is not null").withColumn("d", F.col("a") - F.col("c"))
     out = both.groupBy("tolerance", "seed").agg(F.count("*").alias("n_pairs"), F.avg("n_pool").alias("mean_pool"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"))
     return rounded(rounded(out, "mean_pool", digits=4), "mean_diff", "sd_diff")
 
 
-def _followed(bars_at, spark, sf_dir):
-    """bars_at (symbol, ts_ms, ...) with r, the return to the last price within three days of the bar."""
+def _after(spark, sf_dir):
+    """(symbol, ts_ms, r): the return from each bar to the last price within three days of it."""
     from pyspark.sql import Window
 
     from tidemark.operators.bars import ratio
 
     w = Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(1, 3 * DAY)
-    after = hours(spark, sf_dir).select("symbol", "ts_ms", (ratio(F.last("close_u").over(w), F.col("close_u")) - 1).alias("r"))
-    return bars_at.join(after, ["symbol", "ts_ms"])
+    return hours(spark, sf_dir).select("symbol", "ts_ms", (ratio(F.last("close_u").over(w), F.col("close_u")) - 1).alias("r"))
 
 
 @query(
@@ -111,9 +115,9 @@ def _followed(bars_at, spark, sf_dir):
 )
 def route_ladder(spark, sf_dir):
     """STAT-15, 17, 19: the same difference by two routes: controls drawn at each rung, and nearest ones used once."""
-    drawn = swept(spark, sf_dir).where("seed = 0").select(F.lit("drawn").alias("route"), "tolerance", "event_id", "symbol", F.col("control_ms").alias("ts_ms"))
+    drawn = swept(spark, sf_dir, 1).select(F.lit("drawn").alias("route"), "tolerance", "event_id", F.inline("drawn")).select("route", "tolerance", "event_id", "r")
     near = M.nearest_once(matched(spark, sf_dir)).select(F.lit("nearest").alias("route"), F.lit(max(RUNGS)).alias("tolerance"), "event_id", "symbol", F.col("control_ms").alias("ts_ms"))
-    control = _followed(drawn.unionByName(near), spark, sf_dir).select("route", "tolerance", "event_id", F.lit("control").alias("arm"), F.col("r").alias("ret_end"))
+    control = drawn.unionByName(near.join(_after(spark, sf_dir), ["symbol", "ts_ms"]).select("route", "tolerance", "event_id", "r")).select("route", "tolerance", "event_id", F.lit("control").alias("arm"), F.col("r").alias("ret_end"))
     real = C.forward_outcomes(V.trades(spark, sf_dir).select("event_id", "symbol", "ts_ms"), hours(spark, sf_dir), 3 * DAY)
     paired = control.select("route", "tolerance", "event_id").distinct().join(real, "event_id").select("route", "tolerance", "event_id", F.lit("real").alias("arm"), "ret_end")
     out = C.paired_differences(control.unionByName(paired), ["route", "tolerance"], "ret_end").drop("sd_diff")
