@@ -325,3 +325,20 @@ def test_verified_groups_keep_links_among_what_the_smallest_rejects(spark):
     points = spark.createDataFrame([(node, 5, 0, 1) for node, _ in members], "node long, n int, at int, h long")
     found = simhash._all_links(points, sets, 0.8, listed=0)
     assert {(r.u, r.v) for r in found.collect()} == {(1, 4), (2, 3)}
+
+
+def test_all_links_ask_about_few_pairs_that_share_no_more_than_a_passage(spark, monkeypatch):
+    rng = random.Random(21)
+    number = lambda: rng.randrange(-(2**63), 2**63)
+    passage = [number() for _ in range(20)]
+    sets = [passage + [number() for _ in range(10)] for _ in range(150)]
+    near = [[*s[:-1], number()] for s in sets[:30]]  # each is similar to one of the others alone
+    sets += near
+    frame = spark.createDataFrame([*enumerate(sets)], "node long, shingles array<long>")
+    points = spark.createDataFrame([(node, 30, at, h) for node in range(len(sets)) for at, h in enumerate(passage[:2])], "node long, n int, at int, h long")
+    asked, real = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, *x: asked.append(pairs.count()) or real(pairs, *x))
+    found = {tuple(sorted((r.u, r.v))) for r in simhash._all_links(points, frame, 0.8).collect()}
+    assert found == {(i, 150 + i) for i in range(30)}
+    # all pairs are 16,110
+    assert sum(asked) < 200

@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A round of verified_groups lists all pairs of its points once there are at most this many for each member.
+#: verified_groups lists all pairs that could be similar once there are at most this many for each member of a point.
 LISTED = 1
 #: Fingerprints by which verified_groups proposes links, beyond the first.
 MORE_PRINTS = 1
@@ -235,19 +235,35 @@ def printed_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return _confirmed(equal.union(near), sets, similarity)
 
 
+#: Longs of a parity sketch; members of a point with which each of its members is compared in a round.
+SKETCH, HEADS = 4, 8
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, sketch) of sets (node, shingles): SKETCH longs, each bit the parity of how many of the shingles fall on it.
+
+    Two sets differ in no fewer shingles than their sketches do in bits."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.call_function("shiftright", F.col("h"), F.lit(6)), F.lit(SKETCH))
+    parts = [F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(SKETCH)]
+    found = sets.select("node", F.explode("shingles").alias("h")).groupBy("node").agg(*parts)
+    return found.select("node", F.struct(*[f"b{w}" for w in range(SKETCH)]).alias("sketch"))
+
+
 def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: int = LISTED, near: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) with the same connected components as all pairs of nodes that share a point and whose sets have a
     Jaccard similarity of `similarity` or more.
 
     points: (node, n, at, h): node's set of n has h at place `at` of its order; sets: (node, shingles); near: edges that are
-    known already. While the pairs
-    not joined yet are more than `listed` a member, the members of each point are compared with one of them, another in
-    every round, and those that links join are one part. When a round helps little or pairs are few, every pair of two
-    parts that is left is compared; a point with many members is dealt in pairs of blocks. So no member's rejection
-    stands for another's."""
+    known already. Places, sizes and sketches tell of most pairs that they can't be similar, and such pairs make no rows.
+    While those left are more than `listed` a member, the members of each point are compared with HEADS of them, others in
+    every round, and those that links join are one part; how many are left is told by how many of the comparisons could be
+    similar. When a round helps little or pairs are few, every pair of two parts that could be similar is compared; a point
+    with many members is dealt in pairs of blocks. So no member's rejection stands for another's."""
     block = 500
     links, turn, before = near, 0, None
     members = points.withColumn("part", F.col("node"))
+    sketches = materialise(_sketches(sets), "sketches")
 
     def joined(members: DataFrame) -> DataFrame:
         """members with the part that the links found so far give them."""
@@ -255,40 +271,51 @@ def _all_links(points: DataFrame, sets: DataFrame, similarity: float, listed: in
         new = members.drop("part", "all").join(parts, "node", "left").withColumn("part", F.coalesce("new", "node")).drop("new")
         return materialise(new, "members")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs of (u_*, v_*) that could be and are similar."""
-        could = (
-            (F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-6)
+    def could() -> Column:
+        """Whether the pair (u_*, v_*) of two parts could be similar."""
+        total = F.col("u_n") + F.col("v_n")
+        differ = sum((F.bit_count(F.col(f"u_sketch.b{w}").bitwiseXOR(F.col(f"v_sketch.b{w}"))) for w in range(SKETCH)), F.lit(0))
+        return (
+            (F.col("u_part") != F.col("v_part"))
+            & (F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-6)
             # no more than this point and all behind it can be common to both, if it is the first that is
-            & (F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n")) - 1e-6)
+            & (F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) >= similarity / (1 + similarity) * total - 1e-6)
+            & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
         )
-        asked = pairs.where("u_part <> v_part").where(could).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-        return _confirmed(asked, sets, similarity)
 
     def sided(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumnsRenamed({x: f"{c}_{x}" for x in ("node", "n", "at", "part")})
+        return df.withColumnsRenamed({x: f"{c}_{x}" for x in ("node", "n", "at", "part", "sketch")})
 
     if near is not None:
         members = joined(members)
     while True:
-        sizes = members.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("k")).where("k > 1")
-        sizes = materialise(sizes, "sizes")
-        pairs, rows = sizes.agg(F.coalesce(F.sum((F.col("all").cast("double") * F.col("all") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        members = materialise(members.join(sizes.select("h", "all"), "h"), "members")
-        if pairs <= listed * rows or before is not None and pairs > 0.8 * before:
+        sizes = members.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("k")).where("k > 1")
+        members = materialise(members.join(materialise(sizes.select("h", "all"), "sizes"), "h"), "members")
+        drawn = members.join(sketches, "node").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HEADS)))
+        first = F.min_by(F.struct("node", "n", "at", "part", "sketch"), F.xxhash64("node", F.lit(-1 - turn)))
+        heads = drawn.groupBy("h", "slot").agg(first.alias("x")).select("h", "x.*")
+        heads = materialise(heads, "heads")
+        met = heads.groupBy("h").agg(F.count("*").alias("heads"))
+        found = sided(drawn.drop("slot"), "u").join(sided(heads.join(met, "h"), "v"), "h").where(could())
+        # a pair at a point is met by either's being a head
+        found = materialise(found.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), (F.col("all") / F.col("heads") / 2).alias("stands_for")), "met")
+        left, rows = found.agg(F.coalesce(F.sum("stands_for"), F.lit(0.0))).first()[0], members.count()
+        if left:
+            more = _confirmed(found, sets, similarity)
+            links = more if links is None else links.union(more)
+            members, turn = joined(members), turn + 1
+        if left <= listed * rows or before is not None and left > 0.8 * before:
             break
-        before = pairs
-        first = F.min_by(F.struct("node", "n", "at", "part"), F.xxhash64("node", F.lit(turn)))
-        heads = materialise(members.groupBy("h").agg(first.alias("x")).select("h", "x.*"), "heads")
-        found = similar(sided(members, "u").join(sided(heads, "v"), "h"))
-        links = found if links is None else links.union(found)
-        members, turn = joined(members), turn + 1
+        before = left
+    # the last round's links may have left no second part at a point
     blocks = F.ceil(F.col("all") / block).cast("int")
-    mine = members.withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = materialise(mine.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("all"), "dealt")
+    sizes = members.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("k")).where("k > 1")
+    mine = members.drop("all").join(sizes.select("h", "all"), "h").withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = materialise(mine.withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("all").join(sketches, "node"), "dealt")
     u = sided(dealt.where("x <= y"), "u").withColumnsRenamed({"x": "a", "y": "b"})
     v = sided(dealt.where("x >= y"), "v").withColumnsRenamed({"x": "b", "y": "a"})
-    found = similar(u.join(v, ["h", "a", "b"]))
+    asked = u.join(v, ["h", "a", "b"]).where(could() & ((F.col("a") < F.col("b")) | (F.col("u_node") < F.col("v_node"))))
+    found = _confirmed(asked.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), sets, similarity)
     return found if links is None else links.union(found)
 
 
