@@ -75,3 +75,16 @@ def test_draws_shuffle_nothing_where_pairs_lie_by_event(spark):
     drawn = [(r.event_id, x.control_ms, x.r) for r in found.collect() for x in r.drawn]
     assert len(drawn) == 6 * 3 * 2 and all(r == e * t for e, t, r in drawn)
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash") == 1
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_nearest_bars_are_paired_anew_and_few_pairs_are_written(spark, monkeypatch, seed):
+    events, bars = sample(seed, 40, 300)
+    frame = frames(spark, events, bars)
+    want = {(r.event_id, r.control_ms, r.round) for r in M.nearest_once(M.near_pairs(*frame, "x", "z", 1.5, 3.0, 50)).collect()}
+    written, real = [], M.settled
+    monkeypatch.setattr(M, "settled", lambda df: written.append(real(df)) or written[-1])
+    got = {(r.event_id, r.control_ms, r.round) for r in M.nearest_bars_once(*frame, "x", "z", 1.5, 3.0, 50).collect()}
+    assert got == want and max(k for *_, k in got) > 1
+    n_pairs = M.near_pairs(*frame, "x", "z", 1.5, 3.0, 50).count()
+    assert max(df.count() for df in written if "distance" in df.columns) < n_pairs / 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,20 +91,41 @@ def draw_many(pairs: DataFrame, by: list[str], seeds: int, draws: int) -> DataFr
     return draw_pools(pairs, by, seeds, draws).select(*by, "n_pool", F.inline("drawn"))
 
 
-def nearest_once(pairs: DataFrame, event: str = "event_id", control: tuple[str, ...] = ("symbol", "control_ms")) -> DataFrame:
+def nearest_once(pairs: DataFrame, event: str = "event_id", control: tuple[str, ...] = ("symbol", "control_ms"), without: Callable[[DataFrame], DataFrame] | None = None, anew: int = 3) -> DataFrame:
     """(event, control, distance, round): events matched to their nearest controls, each control used once.
 
     The result is that of taking pairs in order of distance (ties by event, then control) whenever neither side is taken. All
     pairs that are each other's first choice are taken at once, and the rest is looked at again, until none is left; a round
-    takes at least the nearest pair of every symbol, and usually most. Pairs are told to the matched by joins."""
-    left, out, k = settled(pairs.select(event, *control, "distance")), None, 0
+    takes at least the nearest pair of every symbol, and usually most. Pairs are told to the matched by joins.
+    without: makes the pairs of the events and controls that matched rows (event, control) leave. It follows the first `anew`
+    rounds, so that most pairs are never written or shuffled, only their minima; otherwise all of them are written once."""
+    names, out, k = [event, *control, "distance"], None, 0
+    left = pairs.select(names) if without else settled(pairs.select(names))
     rank = F.struct("distance", event, *control)
-    while not left.isEmpty():
+    while True:
         k += 1
         by_event = left.groupBy(event).agg(F.min(rank).alias("best")).select("best.*")
         by_control = left.groupBy(*control).agg(F.min(rank).alias("best")).select("best.*")
-        taken = settled(by_event.join(by_control, [event, *control, "distance"]))
+        taken = settled(by_event.join(by_control, names))
+        if taken.isEmpty():  # whatever pairs there are have a nearest
+            break
         part = taken.withColumn("round", F.lit(k))
         out = part if out is None else out.unionByName(part)
-        left = settled(left.join(taken.select(event), event, "left_anti").join(taken.select(*control), list(control), "left_anti"))
-    return pairs.select(event, *control, "distance").limit(0).withColumn("round", F.lit(0)) if out is None else out
+        if without and k <= anew:
+            left = without(out).select(names)
+            left = settled(left) if k == anew else left
+        else:
+            left = settled(left.join(taken.select(event), event, "left_anti").join(taken.select(*control), list(control), "left_anti"))
+    return pairs.select(names).limit(0).withColumn("round", F.lit(0)) if out is None else out
+
+
+def nearest_bars_once(events: DataFrame, bars: DataFrame, x: str, z: str, x_factor: float, z_factor: float, gap_ms: int) -> DataFrame:
+    """nearest_once of the near_pairs of events and bars, which are paired anew when many of them are matched."""
+    events, bars = settled(events.select("event_id", "symbol", "ts_ms", x, z)), settled(bars.select("symbol", "ts_ms", x, z))
+    paired = lambda e, b: near_pairs(e, b, x, z, x_factor, z_factor, gap_ms)
+
+    def without(taken: DataFrame) -> DataFrame:
+        used = taken.select("symbol", F.col("control_ms").alias("ts_ms"))
+        return paired(events.join(taken.select("event_id"), "event_id", "left_anti"), bars.join(used, ["symbol", "ts_ms"], "left_anti"))
+
+    return nearest_once(paired(events, bars), without=without)

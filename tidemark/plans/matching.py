@@ -30,8 +30,8 @@ def matchable(spark, sf_dir):
     return asof_join(trades, bars, "symbol", "ts_ms", ["vol_qu"]).drop("right_ts_ms"), bars
 
 
-def matched(spark, sf_dir):
-    return M.near_pairs(*matchable(spark, sf_dir), "close_u", "vol_qu", 1 + max(RUNGS), SPREAD, DAY)
+def nearest(spark, sf_dir):
+    return M.nearest_bars_once(*matchable(spark, sf_dir), "close_u", "vol_qu", 1 + max(RUNGS), SPREAD, DAY)
 
 
 @query(
@@ -57,7 +57,7 @@ NEAREST = (
 @query(f"WITH RECURSIVE {NEAREST} SELECT event_id, symbol, control_ms, round(distance, 6) AS distance FROM once")
 def nearest_controls(spark, sf_dir):
     """STAT-17: each trade's nearest bar in price and volume, no bar used twice."""
-    return rounded(M.nearest_once(matched(spark, sf_dir)).drop("round"), "distance")
+    return rounded(nearest(spark, sf_dir).drop("round"), "distance")
 
 
 _NUMBERS = [(s, d, *M.multiplier(s, d)) for s in range(SEEDS) for d in range(1, DRAWS + 1)]
@@ -116,7 +116,7 @@ def _after(spark, sf_dir):
 def route_ladder(spark, sf_dir):
     """STAT-15, 17, 19: the same difference by two routes: controls drawn at each rung, and nearest ones used once."""
     drawn = swept(spark, sf_dir, 1).select(F.lit("drawn").alias("route"), "tolerance", "event_id", F.inline("drawn")).select("route", "tolerance", "event_id", "r")
-    near = M.nearest_once(matched(spark, sf_dir)).select(F.lit("nearest").alias("route"), F.lit(max(RUNGS)).alias("tolerance"), "event_id", "symbol", F.col("control_ms").alias("ts_ms"))
+    near = nearest(spark, sf_dir).select(F.lit("nearest").alias("route"), F.lit(max(RUNGS)).alias("tolerance"), "event_id", "symbol", F.col("control_ms").alias("ts_ms"))
     control = drawn.unionByName(near.join(_after(spark, sf_dir), ["symbol", "ts_ms"]).select("route", "tolerance", "event_id", "r")).select("route", "tolerance", "event_id", F.lit("control").alias("arm"), F.col("r").alias("ret_end"))
     real = C.forward_outcomes(V.trades(spark, sf_dir).select("event_id", "symbol", "ts_ms"), hours(spark, sf_dir), 3 * DAY)
     paired = control.select("route", "tolerance", "event_id").distinct().join(real, "event_id").select("route", "tolerance", "event_id", F.lit("real").alias("arm"), "ret_end")
