@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.streaming import tiers as Z
@@ -156,3 +157,53 @@ def test_baselines_of_no_volume_divide_as_in_sql(spark, tmp_path):
     events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r.day_ratio for r in lazy_baselines(spark, str(tmp_path)).collect()}
     assert got[3] == math.inf and math.isnan(got[4]) and got[5] == 1.5 and got[6] is None and len(got) == 4
+
+
+def test_a_group_of_symbols_asks_for_its_state_once():
+    asked = []
+
+    class States:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            asked.append(len(self.rows))
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows += rows
+
+    class Handle:
+        now, timers = 0, []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return States()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            raise AssertionError("a state for each symbol")
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    rules = Z.TierRules(hold_ms=10, stale_ms=50)
+    rows = [(s, t, t, score) for s in range(40) for t, score in ((5, 0.4), (20 + s, 0.7), (60 + s, 0.1))]
+    want = set()
+    for s in range(40):
+        state = Z.TierState(rules)
+        want |= {(s, *c) for _, t, _, score in (r for r in rows if r[0] == s) for c in state.hear(t, score)} | {(s, *c) for c in state.advance(500)}
+    handle, machine = Handle(), Z._TierProcessor(rules)
+    machine.init(handle)
+    list(machine.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["symbol", "ts_ms", "tie", "score"])]), handle))
+    handle.now = 500
+    got = [tuple(x) for pdf in machine.handleExpiredTimer((0,), handle, None) for x in pdf.itertuples(index=False)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    assert len(asked) == 2  # the rows that wait, and the tiers

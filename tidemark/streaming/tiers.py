@@ -156,24 +156,36 @@ class _Ordered(StatefulProcessor):
         pass
 
 
+#: Neighbouring symbols that the tier machine's stream keeps in one group: state and timers are asked for once a group.
+TOGETHER = 64
+
+
 class _TierProcessor(_Ordered):
-    rows_schema, out_columns = "ts_ms long, tie long, score double", [c.split()[0] for c in CHANGES.split(", ")]
+    """The symbols of one group, each with a state of its own."""
+
+    rows_schema, out_columns = "ts_ms long, tie long, symbol long, score double", [c.split()[0] for c in CHANGES.split(", ")]
 
     def __init__(self, rules: TierRules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("tier", TierState.FIELDS)
+        self.states = handle.getListState("tiers", f"symbol long, {TierState.FIELDS}")
 
     def columns(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["ts_ms", "tie", "score"]]
+        return pdf[["ts_ms", "tie", "symbol", "score"]]
 
-    def deal(self, symbol: int, due: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        state = TierState(self.rules, *(tuple(self.state.get()) if self.state.exists() else ()))
-        out = [c for t, _, score in due for c in state.hear(t, score)] + list(state.advance(now))
-        self.state.update(state.row())
-        return [(symbol, *c) for c in out], state.next_stale()
+    def deal(self, group: int, due: list[tuple], now: int) -> tuple[list[tuple], int | None]:
+        states = {symbol: TierState(self.rules, *row) for symbol, *row in self.states.get()}
+        out = []
+        for t, _, symbol, score in due:
+            if symbol not in states:
+                states[symbol] = TierState(self.rules)
+            out += [(symbol, *c) for c in states[symbol].hear(t, score)]
+        for symbol, state in states.items():
+            out += [(symbol, *c) for c in state.advance(now)]
+        self.states.put([(symbol, *state.row()) for symbol, state in states.items()])
+        return out, min((t for state in states.values() if (t := state.next_stale()) is not None), default=None)
 
 
 class _PoolProcessor(_Ordered):
@@ -209,8 +221,9 @@ def tier_machine_stream(scores: DataFrame, rules: TierRules, delay: str = "10 mi
     """Tier changes of a stream of scores (symbol, ts_ms, tie, score), as tier_machine gives them up to the watermark.
 
     Rows may come in any order within the delay. Silence is noticed by a timer, without another row of the symbol. Needs the
-    RocksDB state store."""
-    return _streamed(scores, "symbol", _TierProcessor(rules), CHANGES, delay)
+    RocksDB state store. Groups are of TOGETHER neighbouring symbols, so they grow in number and not in symbols."""
+    grouped = scores.withColumn("__group", F.expr(f"symbol div {TOGETHER}"))
+    return _streamed(grouped, "__group", _TierProcessor(rules), CHANGES, delay)
 
 
 def pool_seats_stream(scores: DataFrame, rules: PoolRules, delay: str = "10 minutes") -> DataFrame:
