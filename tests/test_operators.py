@@ -194,3 +194,10 @@ def test_zero_prices_give_null_returns(spark):
     assert daily_events(bars, 0.5, 2).count() == 0
     quotes = ticks.select("symbol", "event_id", "ts_ms", F.lit(0).cast("long").alias("mid_u"))
     assert align_trades(ticks, quotes, day, 1).where("markout_bp is not null").count() == 0
+
+
+def test_daily_bars_shuffle_items_before_they_are_aggregated(spark):
+    from tidemark.sources import views as V
+
+    plan = V.candles_1d(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan.split("Exchange")[0] and "Aggregate" not in plan.split("Exchange")[1]

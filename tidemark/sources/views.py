@@ -52,7 +52,8 @@ def candles_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("qty"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("q")).alias("at"),
     )
-    return items.groupBy("symbol", "day").agg(
+    # dealt before they are aggregated: a day has an item or two, and first sums that save no rows would be sorted and shuffled
+    return items.repartition("symbol", "day").groupBy("symbol", "day").agg(
         F.min_by("price_u", "at").alias("open_u"),
         F.max("price_u").alias("high_u"),
         F.min("price_u").alias("low_u"),
